@@ -24,7 +24,7 @@ from lifeledger.functions import (
     replace_null,
 )
 from lifeledger.operators.aggregates import count_violations, distinct_rows, first_per_key, key_set, last_per_key
-from lifeledger.operators.relational import code_map, in_keys, join_window, left_fill, overwrite, stack
+from lifeledger.operators.relational import code_map, in_keys, left_fill, overwrite, stack
 
 
 @dataclass(frozen=True)
@@ -122,26 +122,35 @@ def first_of_each_condition(mapped: DataFrame) -> DataFrame:
     return first_per_key(mapped, ["entity_id", "name"], ["event_date", "code", "type"])
 
 
-def baseline_flags(master: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Somatic, mental and any condition strictly before entry."""
-    return condition_flags(
-        master, conditions, F.col("event_date") < F.col("entry_date"), "entry_date",
-        ("baseline_somatic", "baseline_mental", "baseline_any"),
-    )
+def attach_history(master: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Add ``history``: the entity's conditions in order of their first date.
 
+    The list has one entry per condition of the code table at most. With it on the row, every
+    before / after / first-in-window question below is an expression and needs no further join.
+    """
+    entry = F.struct("event_date", "name", "code", "type")
+    lists = conditions.groupBy("entity_id").agg(F.sort_array(F.collect_list(entry)).alias("history"))
+    joined = master.join(lists, on="entity_id", how="left")
+    empty = F.array().cast(lists.schema["history"].dataType)
+    return joined.withColumn("history", F.coalesce("history", empty))
 
-def condition_flags(
-    master: DataFrame, conditions: DataFrame, when: Column, bound: str, names: Sequence[str]
-) -> DataFrame:
-    """0/1 flags (somatic, mental, either) for conditions whose date satisfies ``when``."""
+
+def condition_flags(df: DataFrame, before: Column, names: Sequence[str]) -> DataFrame:
+    """0/1 flags (somatic, mental, either) for conditions strictly before a date."""
     somatic, mental, either = names
-    hits = conditions.join(master.select("entity_id", bound), on="entity_id").where(when)
-    flags = hits.groupBy("entity_id").agg(
-        F.max((F.col("type") == "Somatic").cast("int")).alias(somatic),
-        F.max((F.col("type") == "Mental").cast("int")).alias(mental),
+
+    def has(kind: str) -> Column:
+        return F.exists("history", lambda c: (c["event_date"] < before) & (c["type"] == kind)).cast("int")
+
+    flagged = df.withColumns({somatic: has("Somatic"), mental: has("Mental")})
+    return flagged.withColumn(either, F.greatest(somatic, mental))
+
+
+def baseline_flags(df: DataFrame) -> DataFrame:
+    """Somatic, mental and any condition strictly before entry."""
+    return condition_flags(
+        df, F.col("entry_date"), ("baseline_somatic", "baseline_mental", "baseline_any")
     )
-    out = left_fill(master, flags, "entity_id", {somatic: 0, mental: 0})
-    return out.withColumn(either, F.greatest(somatic, mental))
 
 
 def death_cause(df: DataFrame, dates: StudyDates, external: str = EXTERNAL_CAUSE) -> DataFrame:
@@ -233,43 +242,38 @@ def reconcile(df: DataFrame, dates: StudyDates, sources: Sequence[str] = SOURCES
     }).drop("_recovery", "_death")
 
 
-def first_onset(
-    master: DataFrame, conditions: DataFrame, low: Column, high: Column, prefix: str, closed: bool,
-    bounds: Sequence[str],
-) -> DataFrame:
+def first_onset(df: DataFrame, low: Column, high: Column, prefix: str, closed: bool) -> DataFrame:
     """First condition in each entity's window as ``<prefix>``, ``<prefix>_type`` and ``<prefix>_date``."""
-    window = join_window(
-        conditions, master.select("entity_id", *bounds), "entity_id", "event_date", low, high, closed
-    )
-    first = first_per_key(
-        window.select("entity_id", "event_date", "name", "code", "type"),
-        ["entity_id"], ["event_date", "name", "code"],
-    ).select(
-        "entity_id", F.lit(1).alias(prefix), F.col("type").alias(f"{prefix}_type"),
-        F.col("event_date").alias(f"{prefix}_date"),
-    )
-    return left_fill(master, first, "entity_id", {prefix: 0, f"{prefix}_type": "None"})
+    def inside(c: Column) -> Column:
+        upper = c["event_date"] <= high if closed else c["event_date"] < high
+        return (c["event_date"] >= low) & upper
+
+    first = F.get(F.filter("history", inside), F.lit(0))
+    df = df.withColumn("_first", first)
+    return df.withColumns({
+        prefix: F.col("_first").isNotNull().cast("int"),
+        f"{prefix}_type": replace_null(F.col("_first.type"), "None"),
+        f"{prefix}_date": F.col("_first.event_date"),
+    }).drop("_first")
 
 
-def onset_before_progression(master: DataFrame, conditions: DataFrame, dates: StudyDates) -> DataFrame:
+def onset_before_progression(df: DataFrame, dates: StudyDates) -> DataFrame:
     """First condition from entry until progression, death, recovery or study end, exclusive."""
     high = earlier(
         F.col("adj_death_date"), F.col("adj_recovery_date"),
         replace_null(F.col("progression_date"), dates.study_end),
     )
-    bounds = ["entry_date", "progression_date", "adj_death_date", "adj_recovery_date"]
-    return first_onset(master, conditions, F.col("entry_date"), high, "pre_onset", False, bounds)
+    return first_onset(df, F.col("entry_date"), high, "pre_onset", closed=False)
 
 
-def onset_after_progression(master: DataFrame, conditions: DataFrame, dates: StudyDates) -> DataFrame:
+def onset_after_progression(df: DataFrame, dates: StudyDates) -> DataFrame:
     """First condition from progression until death, recovery or study end, inclusive.
 
     An entity that progresses exactly on the last study day has no such window.
     """
     progressed = F.when(F.col("progression_date") != F.lit(dates.study_end), F.col("progression_date"))
     high = earlier(F.col("adj_death_date"), F.col("adj_recovery_date"), F.lit(dates.study_end))
-    bounds = ["progression_date", "adj_death_date", "adj_recovery_date"]
-    return first_onset(master, conditions, progressed, high, "post_onset", True, bounds)
+    return first_onset(df, progressed, high, "post_onset", closed=True)
 
 
 def timeline_rules() -> dict[str, Column]:

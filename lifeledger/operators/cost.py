@@ -76,22 +76,16 @@ def service_rules() -> dict[str, Column]:
     return {name: replace_null(rule, False) for name, rule in rules.items()}
 
 
-def conditions_before_index(master: DataFrame, conditions: DataFrame) -> DataFrame:
+def conditions_before_index(df: DataFrame) -> DataFrame:
     """Condition flags strictly before the index date; ``comorbid`` = gained since baseline."""
-    flagged = condition_flags(
-        master, conditions, F.col("event_date") < F.col("index_date"), "index_date",
-        ("before_somatic", "before_mental", "before_any"),
-    )
+    flagged = condition_flags(df, F.col("index_date"), ("before_somatic", "before_mental", "before_any"))
     return flagged.withColumn("comorbid", (F.col("before_any") > F.col("baseline_any")).cast("int"))
 
 
-def new_condition_after_index(master: DataFrame, conditions: DataFrame) -> DataFrame:
+def new_condition_after_index(df: DataFrame) -> DataFrame:
     """1 if a condition is first recorded from the index date to the end of follow-up."""
-    hits = join_window(
-        conditions, master.select("entity_id", "index_date", "follow_up_end"), "entity_id", "event_date",
-        F.col("index_date"), F.col("follow_up_end"),
-    ).select("entity_id").distinct().withColumn("new_condition", F.lit(1))
-    return left_fill(master, hits, "entity_id", {"new_condition": 0})
+    found = F.exists("history", lambda c: c["event_date"].between(F.col("index_date"), F.col("follow_up_end")))
+    return df.withColumn("new_condition", found.cast("int"))
 
 
 def _window_of(master: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import RFormula
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,19 +21,20 @@ RATIO = 4
 CALIPER = 0.25
 
 
-def _logistic(cells: DataFrame, arm: str, numeric: Sequence[str], binary: dict[str, str]) -> Column:
-    """Fitted probability as an expression, from weighted cells (covariates, arm, n)."""
-    features = [F.col(c).cast("double").alias(c) for c in numeric]
-    features += [(F.col(c) == F.lit(v)).cast("double").alias(c) for c, v in binary.items()]
-    data = cells.select(F.col(arm).cast("double").alias("label"), F.col("n").cast("double").alias("n"), *features)
-    names = [*numeric, *binary]
-    prepared = RFormula(formula="label ~ " + " + ".join(names)).fit(data).transform(data)
+def _logistic(cells: DataFrame, numeric: Sequence[str], binary: dict[str, str]) -> Column:
+    """Fitted probability as an expression, from cells (covariates, n, share with ``arm`` = 1)."""
+    terms = [F.col(c).cast("double") for c in numeric]
+    terms += [(F.col(c) == F.lit(v)).cast("double") for c, v in binary.items()]
+    names = [f"x{i}" for i in range(len(terms))]
+    data = cells.select(
+        F.col("share").alias("label"), F.col("n").cast("double").alias("weight"),
+        *[x.alias(name) for x, name in zip(terms, names)],
+    )
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="n", maxIter=100, tol=1e-12
-    ).fit(prepared)
+        family="binomial", link="logit", weightCol="weight", maxIter=50, tol=1e-9
+    ).fit(VectorAssembler(inputCols=names, outputCol="features").transform(data))
     eta = F.lit(float(model.intercept))
-    for name, beta in zip(names, model.coefficients):
-        x = F.col(name).cast("double") if name in numeric else (F.col(name) == F.lit(binary[name])).cast("double")
+    for x, beta in zip(terms, model.coefficients):
         eta = eta + F.lit(float(beta)) * x
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
 
@@ -47,11 +48,13 @@ def propensity(
     values, so the fit reads counts per covariate cell and its cost does not depend on the rows.
     """
     covariates = [*numeric, *binary]
-    cells = cut_lineage(df.groupBy(by, arm, *covariates).agg(F.count(F.lit(1)).alias("n")))
+    cells = cut_lineage(df.groupBy(by, *covariates).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col(arm).cast("double")).alias("share")
+    ).coalesce(1))
     groups = [r[0] for r in cells.select(by).distinct().sort(by).collect()]
     score = None
     for g in groups:
-        fitted = _logistic(cells.where(F.col(by) == F.lit(g)), arm, numeric, binary)
+        fitted = _logistic(cells.where(F.col(by) == F.lit(g)), numeric, binary)
         test = F.col(by) == F.lit(g)
         score = F.when(test, fitted) if score is None else score.when(test, fitted)
     return df.withColumn(name, score)

@@ -77,7 +77,7 @@ def first_of_each_condition(t: Tables) -> DataFrame:
 
 @query("SELECT entity_id, baseline_somatic, baseline_mental, baseline_any FROM m_baseline")
 def baseline_flags(t: Tables) -> DataFrame:
-    flagged = cohort.baseline_flags(study.entry_cohort(t.inputs, DATES), t.conditions)
+    flagged = cohort.baseline_flags(cohort.attach_history(study.entry_cohort(t.inputs, DATES), t.conditions))
     return flagged.select("entity_id", "baseline_somatic", "baseline_mental", "baseline_any")
 
 
@@ -143,7 +143,7 @@ def reconcile_outcomes(t: Tables) -> DataFrame:
 
 @query("SELECT entity_id, pre_onset, pre_onset_type, pre_onset_date FROM m_onset1")
 def onset_before_progression(t: Tables) -> DataFrame:
-    out = cohort.onset_before_progression(study.reconciled_cohort(t.inputs, DATES), t.conditions, DATES)
+    out = cohort.onset_before_progression(study.reconciled_cohort(t.inputs, DATES), DATES)
     return out.select("entity_id", "pre_onset", "pre_onset_type", "pre_onset_date")
 
 

@@ -13,6 +13,7 @@ from lifeledger.plans import study
 from lifeledger.plans.registry import query
 from lifeledger.plans.roles import CONDITION_CODES, SERVICE_SQL, Tables
 from lifeledger.regression import negbin
+from lifeledger.survival.curves import level_grid
 
 
 def _rounded(df: DataFrame, columns, decimals: int = 4) -> DataFrame:
@@ -27,7 +28,7 @@ def _sql_rounded(columns, decimals: int = 4) -> str:
 
 
 def _scored(t: Tables) -> DataFrame:
-    kept = t.master.select("entity_id", "cohort_year", "progressed", "age", "sex", "baseline_any",
+    kept = t.stored_master.select("entity_id", "cohort_year", "progressed", "age", "sex", "baseline_any",
                            "entry_date", "progression_date", "follow_up_end")
     return matching.propensity(kept, "progressed", ["age"], {"sex": "M", "baseline_any": 1}, "cohort_year")
 
@@ -41,7 +42,7 @@ def propensity_score(t: Tables) -> DataFrame:
           FROM m_master""")
 def propensity_saturated(t: Tables) -> DataFrame:
     """With a single two-level covariate the fitted probability is the share in each level."""
-    kept = t.master.select("entity_id", "cohort_year", "progressed", "sex")
+    kept = t.stored_master.select("entity_id", "cohort_year", "progressed", "sex")
     scored = matching.propensity(kept, "progressed", [], {"sex": "M"}, "cohort_year")
     return scored.select("entity_id", "cohort_year", F.round("ps", 6).alias("ps"))
 
@@ -56,7 +57,7 @@ def match_caliper(t: Tables) -> DataFrame:
 
 @query(name="matched_index_dates")
 def matched_index_dates(t: Tables) -> DataFrame:
-    return study.matched_cohort(t.master).select(
+    return study.matched_cohort(t.stored_master).select(
         "entity_id", "cohort_year", "progressed", "subclass", "index_date", "follow_up_days")
 
 
@@ -74,13 +75,13 @@ def stack_cohorts(t: Tables) -> DataFrame:
 
 @query("SELECT entity_id, before_somatic, before_mental, before_any, comorbid FROM c_before")
 def conditions_before_index(t: Tables) -> DataFrame:
-    out = cost.conditions_before_index(t.indexed, t.conditions)
+    out = cost.conditions_before_index(t.indexed)
     return out.select("entity_id", "before_somatic", "before_mental", "before_any", "comorbid")
 
 
 @query("SELECT entity_id, new_condition FROM c_flagged")
 def new_condition_after_index(t: Tables) -> DataFrame:
-    return cost.new_condition_after_index(t.indexed, t.conditions).select("entity_id", "new_condition")
+    return cost.new_condition_after_index(t.indexed).select("entity_id", "new_condition")
 
 
 # Utilisation
@@ -196,10 +197,10 @@ _HISTORY = ", ".join(f"max(CASE WHEN name = '{n}' THEN 1 ELSE 0 END) AS {n}" for
 
 
 def _with_history(t: Tables) -> DataFrame:
-    entry = t.master.select("entity_id", "entry_date")
-    before = t.conditions.join(entry, on="entity_id").where(F.col("event_date") < F.col("entry_date"))
-    history = one_hot(before, "entity_id", "name", _NAMES)
-    return left_fill(t.master, history, "entity_id", {n: 0 for n in _NAMES})
+    master = t.stored_master
+    records = master.select("entity_id", "entry_date", F.inline("history"))
+    history = one_hot(records.where(F.col("event_date") < F.col("entry_date")), "entity_id", "name", _NAMES)
+    return left_fill(master, history, "entity_id", {n: 0 for n in _NAMES})
 
 
 @query(f"""WITH h AS (SELECT entity_id, {_HISTORY} FROM r_conditions JOIN m_master USING (entity_id)
@@ -220,12 +221,17 @@ def baseline_history_table(t: Tables) -> DataFrame:
 # Regression
 
 
+def _priced(t: Tables, y: str) -> DataFrame:
+    """Rows a count model accepts: a one-day window inside a longer stay has a negative prorated cost."""
+    return t.rates.where(F.col(y) >= 0)
+
+
 def _offset_model(t: Tables) -> negbin.CostModel:
-    return negbin.fit_negbin(t.rates, "ip_cost", offset=F.log(F.col("follow_up_days") / 365.25))
+    return negbin.fit_negbin(_priced(t, "ip_cost"), "ip_cost", offset=F.log(F.col("follow_up_days") / 365.25))
 
 
 def _rate_model(t: Tables) -> negbin.CostModel:
-    return negbin.fit_negbin(t.rates, "overall_psy_cost_py")
+    return negbin.fit_negbin(_priced(t, "overall_psy_cost_py"), "overall_psy_cost_py")
 
 
 @query(name="nb_glm")
@@ -238,25 +244,26 @@ def nb_glm_rate(t: Tables) -> DataFrame:
     return negbin.report(_rate_model(t), t.spark, 6)
 
 
-@query("SELECT 'intercept' AS term, round(avg(overall_cost_py), 2) AS estimate FROM c_rates", name="nb_glm_null")
+@query("SELECT 'intercept' AS term, round(avg(overall_cost_py), 2) AS estimate FROM c_rates WHERE overall_cost_py >= 0",
+       name="nb_glm_null")
 def nb_glm_null(t: Tables) -> DataFrame:
     """The intercept of a log-link model without covariates is the log of the mean."""
-    model = negbin.fit_negbin(t.rates, "overall_cost_py", {})
+    model = negbin.fit_negbin(_priced(t, "overall_cost_py"), "overall_cost_py", {})
     return negbin.report(model, t.spark, 2).select("term", "estimate")
 
 
 @query(name="nb_glm_null_offset")
 def nb_glm_null_offset(t: Tables) -> DataFrame:
-    model = negbin.fit_negbin(t.rates, "overall_cost", {}, offset=F.log(F.col("follow_up_days") / 365.25))
+    model = negbin.fit_negbin(_priced(t, "overall_cost"), "overall_cost", {}, offset=F.log(F.col("follow_up_days") / 365.25))
     return negbin.report(model, t.spark, 4)
 
 
-@query("""SELECT progressed, round(avg(overall_cost_py), 2) AS cost FROM c_rates GROUP BY progressed""")
+@query("""SELECT progressed, round(avg(overall_cost_py), 2) AS cost FROM c_rates WHERE overall_cost_py >= 0 GROUP BY progressed""")
 def nb_glm_saturated(t: Tables) -> DataFrame:
     """With one covariate the fitted values are the group means."""
-    model = negbin.fit_negbin(t.rates, "overall_cost_py", {"progressed": [0, 1]})
-    groups = t.rates.select("progressed").distinct()
-    return groups.select("progressed", F.round(F.exp(model.design.linear(model.beta)), 2).alias("cost"))
+    model = negbin.fit_negbin(_priced(t, "overall_cost_py"), "overall_cost_py", {"progressed": [0, 1]})
+    return level_grid(t.spark, model).select(
+        "progressed", F.round(F.exp(model.design.linear(model.beta)), 2).alias("cost"))
 
 
 @query(name="exp_coef_ci")
@@ -272,7 +279,7 @@ def dispersion(t: Tables) -> DataFrame:
 @query(name="predict_link_se")
 def predict_link_se(t: Tables) -> DataFrame:
     model = _rate_model(t)
-    return negbin.predict(model, t.rates.select(*model.design.columns).distinct())
+    return negbin.predict(model, level_grid(t.spark, model))
 
 
 _STATES = {

@@ -19,6 +19,7 @@ from lifeledger.operators.aggregates import nth_per_key
 from lifeledger.operators.cohort import StudyDates
 from lifeledger.operators.relational import inner
 from lifeledger.plans.study import Inputs, costed_cohort, master_table
+from lifeledger.session import cut_lineage
 
 # The calendar of the stand-in study and its code lists.
 DATES = StudyDates(
@@ -244,12 +245,17 @@ class Tables:
     def master(self) -> DataFrame:
         return master_table(self.inputs, DATES)
 
+    @cached_property
+    def stored_master(self) -> DataFrame:
+        """The master for stages that read it more than once."""
+        return cut_lineage(self.master)
+
     @cached_property
     def matched(self) -> DataFrame:
         """Matched sets that SQL can state: per year and district one case and all its controls."""
-        group = ["cohort_year", "district"]
-        case = self.master.where(F.col("progressed") == 1).groupBy(*group).agg(F.min("entity_id").alias("subclass"))
-        joined = self.master.join(case, on=group)
+        group, master = ["cohort_year", "district"], self.stored_master
+        case = master.where(F.col("progressed") == 1).groupBy(*group).agg(F.min("entity_id").alias("subclass"))
+        joined = master.join(case, on=group)
         return joined.where((F.col("progressed") == 0) | (F.col("entity_id") == F.col("subclass")))
 
     @cached_property
@@ -258,7 +264,7 @@ class Tables:
 
     @cached_property
     def costed(self) -> DataFrame:
-        return costed_cohort(self.indexed, self.conditions, self.ed_visits, self.ward_stays, self.services)
+        return costed_cohort(cut_lineage(self.indexed), self.ed_visits, self.ward_stays, self.services)
 
     @cached_property
     def rates(self) -> DataFrame:

@@ -12,6 +12,7 @@ from lifeledger.operators import cohort, cost, markov, matching
 from lifeledger.operators.aggregates import distinct_rows
 from lifeledger.operators.cohort import GRACE_DAYS, StudyDates
 from lifeledger.operators.relational import inner
+from lifeledger.session import cut_lineage
 
 RECOVERY_LAGS = {"op": GRACE_DAYS, "ae": GRACE_DAYS, "ip": GRACE_DAYS, "rx": 0}
 
@@ -41,7 +42,7 @@ def entry_cohort(inputs: Inputs, dates: StudyDates) -> DataFrame:
 
 def reconciled_cohort(inputs: Inputs, dates: StudyDates) -> DataFrame:
     """Entry cohort with baseline flags, causes of death, recovery and reconciled outcomes."""
-    df = cohort.baseline_flags(entry_cohort(inputs, dates), inputs.conditions)
+    df = cohort.baseline_flags(cohort.attach_history(entry_cohort(inputs, dates), inputs.conditions))
     df = cohort.death_cause(df, dates)
     df = cohort.recovery_sources(df, inputs.activity, dates, RECOVERY_LAGS)
     return cohort.reconcile(df, dates)
@@ -49,26 +50,30 @@ def reconciled_cohort(inputs: Inputs, dates: StudyDates) -> DataFrame:
 
 def master_table(inputs: Inputs, dates: StudyDates) -> DataFrame:
     """One row per incident entity with every dated outcome."""
-    df = cohort.onset_before_progression(reconciled_cohort(inputs, dates), inputs.conditions, dates)
-    return cohort.onset_after_progression(df, inputs.conditions, dates)
+    df = cohort.onset_before_progression(reconciled_cohort(inputs, dates), dates)
+    return cohort.onset_after_progression(df, dates)
 
 
 def matched_cohort(master: DataFrame) -> DataFrame:
-    """1:4 matched cases and controls with a shared index date."""
+    """1:4 matched cases and controls with a shared index date.
+
+    ``master`` is read by every fit and join, so hand in a checkpointed or stored table.
+    """
     scored = matching.propensity(master, "progressed", ["age"], {"sex": "M", "baseline_any": 1}, "cohort_year")
     # The distance is the fitted probability of a second model on the first one's score.
     scored = matching.propensity(scored, "progressed", ["ps"], {}, "cohort_year", "score")
     matched = matching.match_nearest(scored, "entity_id", "progressed", "score", "cohort_year")
-    return matching.stack_cohorts([matching.share_case_date(matched)])
+    return matching.stack_cohorts([matching.share_case_date(cut_lineage(matched))])
 
 
-def costed_cohort(
-    indexed: DataFrame, conditions: DataFrame, visits: DataFrame, stays: DataFrame, services: DataFrame
-) -> DataFrame:
-    """Condition flags and every cost column after the index date."""
-    df = cost.new_condition_after_index(cost.conditions_before_index(indexed, conditions), conditions)
+def costed_cohort(indexed: DataFrame, visits: DataFrame, stays: DataFrame, services: DataFrame) -> DataFrame:
+    """Condition flags and every cost column after the index date.
+
+    ``indexed`` is read once per kind of record, so hand in a checkpointed or stored table.
+    """
+    df = cost.new_condition_after_index(cost.conditions_before_index(indexed))
     df = cost.attach_costs(
-        df, cost.ed_cost(visits, df), cost.stay_cost(stays, df), cost.classify_visits(services, df)
+        df, cost.ed_cost(visits, indexed), cost.stay_cost(stays, indexed), cost.classify_visits(services, indexed)
     )
     return cost.psych_cost(cost.total_cost(df))
 

@@ -64,8 +64,10 @@ def fit_negbin(
     w, value = F.col("_w").cast("double"), F.col("_y")
     head = data.agg(
         F.sum(w).alias("n"), F.sum(w * value).alias("y"), F.sum(w * F.exp("_offset")).alias("e"),
-        F.sum(w * value * value).alias("yy"),
+        F.sum(w * value * value).alias("yy"), F.min(value).alias("low"),
     ).first()
+    if head["low"] is not None and head["low"] < 0:
+        raise ValueError("the response has negative values")
     if not head["n"] or not head["y"]:
         raise ValueError("the response has no positive value")
     n, mean = head["n"], head["y"] / head["n"]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeledger.functions import normal_quantile, normal_sf
+from lifeledger.regression.negbin import CostModel
 from lifeledger.survival.fit import SurvivalModel
 
 
@@ -27,7 +28,7 @@ def survival(model: SurvivalModel, time: Column) -> Column:
     return F.exp(-F.exp(z))
 
 
-def level_grid(spark: SparkSession, model: SurvivalModel) -> DataFrame:
+def level_grid(spark: SparkSession, model: SurvivalModel | CostModel) -> DataFrame:
     """One row per covariate combination, last covariate moving fastest."""
     columns = model.design.columns
     rows = list(product(*model.design.levels.values()))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Rational approximation of the normal tail (Hart 1968, algorithm 5666), |z| < 7.07.
+# Rational approximation of the normal tail (Hart 1968, algorithm 5666).
 HART_NUMERATOR = [
     3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383,
     112.079291497871, 221.213596169931, 220.206867912376,
@@ -21,7 +21,9 @@ HART_DENOMINATOR = [
     8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461,
     296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
 ]
-HART_LIMIT = 7.07106781186547
+# Beyond this the continued fraction of the tail is the more accurate one.
+FRACTION_FROM = 4.0
+FRACTION_TERMS = 20
 
 # Inverse normal, Acklam's rational approximation (refined below by one Newton step).
 ACKLAM_A = [
@@ -51,13 +53,13 @@ def _poly(coefficients: Sequence[float], x: Column) -> Column:
     return out
 
 
-def _tail_ratio(a: Column) -> Column:
+def tail_ratio(a: Column) -> Column:
     """Q(a) / phi(a) for a >= 0."""
     rational = _poly(HART_NUMERATOR, a) / _poly(HART_DENOMINATOR, a) * F.lit(math.sqrt(2 * math.pi))
     fraction = a + F.lit(0.65)
-    for k in range(12, 0, -1):
+    for k in range(FRACTION_TERMS, 0, -1):
         fraction = a + F.lit(float(k)) / fraction
-    return F.when(a < HART_LIMIT, rational).otherwise(F.lit(1.0) / fraction)
+    return F.when(a < FRACTION_FROM, rational).otherwise(F.lit(1.0) / fraction)
 
 
 def _density(z: Column) -> Column:
@@ -66,20 +68,20 @@ def _density(z: Column) -> Column:
 
 def normal_sf(z: Column) -> Column:
     """P(Z > z) for a standard normal Z."""
-    upper = _density(z) * _tail_ratio(F.abs(z))
+    upper = _density(z) * tail_ratio(F.abs(z))
     return F.when(z >= 0, upper).otherwise(F.lit(1.0) - upper)
 
 
-def log_normal_sf(z: Column) -> Column:
-    """ln P(Z > z), accurate far into the upper tail."""
-    ratio = _tail_ratio(F.abs(z))
+def log_normal_sf(z: Column, ratio: Column | None = None) -> Column:
+    """ln P(Z > z), accurate far into the upper tail. ``ratio`` = tail_ratio(abs(z)) if at hand."""
+    ratio = tail_ratio(F.abs(z)) if ratio is None else ratio
     high = -z * z / 2 - F.lit(LOG_SQRT_2PI) + F.log(ratio)
     return F.when(z >= 0, high).otherwise(F.log1p(-_density(z) * ratio))
 
 
-def normal_hazard(z: Column) -> Column:
+def normal_hazard(z: Column, ratio: Column | None = None) -> Column:
     """phi(z) / P(Z > z)."""
-    ratio = _tail_ratio(F.abs(z))
+    ratio = tail_ratio(F.abs(z)) if ratio is None else ratio
     density = _density(z)
     return F.when(z >= 0, F.lit(1.0) / ratio).otherwise(density / (F.lit(1.0) - density * ratio))
 
@@ -102,10 +104,12 @@ def lgamma(x: Column) -> Column:
     series = (
         (y - 0.5) * F.log(y) - y + F.lit(LOG_SQRT_2PI)
         + F.lit(1 / 12) / y - F.lit(1 / 360) / F.pow(y, 3) + F.lit(1 / 1260) / F.pow(y, 5)
+        - F.lit(1 / 1680) / F.pow(y, 7)
     )
-    for i in range(GAMMA_SHIFT):
-        series = series - F.log(x + F.lit(float(i)))
-    return series
+    lifted = x
+    for i in range(1, GAMMA_SHIFT):
+        lifted = lifted * (x + F.lit(float(i)))
+    return series - F.log(lifted)
 
 
 def digamma(x: Column) -> Column:
@@ -114,6 +118,7 @@ def digamma(x: Column) -> Column:
     series = (
         F.log(y) - F.lit(0.5) / y - F.lit(1 / 12) / F.pow(y, 2)
         + F.lit(1 / 120) / F.pow(y, 4) - F.lit(1 / 252) / F.pow(y, 6)
+        + F.lit(1 / 240) / F.pow(y, 8)
     )
     for i in range(GAMMA_SHIFT):
         series = series - F.lit(1.0) / (x + F.lit(float(i)))
@@ -126,6 +131,7 @@ def trigamma(x: Column) -> Column:
     series = (
         F.lit(1.0) / y + F.lit(0.5) / F.pow(y, 2) + F.lit(1 / 6) / F.pow(y, 3)
         - F.lit(1 / 30) / F.pow(y, 5) + F.lit(1 / 42) / F.pow(y, 7)
+        - F.lit(1 / 30) / F.pow(y, 9)
     )
     for i in range(GAMMA_SHIFT):
         series = series + F.lit(1.0) / F.pow(x + F.lit(float(i)), 2)

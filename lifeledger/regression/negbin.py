@@ -60,7 +60,8 @@ def fit_negbin(
         *design.columns, F.col(y).cast("double").alias("_y"), (offset if offset is not None else zero).alias("_offset")
     ).where(F.col("_offset").isNotNull())
     # Equal rows collapse, which also pre-aggregates a cell that holds most of the data.
-    data = cut_lineage(data.groupBy(*data.columns).agg(F.count(F.lit(1)).alias("_w")))
+    data = data.groupBy(*data.columns).agg(F.count(F.lit(1)).alias("_w"))
+    data = cut_lineage(data.withColumn("_fixed", lgamma(F.col("_y") + F.lit(1.0))))
     w, value = F.col("_w").cast("double"), F.col("_y")
     head = data.agg(
         F.sum(w).alias("n"), F.sum(w * value).alias("y"), F.sum(w * F.exp("_offset")).alias("e"),
@@ -82,28 +83,26 @@ def fit_negbin(
         rounds += 1
         if rounds > max_rounds:
             raise ArithmeticError(f"no convergence after {max_rounds} rounds")
-        mu, th = _mean(design, beta), F.lit(theta)
+        # The mean and y + theta are columns of their own, so each is computed once per row.
+        rows = data.withColumn("_mu", _mean(design, beta)).withColumn("_total", value + F.lit(theta))
+        mu, total, th = F.col("_mu"), F.col("_total"), F.lit(theta)
+        rows = rows.withColumns({"_lg": lgamma(total), "_dg": digamma(total), "_tg": trigamma(total)})
         weight = mu / (F.lit(1.0) + mu / th)
-        total = value + th
-        loglik = (
-            lgamma(total) - lgamma(th) - lgamma(value + F.lit(1.0)) + th * F.log(th)
-            + value * F.log(mu) - total * F.log(th + mu)
-        )
-        score = digamma(total) - digamma(th) + F.log(th) + F.lit(1.0) - F.log(th + mu) - total / (th + mu)
-        curve = (
-            trigamma(th) - trigamma(total) - F.lit(1.0) / th + F.lit(2.0) / (th + mu)
-            - total / ((th + mu) * (th + mu))
-        )
+        lg, dg, tg = lgamma(th), digamma(th), trigamma(th)
         parts = {
-            "w": weight, "g": weight * (value - mu) / mu, "l": loglik, "s": score, "i": curve,
+            "weight": weight,
+            "slope": weight * (value - mu) / mu,
+            "loglik": F.col("_lg") - lg - F.col("_fixed") + th * F.log(th) + value * F.log(mu) - total * F.log(th + mu),
+            "score": F.col("_dg") - dg + F.log(th) + F.lit(1.0) - F.log(th + mu) - total / (th + mu),
+            "curve": tg - F.col("_tg") - F.lit(1.0) / th + F.lit(2.0) / (th + mu) - total / ((th + mu) * (th + mu)),
         }
-        cells = data.groupBy(*cells_by).agg(*[F.sum(w * v).alias(f"_{k}") for k, v in parts.items()]).collect()
+        cells = rows.groupBy(*cells_by).agg(*[F.sum(w * v).alias(k) for k, v in parts.items()]).collect()
         gradient, information = np.zeros_like(beta), np.zeros((len(beta), len(beta)))
         for r in cells:
             x = design.row(r.asDict())
-            gradient += r["_g"] * x
-            information += r["_w"] * np.outer(x, x)
-        value_now = math.fsum(r["_l"] for r in cells)
+            gradient += r["slope"] * x
+            information += r["weight"] * np.outer(x, x)
+        value_now = math.fsum(r["loglik"] for r in cells)
         if best is not None and not value_now >= best[0] - 1e-9 * (1 + abs(best[0])):
             step, log_step = step / 2, log_step / 2
             beta, theta = best[1] + step, best[2] * math.exp(log_step)
@@ -111,8 +110,8 @@ def fit_negbin(
                 beta, theta = best[1], best[2]
                 break
             continue
-        curvature = math.fsum(r["_i"] for r in cells)
-        slope = math.fsum(r["_s"] for r in cells)
+        curvature = math.fsum(r["curve"] for r in cells)
+        slope = math.fsum(r["score"] for r in cells)
         best = (value_now, beta.copy(), theta, information, curvature)
         step = solve_step(information, gradient)
         # Newton on ln theta, limited to a factor of e per round.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeledger.functions import log_normal_sf, normal_hazard
-from lifeledger.functions.special import LOG_SQRT_2PI
+from lifeledger.functions.special import LOG_SQRT_2PI, tail_ratio
 from lifeledger.regression.design import Z_95, Design, covariance, solve_step
 from lifeledger.session import cut_lineage
 
@@ -80,8 +80,11 @@ def compress(sample: DataFrame, design: Design) -> DataFrame:
     return usable.groupBy(*design.columns, "time", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _standardised(dist: str, z: Column, d: Column) -> tuple[Column, Column, Column]:
-    """Log density (or log survival if censored) of the standardised error, and two derivatives in z."""
+def _standardised(dist: str, z: Column, d: Column, ratio: Column | None) -> tuple[Column, Column, Column]:
+    """Log density (or log survival if censored) of the standardised error, and two derivatives in z.
+
+    ``ratio`` is the normal tail over the density at abs(z), which only the lognormal needs.
+    """
     if dist in ("weibull", "exponential"):
         e = F.exp(z)
         return d * z - e, d - e, -e
@@ -91,20 +94,18 @@ def _standardised(dist: str, z: Column, d: Column) -> tuple[Column, Column, Colu
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
         k = F.lit(1.0) + d
         return d * z - k * soft, d - k * p, -k * p * (F.lit(1.0) - p)
-    hazard = normal_hazard(z)
+    hazard = normal_hazard(z, ratio)
     return (
-        F.when(d == 1, -z * z / 2 - F.lit(LOG_SQRT_2PI)).otherwise(log_normal_sf(z)),
+        F.when(d == 1, -z * z / 2 - F.lit(LOG_SQRT_2PI)).otherwise(log_normal_sf(z, ratio)),
         F.when(d == 1, -z).otherwise(-hazard),
         F.when(d == 1, F.lit(-1.0)).otherwise(-hazard * (hazard - z)),
     )
 
 
-def _location_scale_sums(dist: str, eta: Column, tau: float) -> list[Column]:
+def _location_scale_sums(tau: float, u: Column, u1: Column, u2: Column, z: Column) -> list[Column]:
     """Per-row log-likelihood and its derivatives in (eta, tau), with tau = ln scale."""
     t, d = F.col("time"), F.col("event").cast("double")
     scale = math.exp(tau)
-    z = (F.log(t) - eta) / F.lit(scale)
-    u, u1, u2 = _standardised(dist, z, d)
     return [
         u - d * (F.lit(tau) + F.log(t)),
         -u1 / F.lit(scale),
@@ -142,6 +143,35 @@ def _gompertz_sums(eta: Column, a: float) -> list[Column]:
 _SUMS = ("l", "ge", "hee", "het", "gt", "htt")
 
 
+def _round_sums(counts: DataFrame, design: Design, active: Mapping[str, np.ndarray]) -> list:
+    """One row per covariate cell with the sums of every active distribution at its parameters.
+
+    Shared parts are columns of their own, stage by stage, so each is computed once per row.
+    """
+    rows = counts
+    standard = [d for d in active if d != "gompertz"]
+    rows = rows.withColumns({f"eta_{d}": design.linear(theta[:-1]) for d, theta in active.items()})
+    rows = rows.withColumns({
+        f"z_{d}": (F.log("time") - F.col(f"eta_{d}")) / F.lit(math.exp(active[d][-1])) for d in standard
+    })
+    ratio = None
+    if "lognormal" in active:
+        rows = rows.withColumn("tail_at", F.abs("z_lognormal")).withColumn("ratio", tail_ratio(F.col("tail_at")))
+        ratio = F.col("ratio")
+    for d in standard:
+        parts = _standardised(d, F.col(f"z_{d}"), F.col("event").cast("double"), ratio)
+        rows = rows.withColumns({f"u{i}_{d}": u for i, u in enumerate(parts)})
+    sums = []
+    for d, theta in active.items():
+        if d == "gompertz":
+            parts = _gompertz_sums(F.col("eta_gompertz"), float(theta[-1]))
+        else:
+            u, u1, u2 = (F.col(f"u{i}_{d}") for i in range(3))
+            parts = _location_scale_sums(float(theta[-1]), u, u1, u2, F.col(f"z_{d}"))
+        sums += [F.sum(F.col("n") * v).alias(f"{d}_{name}") for name, v in zip(_SUMS, parts)]
+    return rows.groupBy(*design.columns).agg(*sums).collect()
+
+
 class _State:
     """Newton state of one distribution, with step halving."""
 
@@ -209,13 +239,7 @@ def fit_models(
         active = {d: s for d, s in states.items() if not s.done}
         if any(s.rounds >= max_rounds for s in active.values()):
             raise ArithmeticError(f"no convergence after {max_rounds} rounds: {sorted(active)}")
-        sums = []
-        for d, s in active.items():
-            eta = design.linear(s.theta[:-1])
-            shape = float(s.theta[-1])
-            parts = _gompertz_sums(eta, shape) if d == "gompertz" else _location_scale_sums(d, eta, shape)
-            sums += [F.sum(F.col("n") * v).alias(f"{d}_{name}") for name, v in zip(_SUMS, parts)]
-        cells = counts.groupBy(*design.columns).agg(*sums).collect()
+        cells = _round_sums(counts, design, {d: s.theta for d, s in active.items()})
         xs = [design.row(r.asDict()) for r in cells]
         for d, s in active.items():
             values = [{k: r[f"{d}_{k}"] if r[f"{d}_{k}"] is not None else math.nan for k in _SUMS} for r in cells]

@@ -115,7 +115,8 @@ def first_conditions(events: DataFrame, code_table: DataFrame) -> DataFrame:
     code with very many records makes a large group.
     """
     first_code = events.groupBy("entity_id", "code").agg(F.min("event_date").alias("event_date"))
-    return first_of_each_condition(map_conditions(first_code, code_table))
+    mapping = code_map(events, "code", code_table, "pattern").drop("pattern")
+    return first_of_each_condition(first_code.join(mapping, on="code", how="inner"))
 
 
 def first_of_each_condition(mapped: DataFrame) -> DataFrame:
@@ -196,15 +197,14 @@ def recovery_sources(
     last = tagged.groupBy("entity_id").agg(
         *[F.max(F.when(F.col("source") == name, F.col("date"))).alias(f"_last_{name}") for name in records]
     )
-    out = master.join(last, on="entity_id", how="left")
+    derived = {}
     for name in records:
         seen = F.col(f"_last_{name}")
         quiet = replace_null(seen < F.lit(dates.activity_cutoff), True)
-        out = out.withColumns({
-            f"recovered_{name}": quiet.cast("int"),
-            f"recovery_{name}": F.when(quiet, add_days(seen, lags[name])),
-        })
-    return out.drop(*[f"_last_{name}" for name in records])
+        derived[f"recovered_{name}"] = quiet.cast("int")
+        derived[f"recovery_{name}"] = F.when(quiet, add_days(seen, lags[name]))
+    joined = master.join(last, on="entity_id", how="left").withColumns(derived)
+    return joined.drop(*[f"_last_{name}" for name in records])
 
 
 def drug_filter(rx: DataFrame, drug_list: DataFrame, drug: str, drug_class: str) -> DataFrame:
@@ -220,26 +220,28 @@ def reconcile(df: DataFrame, dates: StudyDates, sources: Sequence[str] = SOURCES
     grace = add_days(F.col("entry_date"), GRACE_DAYS)
     no_dates = reduce(lambda a, b: a & b, [f == past for f in filled])
     # Recovered only if every source says so; a known date of any source counts even then.
-    df = df.withColumn("recovered", F.least(*[F.col(f"recovered_{s}") for s in sources]))
-    df = df.withColumn("_recovery", F.when(no_dates & (F.col("recovered") == 1), grace).otherwise(later(*filled)))
-    df = df.withColumn("_death", replace_null(F.col("death_date"), future))
-    df = df.withColumn("_recovery", replace_null(null_if(F.col("_recovery"), past), future))
-    # A recovery after the cut-off is no recovery.
-    late = F.col("_recovery") >= F.lit(dates.activity_cutoff)
-    df = df.withColumn("recovered", F.when(late, 0).otherwise(F.col("recovered")))
-    df = df.withColumn("_recovery", F.when(late, future).otherwise(F.col("_recovery")))
-    df = df.withColumn("_recovery", later(F.col("_recovery"), grace))
+    every = F.least(*[F.col(f"recovered_{s}") for s in sources])
+    known = F.when(no_dates, F.when(every == 1, grace).otherwise(future)).otherwise(later(*filled))
+    df = df.withColumns({
+        "_every": every, "_known": known, "_death": replace_null(F.col("death_date"), future),
+    })
+    # A recovery after the cut-off is no recovery, and none is earlier than the grace period.
+    late = F.col("_known") >= F.lit(dates.activity_cutoff)
+    recovery = later(F.when(late, future).otherwise(F.col("_known")), grace)
+    df = df.withColumns({"_late": late, "_recovery": recovery})
     # Whichever comes first wins; on the same day it is death.
-    df = df.withColumn("death", F.when(F.col("_recovery") < F.col("_death"), 0).otherwise(F.col("death")))
-    df = df.withColumn("recovered", F.when(F.col("_death") <= F.col("_recovery"), 0).otherwise(F.col("recovered")))
+    alive = (F.col("_recovery") < F.col("_death")) | (F.col("death") == 0)
+    not_recovered = F.col("_late") | (F.col("_every") == 0) | (F.col("_death") <= F.col("_recovery"))
     return df.withColumns({
-        "adj_death_date": F.when(F.col("death") == 0, future).otherwise(F.col("_death")),
-        "adj_recovery_date": F.when(F.col("recovered") == 0, future).otherwise(F.col("_recovery")),
+        "death": (~alive).cast("int"),
+        "recovered": (~not_recovered).cast("int"),
+        "adj_death_date": F.when(alive, future).otherwise(F.col("_death")),
+        "adj_recovery_date": F.when(not_recovered, future).otherwise(F.col("_recovery")),
         "death_date": null_if(F.col("_death"), dates.far_future),
         "recovery_date": null_if(F.col("_recovery"), dates.far_future),
-        "natural_death": F.when(F.col("death") == 0, 0).otherwise(F.col("natural_death")),
-        "external_death": F.when(F.col("death") == 0, 0).otherwise(F.col("external_death")),
-    }).drop("_recovery", "_death")
+        "natural_death": F.when(alive, 0).otherwise(F.col("natural_death")),
+        "external_death": F.when(alive, 0).otherwise(F.col("external_death")),
+    }).drop("_every", "_known", "_death", "_late", "_recovery")
 
 
 def first_onset(df: DataFrame, low: Column, high: Column, prefix: str, closed: bool) -> DataFrame:

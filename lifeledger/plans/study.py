@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lifeledger.operators import cohort, cost, markov, matching
-from lifeledger.operators.aggregates import distinct_rows
 from lifeledger.operators.cohort import GRACE_DAYS, StudyDates
 from lifeledger.operators.relational import inner
 from lifeledger.session import cut_lineage
@@ -85,7 +84,3 @@ def population_cost(
     occupancy = markov.markov_project(markov.start(incidence, weights), params)
     return markov.open_cohort_cost(markov.cohort_cost(markov.state_cost(occupancy, state_costs)))
 
-
-def cohort_records(records: DataFrame, keys: DataFrame) -> DataFrame:
-    """Distinct records of the cohort's entities, to cut raw extracts before any other work."""
-    return distinct_rows(records.join(keys.select("entity_id"), on="entity_id", how="left_semi"))

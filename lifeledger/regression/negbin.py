@@ -59,13 +59,11 @@ def fit_negbin(
     data = design.known(df.where(F.col(y).isNotNull())).select(
         *design.columns, F.col(y).cast("double").alias("_y"), (offset if offset is not None else zero).alias("_offset")
     ).where(F.col("_offset").isNotNull())
-    # Equal rows collapse, which also pre-aggregates a cell that holds most of the data.
-    data = data.groupBy(*data.columns).agg(F.count(F.lit(1)).alias("_w"))
     data = cut_lineage(data.withColumn("_fixed", lgamma(F.col("_y") + F.lit(1.0))))
-    w, value = F.col("_w").cast("double"), F.col("_y")
+    value = F.col("_y")
     head = data.agg(
-        F.sum(w).alias("n"), F.sum(w * value).alias("y"), F.sum(w * F.exp("_offset")).alias("e"),
-        F.sum(w * value * value).alias("yy"), F.min(value).alias("low"),
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("y"), F.sum(F.exp("_offset")).alias("e"),
+        F.sum(value * value).alias("yy"), F.min(value).alias("low"),
     ).first()
     if head["low"] is not None and head["low"] < 0:
         raise ValueError("the response has negative values")
@@ -96,7 +94,7 @@ def fit_negbin(
             "score": F.col("_dg") - dg + F.log(th) + F.lit(1.0) - F.log(th + mu) - total / (th + mu),
             "curve": tg - F.col("_tg") - F.lit(1.0) / th + F.lit(2.0) / (th + mu) - total / ((th + mu) * (th + mu)),
         }
-        cells = rows.groupBy(*cells_by).agg(*[F.sum(w * v).alias(k) for k, v in parts.items()]).collect()
+        cells = rows.groupBy(*cells_by).agg(*[F.sum(v).alias(k) for k, v in parts.items()]).collect()
         gradient, information = np.zeros_like(beta), np.zeros((len(beta), len(beta)))
         for r in cells:
             x = design.row(r.asDict())
@@ -132,7 +130,7 @@ def fit_negbin(
     mu, th = _mean(design, beta), F.lit(theta)
     own = F.when(value > 0, value * F.log(value / mu)).otherwise(zero)
     deviance = data.agg(
-        F.sum(w * F.lit(2.0) * (own - (value + th) * F.log((value + th) / (mu + th)))).alias("d")
+        F.sum(F.lit(2.0) * (own - (value + th) * F.log((value + th) / (mu + th)))).alias("d")
     ).first()["d"]
     return CostModel(
         design=design, beta=beta, cov=covariance(information), theta=theta,

@@ -13,6 +13,7 @@ from lifeledger.plans import study
 from lifeledger.plans.registry import query
 from lifeledger.plans.roles import CONDITION_CODES, SERVICE_SQL, Tables
 from lifeledger.regression import negbin
+from lifeledger.session import cut_lineage
 from lifeledger.survival.curves import level_grid
 
 
@@ -196,26 +197,59 @@ _NAMES = [name for _, name, _ in CONDITION_CODES]
 _HISTORY = ", ".join(f"max(CASE WHEN name = '{n}' THEN 1 ELSE 0 END) AS {n}" for n in _NAMES)
 
 
-def _with_history(t: Tables) -> DataFrame:
-    master = t.stored_master
-    records = master.select("entity_id", "entry_date", F.inline("history"))
-    history = one_hot(records.where(F.col("event_date") < F.col("entry_date")), "entity_id", "name", _NAMES)
-    return left_fill(master, history, "entity_id", {n: 0 for n in _NAMES})
-
-
-@query(f"""WITH h AS (SELECT entity_id, {_HISTORY} FROM r_conditions JOIN m_master USING (entity_id)
-             WHERE event_date < entry_date GROUP BY entity_id),
-           a AS (SELECT m.*, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _NAMES)} FROM m_master m LEFT JOIN h USING (entity_id)),
-           l AS ({' UNION ALL '.join(f"SELECT progressed, '{n}' AS variable, {n} AS v FROM a" for n in _NAMES)}),
-           s AS (SELECT variable, avg(v) FILTER (progressed = 0) AS p0, avg(v) FILTER (progressed = 1) AS p1,
-             (count(*) FILTER (progressed = 0 AND v = 1))::DOUBLE AS count_0,
-             (count(*) FILTER (progressed = 1 AND v = 1))::DOUBLE AS count_1 FROM l GROUP BY variable)
-           SELECT variable, count_0, count_1, round(p0, 6) AS share_0, round(p1, 6) AS share_1,
-             round(abs(p0 - p1) / sqrt((p0 * (1 - p0) + p1 * (1 - p1)) / 2), 6) AS smd FROM s""")
-def baseline_history_table(t: Tables) -> DataFrame:
-    table = baseline_table(_with_history(t), "progressed", ["age"], {n: [1] for n in _NAMES})
-    shown = table.where(F.col("level") == "1").select("variable", "count_0", "count_1", "share_0", "share_1", "smd")
-    return _rounded(shown, ["share_0", "share_1", "smd"], 6)
+def _with_history(df: DataFrame) -> DataFrame:
+    """One 0/1 column per condition the entity had before entry."""
+    records = df.select("entity_id", "entry_date", F.inline("history"))
+    before = records.where(F.col("event_date") < F.col("entry_date"))
+    history = one_hot(before, "entity_id", "name", _NAMES)
+    return left_fill(df, history, "entity_id", {n: 0 for n in _NAMES})
+
+
+_CONTINUOUS = ["age", "follow_up_days"]
+_CATEGORICAL = {
+    "age_band": ["10-24", "25-40", "41-65", "65+"], "sex": ["F", "M"], "baseline_somatic": [0, 1],
+    "baseline_mental": [0, 1], **{n: [0, 1] for n in _NAMES},
+}
+_DIGITS = {"mean_0": 4, "mean_1": 4, "sd_0": 4, "sd_1": 4, "share_0": 6, "share_1": 6, "smd": 6}
+
+
+def _table_sql(source: str) -> str:
+    """Baseline table of a source with one row per entity, by ``progressed``."""
+    arms = "FILTER (progressed = 0)", "FILTER (progressed = 1)"
+    continuous = " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, avg({c}) {arms[0]} AS m0, avg({c}) {arms[1]} AS m1, "
+        f"stddev_samp({c}) {arms[0]} AS s0, stddev_samp({c}) {arms[1]} AS s1 FROM a" for c in _CONTINUOUS)
+    levels = " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, '{v}' AS level, (count(*) FILTER (progressed = 0 AND {c}::VARCHAR = '{v}'))::DOUBLE AS k0, "
+        f"(count(*) FILTER (progressed = 1 AND {c}::VARCHAR = '{v}'))::DOUBLE AS k1 FROM a"
+        for c, values in _CATEGORICAL.items() for v in values)
+    return f"""WITH h AS (SELECT entity_id, {_HISTORY} FROM r_conditions JOIN m_master USING (entity_id)
+        WHERE event_date < entry_date GROUP BY entity_id),
+      a AS (SELECT m.*, {', '.join(f'coalesce(h.{n}, 0) AS {n}' for n in _NAMES)} FROM ({source}) m LEFT JOIN h USING (entity_id)),
+      n AS (SELECT count(*) {arms[0]} AS n_0, count(*) {arms[1]} AS n_1 FROM a),
+      c AS ({continuous}), l AS ({levels}), p AS (SELECT *, k0 / n_0 AS p0, k1 / n_1 AS p1 FROM l, n)
+      SELECT n_0, n_1, variable, CAST(NULL AS VARCHAR) AS level, round(m0, 4) AS mean_0, round(m1, 4) AS mean_1,
+        round(s0, 4) AS sd_0, round(s1, 4) AS sd_1, NULL::DOUBLE AS count_0, NULL::DOUBLE AS count_1,
+        NULL::DOUBLE AS share_0, NULL::DOUBLE AS share_1,
+        round(abs(m0 - m1) / nullif(sqrt((s0 * s0 + s1 * s1) / 2), 0), 6) AS smd FROM c, n
+      UNION ALL SELECT n_0, n_1, variable, level, NULL, NULL, NULL, NULL, k0, k1, round(p0, 6), round(p1, 6),
+        round(abs(p0 - p1) / nullif(sqrt((p0 * (1 - p0) + p1 * (1 - p1)) / 2), 0), 6) FROM p"""
+
+
+def _table(df: DataFrame) -> DataFrame:
+    table = baseline_table(_with_history(df), "progressed", _CONTINUOUS, _CATEGORICAL)
+    return table.withColumns({c: F.round(c, d) for c, d in _DIGITS.items()})
+
+
+@query(_table_sql("SELECT * FROM c_indexed WHERE follow_up_days > 0"))
+def baseline_table_matched(t: Tables) -> DataFrame:
+    return _table(cut_lineage(t.indexed.where(F.col("follow_up_days") > 0)))
+
+
+@query(_table_sql("SELECT * FROM m_master WHERE follow_up_days > 0 AND age <= 25"))
+def baseline_table_unmatched(t: Tables) -> DataFrame:
+    """Before matching, the younger entities only."""
+    return _table(t.stored_master.where((F.col("follow_up_days") > 0) & (F.col("age") <= 25)))
 
 
 # Regression

@@ -31,7 +31,7 @@ def work_folder(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local session, where driver and
     executors share one machine, may fall back to a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

@@ -14,6 +14,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 WHITE = "\t-\r \x85\xa0  -     　"
 
 #: Chunks a worker remembers, pairs it remembers, rows and tokens it hands on at once.
-CACHE = 200_000
+CHUNKS, PIECES_KEPT = 400_000, 150_000
 PAIRS = 500_000
 ROWS_OUT = 512
 DECODE_BLOCK = 1 << 20
@@ -85,6 +86,7 @@ class Codec:
         self.shorter = [-1] * len(self.tokens)
         for token, i in ids.items():
             self.shorter[i] = next((ids[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ids), -1)
+        self.fits: dict[tuple[int, int], bool] = {}
         self.merged = {pair: i for i, pair in self.parents.items()}
         self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
@@ -92,20 +94,28 @@ class Codec:
         self.pieces = regex.compile(PIECES)
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-
-    def compatible(self, left: int, right: int) -> bool:
+        self.lengths = [len(t) for t in self.tokens]
+        self.ids = {t: i for t, i in ids.items() if self.stays_whole(i)}
+        self.young_chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.young_pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def stays_whole(self, token: int) -> bool:
+        """Whether the merges of this token's own bytes end in the token."""
+        parents = self.parents.get(token)
+        return parents is None or self.compatible(*parents, below=token)
+
+    def compatible(self, left: int, right: int, below: int | None = None) -> bool:
         """Whether the exact merges of both tokens' bytes end in just these two tokens.
 
         Undo the merges at the seam, latest first. The pair is broken if at some moment the two
-        pieces that touch could have merged before the later of them had been built.
+        pieces that touch could have merged before the later of them had been built. ``below``
+        asks for merges before that rank only.
         """
-        key = (left, right)
-        if (known := self.fits.get(key)) is not None:
-            return known
+        key, fine = (left, right), True
         # Merges of the left token precede those of the right one at equal rank.
-        limit, fine = len(self.tokens) + 1, True
+        limit = len(self.tokens) + 1 if below is None else below
         while True:
             joined = self.merged.get((left, right))
             if joined is not None and joined < limit:
@@ -118,48 +128,69 @@ class Codec:
                 limit, left = left, inner_left[1]
             else:
                 limit, right = right + 1, inner_right[0]
-        if len(self.fits) >= PAIRS:
-            self.fits.clear()
-        self.fits[key] = fine
+        if below is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
+            self.fits[key] = fine
         return fine
 
     def encode_piece(self, data: bytes) -> list[int]:
-        longest = [-1] * len(data)
-        best = [0] * len(data)
-        for end, (size, token) in self.automaton.iter(data.decode("latin-1")):
-            if size > best[end - size + 1]:
-                best[end - size + 1], longest[end - size + 1] = size, token
+        if (whole := self.ids.get(data)) is not None:
+            return [whole]
+        size, sizes, shorter, fits = len(data), self.lengths, self.shorter, self.fits
+        longest = [-1] * size
+        # Matches come in order of their ends, so the last one written for a start is the longest.
+        for end, (length, token) in self.automaton.iter(data.decode("latin-1")):
+            longest[end - length + 1] = token
         out: list[int] = []
-        open_at = bytearray(b"\x01") * (len(data) + 1)
+        left_for_good = set()
         at, token = 0, longest[0]
-        while at < len(data):
+        while at < size:
             while token >= 0:
-                end = at + len(self.tokens[token])
-                if open_at[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + sizes[token]
+                if end not in left_for_good:
+                    if not out:
+                        break
+                    fine = fits.get((out[-1], token))
+                    if fine is None:
+                        fine = self.compatible(out[-1], token)
+                    if fine:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at = end
-                token = longest[at] if at < len(data) else -1
+                token = longest[at] if at < size else -1
             else:
-                open_at[at] = 0
+                left_for_good.add(at)
                 token = out.pop()
-                at -= len(self.tokens[token])
-                token = self.shorter[token]
+                at -= sizes[token]
+                token = shorter[token]
         return out
 
     def encode_chunk(self, chunk: str) -> bytes:
-        ids = [i for piece in self.pieces.findall(chunk) for i in self.encode_piece(piece.encode())]
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        self.known[chunk] = out = np.array(ids, dtype=np.int32).tobytes()
+        """Ids of a chunk that the young generation of chunks does not hold."""
+        out = self.old_chunks.get(chunk)
+        if out is None:
+            out = b""
+            for piece in self.pieces.findall(chunk):
+                found = self.young_pieces.get(piece) or self.old_pieces.get(piece)
+                if found is None:
+                    found = array("i", self.encode_piece(piece.encode())).tobytes()
+                    self.young_pieces[piece] = found
+                out += found
+            if len(self.young_pieces) >= PIECES_KEPT:
+                self.old_pieces, self.young_pieces = self.young_pieces, {}
+        if len(self.young_chunks) >= CHUNKS:
+            self.old_chunks, self.young_chunks = self.young_chunks, {}
+        self.young_chunks[chunk] = out
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        parts, known, at = [], self.known, 0
+        parts, at = [], 0
         stops = [(m.start(), m.end()) for m in self.special.finditer(text)] if self.specials else []
         for start, end in [*stops, (len(text), len(text))]:
+            known = self.young_chunks
             for chunk in self.chunks.findall(text[at:start] if stops else text):
                 parts.append(known.get(chunk) or self.encode_chunk(chunk))
             if end > start:

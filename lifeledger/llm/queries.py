@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lifeledger.llm import bpe, quality, secrets
+from lifeledger.llm import bpe, decontaminate, jaccard, quality, secrets
 from lifeledger.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,14 +23,24 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.found(scanned, secrets.cutoffs(scanned)))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op5_decontaminate": op5_decontaminate,
     "op7_bpe": op7_bpe,
+    "op8_jaccard": op8_jaccard,
 }
 
 ORACLES: dict[str, str] = {}

@@ -12,8 +12,9 @@ lists of a document are set aside and only its short ones are merged:
    are compared with the first and last of the list only.
 3. The pairs that stay are decided exactly, by binary search of the smaller set in the larger one.
 4. Links so far are closed to components. What long lists may still hold is pairs across components;
-   similarity distance is a metric, so the distances to the list's first and last member bound it, for
-   whole components first and for single members then. The pairs not excluded are decided exactly.
+   the merged shingles a document has outside them bound its partners' sizes, and similarity distance
+   is a metric, so the distances to the list's first and last member exclude pairs, for whole
+   components first and for single members then. The pairs not excluded are decided exactly.
 
 No link between different texts is lost. The frequent shingles come from a bounded sample; they only
 choose the order, which the result does not depend on. Null and empty texts have no shingles and no
@@ -94,24 +95,28 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, shingles array<bigint>")
 
 
-def frequent_shingles(docs: DataFrame, words: int, sample: int, short: int) -> np.ndarray:
-    """Sorted hashes of shingles whose lists a sample of documents shows to be long."""
+def frequent_shingles(docs: DataFrame, words: int, sample: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles whose lists a sample of documents shows to be long, and their ranks, rarest first."""
     every = max(1, docs.count() // sample)
     least = max(3, short // (2 * every))
     some = shingle_sets(docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), words)
     top = some.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= least)
-    rows = top.orderBy(F.desc("count"), "s").limit(FREQUENT).select("s").toArrow()
-    return np.sort(np.asarray(rows.column(0)))
+    rows = top.orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
+    often, counts = np.asarray(rows.column(0)), np.asarray(rows.column(1))
+    order = np.argsort(often)
+    ranks = np.empty(len(often), np.int64)
+    ranks[np.lexsort((often[order], counts[order]))] = np.arange(len(often))
+    return often[order], ranks
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
     """Set size, class hashes and the shingles to merge, split into cold and frequent, of each (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        sets, often = Shingler(words), shared.value
+        sets, (often, ranks) = Shingler(words), shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -119,15 +124,15 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int, percent: int)
                 for text in part.column(1).to_pylist():
                     s = sets(text)
                     digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
-                    is_hot = np.zeros(len(s), bool)
-                    if len(often):
-                        is_hot = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+                    at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
+                    is_hot = often[at] == s if len(often) else np.zeros(len(s), bool)
+                    last = s[is_hot][np.argsort(ranks[at[is_hot]])] if is_hot.any() else s[:0]
                     first = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     n.append(len(s))
                     c1.append(digest[0])
                     c2.append(digest[1])
                     cold.append(s[~is_hot][:first])
-                    hot.append(s[is_hot][: first - len(cold[-1])])
+                    hot.append(last[: first - len(cold[-1])])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()),
                      _lists(cold), _lists(hot)],
@@ -265,16 +270,33 @@ def _short_candidates(lists: DataFrame, lost: DataFrame, percent: int) -> DataFr
     return pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _members(docs: DataFrame, lost: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Entries (s, id, n, most) of long lists that could still hold a link; ``most`` is the largest partner.
+
+    A pair that shares a short list is settled there. Any other pair shares none of the shingles that
+    were merged for either side, so its overlap is at most what they leave of each set. That bounds
+    the size of a partner, and whoever fits no other size in a list leaves it.
+    """
+    docs = docs.join(lost, "id", "left").select(
+        "id", "n", F.floor(
+            (100 + percent) * (F.col("n") - F.col("merged") + F.coalesce("extra", F.lit(0))) / percent - F.col("n")
+        ).cast("int").alias("most")
+    )
+    rows = lists.join(docs, "id")
+    least = rows.groupBy("s").agg(F.min("n").alias("least"), F.max("most").alias("best"))
+    return rows.join(least, "s").where("most >= least AND n <= best").select("s", "id", "n", "most")
+
+
 def _ends(members: DataFrame) -> DataFrame:
     """First and last member of each list of more than one."""
     return members.groupBy("s").agg(
-        F.min(F.struct("id", "n")).alias("first"), F.max(F.struct("id", "n")).alias("last")
+        F.min(F.struct("id", "n", "most")).alias("first"), F.max(F.struct("id", "n", "most")).alias("last")
     ).where("first.id != last.id")
 
 
 def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
     ends = _ends(members).select("s", F.explode(F.array("first", "last")).alias("p"))
-    pairs = members.join(ends, "s").where("id != p.id").where(_similar_sizes(F.col("n"), F.col("p.n"), percent))
+    pairs = members.join(ends, "s").where("id != p.id AND n <= p.most AND p.n <= most").where(_similar_sizes(F.col("n"), F.col("p.n"), percent))
     return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
@@ -293,8 +315,8 @@ def _cross_pairs(members: DataFrame, checked: DataFrame, nodes: DataFrame, perce
         rows = rows.withColumn("end", F.col(f"{end}.id")).join(to_end, ["id", "end"], "left").withColumn(
             d, F.when(F.col("id") == F.col("end"), 0.0).otherwise(F.col("d"))
         ).drop("end", "d")
-    rows = stored(rows.select("s", "id", "n", "component", "d1", "d2"), "long-lists")
-    spans = [F.min("n").alias("n0"), F.max("n").alias("n1")]
+    rows = stored(rows.select("s", "id", "n", "most", "component", "d1", "d2"), "long-lists")
+    spans = [F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("most")]
     for d in ("d1", "d2"):
         spans += [F.min(F.coalesce(d, F.lit(0.0))).alias(f"{d}0"), F.max(F.coalesce(d, F.lit(1.0))).alias(f"{d}1")]
     groups = rows.groupBy("s", "component").agg(*spans)
@@ -303,13 +325,13 @@ def _cross_pairs(members: DataFrame, checked: DataFrame, nodes: DataFrame, perce
     close = x.join(y, F.col("x.s") == F.col("y.s")).where("x.component < y.component").where(
         ~apart("d1") & ~apart("d2") & (100 * F.col("x.n1") >= percent * F.col("y.n0"))
         & (100 * F.col("y.n1") >= percent * F.col("x.n0"))
-    ).select("x.s", F.col("x.component").alias("cx"), F.col("y.component").alias("cy"))
+    ).where("x.n0 <= y.most AND y.n0 <= x.most").select("x.s", F.col("x.component").alias("cx"), F.col("y.component").alias("cy"))
     mine = rows.select("s", F.col("component").alias("cx"), F.col("id").alias("i"), F.col("n").alias("ni"),
-                       F.col("d1").alias("i1"), F.col("d2").alias("i2"))
+                       F.col("most").alias("mi"), F.col("d1").alias("i1"), F.col("d2").alias("i2"))
     other = rows.select("s", F.col("component").alias("cy"), F.col("id").alias("j"), F.col("n").alias("nj"),
-                        F.col("d1").alias("j1"), F.col("d2").alias("j2"))
+                        F.col("most").alias("mj"), F.col("d1").alias("j1"), F.col("d2").alias("j2"))
     within = lambda p, q: F.coalesce(F.abs(F.col(p) - F.col(q)) <= most, F.lit(True))
-    pairs = close.join(mine, ["s", "cx"]).join(other, ["s", "cy"]).where(
+    pairs = close.join(mine, ["s", "cx"]).join(other, ["s", "cy"]).where("ni <= mj AND nj <= mi").where(
         within("i1", "j1") & within("i2", "j2") & _similar_sizes(F.col("ni"), F.col("nj"), percent)
     )
     pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
@@ -337,9 +359,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     )
     turned_long = lists.where("b IS NULL").select("s", F.col("a").alias("id"), F.col("na").alias("n"))
     lost = turned_long.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("extra"))
-    members = stored(
-        mine.select(F.explode("hot").alias("s"), "id", "n").unionByName(turned_long), "long-members"
-    )
+    members = stored(_members(
+        mine.select("id", "n", F.size("cold").alias("merged")), lost,
+        mine.select(F.explode("hot").alias("s"), "id").unionByName(turned_long.select("s", "id")), percent,
+    ), "long-members")
     pairs = _short_candidates(lists, lost, percent).unionByName(_star_pairs(members, percent)).distinct()
     checked = stored(_verified(stored(pairs, "pairs"), known, words), "checked")
     links = checked.where(_linked(percent)).select("a", "b")

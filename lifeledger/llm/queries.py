@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lifeledger.llm import bpe, decontaminate, jaccard, quality, secrets
+from lifeledger.llm import bpe, chat, decontaminate, extract, jaccard, quality, secrets, urls
 from lifeledger.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.weights(docs, table(spark, sf_dir, "labels").where("quality = 1")))
@@ -35,12 +39,23 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
     "op5_decontaminate": op5_decontaminate,
     "op7_bpe": op7_bpe,
     "op8_jaccard": op8_jaccard,
+    "op9_urls": op9_urls,
+    "op10_extract": op10_extract,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat": chat.SQL, "op9_urls": urls.sql()}

@@ -64,7 +64,7 @@ def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col
     return packed.select(F.when(F.col("n_good") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("weights"))
 
 
-def _windows(hashes: str) -> Column:
+def windows_of(hashes: str) -> Column:
     """64-bit hash of every window of adjacent words."""
     found = F.transform(
         F.sequence(F.lit(0), F.size(hashes) - WINDOW),
@@ -116,7 +116,7 @@ def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
     has_word = lambda line: F.length(F.translate(line, WHITE_CHARS, "")) > 0
     rows = rows.withColumns({
         "lines": F.filter(F.split("text", "\n"), has_word),
-        "windows": _windows("hashes"),
+        "windows": windows_of("hashes"),
         "features": _buckets("hashes", buckets),
     }).select(
         *(["row"] if keep else []), "id", "features", "windows",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lifeledger.llm import bpe, chat, decontaminate, extract, jaccard, quality, secrets, urls
+from lifeledger.llm import bpe, chat, decontaminate, extract, jaccard, language, quality, secrets, toxicity, urls
 from lifeledger.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,10 +27,20 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.found(scanned, secrets.cutoffs(scanned)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER))
 
@@ -51,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op6_language": op6_language,
     "op7_bpe": op7_bpe,
     "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,

@@ -43,7 +43,9 @@ WINDOW = 40
 WORD_CACHE = 400_000
 #: Share of toxic documents taken to hold a misspelled term; weight of a hit that is only quoted; and what a
 #: document without a hit loses in log odds.
-FUZZY_SHARE, QUOTED, NO_HIT = 0.05, 0.4, 3.0
+FUZZY_SHARE, QUOTED, NO_HIT = 0.02, 0.4, 3.0
+#: Letters by which the words that begin like a term are counted.
+HEAD = 2
 
 WORD = re.compile(r"[^\W\d_]+")
 # Quotation marks, and words that report speech.
@@ -80,8 +82,8 @@ class Lexicon:
             found = node.get("", {}).get(True, found)
         return node.get("", {}).get(False, found)
 
-    def fuzzy(self, word: str) -> bool:
-        """Whether the word, or for beginnings a start of it, is within ``MAX_EDITS`` of a long term.
+    def fuzzy(self, word: str) -> int | None:
+        """Number of a long term that the word, or for beginnings a start of it, is within ``MAX_EDITS`` of.
 
         States are (letters read, trie node, edits, depth, last letter read as it is). Without an edit
         left a state has one way on, so the search dies as soon as the word leaves the trie.
@@ -92,10 +94,10 @@ class Lexicon:
             at, node, edits, depth, clean = stack.pop()
             ends = node.get("", ())
             if False in ends and depth >= FUZZY_FROM and size - at <= MAX_EDITS - edits:
-                return True
+                return ends[False]
             # Beginnings need their last letter, else any longer word would do.
             if True in ends and depth >= FUZZY_START_FROM and clean:
-                return True
+                return ends[True]
             letter = word[at] if at < size else None
             child = node.get(letter) if letter else None
             if child is not None:
@@ -108,22 +110,26 @@ class Lexicon:
                         stack.append((at, other, edits + 1, depth + 1, False))
                         if letter and c != letter:
                             stack.append((at + 1, other, edits + 1, depth + 1, False))
-        return False
+        return None
 
     def kind(self, word: str) -> int:
-        """0 for no hit, 1 for a fuzzy one, else 2 and the number of the term."""
+        """0 for no hit; odd for a fuzzy, even for an exact hit of term (kind - 1) // 2."""
         found = self.known.get(word)
         if found is None:
             low = word.lower()
             found = self.exact(low)
-            found = 2 + found if found is not None else int(len(low) >= FUZZY_FROM - 1 and self.fuzzy(low))
+            if found is not None:
+                found = 2 * found + 2
+            else:
+                found = self.fuzzy(low) if len(low) >= FUZZY_FROM - 1 else None
+                found = 0 if found is None else 2 * found + 1
             if len(self.known) >= WORD_CACHE:
                 self.known.clear()
             self.known[word] = found
         return found
 
-    def hits(self, text: str) -> tuple[int, dict[int, list[int]]]:
-        """Number of words, and by kind of hit the numbers of different words used and only quoted.
+    def hits(self, text: str) -> tuple[list[str], dict[int, list[int]]]:
+        """All words, and by kind of hit the numbers of different words used and only quoted.
 
         A word counts once, however often a text repeats it.
         """
@@ -136,7 +142,7 @@ class Lexicon:
                     said[w] = quoted(text, m.start(), m.end())
             for w, only_quoted in said.items():
                 out.setdefault(found[w], [0, 0])[only_quoted] += 1
-        return len(words), out
+        return words, out
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -232,20 +238,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hits of each kind in clean texts, and under kind 0 their words."""
         trie, counts = Lexicon([t[:2] for t in shared.value]), Counter()
+        # Words that begin like a term are counted under the term's first number below 0.
+        numbers: dict[str, int] = {}
+        for number, term in enumerate(shared.value):
+            numbers.setdefault(term[0][:HEAD], -1 - number)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                n, found = trie.hits(text)
-                counts[0] += n
+                words, found = trie.hits(text)
+                counts[0] += len(words)
                 counts.update({k: sum(v) for k, v in found.items()})
+                counts.update(k for w in words if (k := numbers.get(w[:HEAD].lower())))
         yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(counts.values(), pa.int64())], names=["kind", "n"])
 
     hits = {r["kind"]: r["n"] for r in sample.where("toxic = 0").select("text").mapInArrow(
         chance, "kind bigint, n bigint").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    heads: dict[str, float] = {}
+    for number, term in enumerate(terms):
+        heads.setdefault(term[0][:HEAD], (hits.get(-1 - number, 0) + 1) / (hits.get(0, 0) + 1))
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    rates = [(hits.get(k, 0) + 0.5) / (hits.get(0, 0) + 1) for k in range(1, len(terms) + 2)]
-    shares = [FUZZY_SHARE, *[min(1.0, (t[2] + 0.5) / (toxic + 1)) for t in terms]]
-    return {"terms": terms, "rates": rates, "shares": shares, "prior": math.log((toxic + 0.5) / (clean + 0.5))}
+    rates = [(hits.get(k, 0) + 0.5) / (hits.get(0, 0) + 1) for k in range(1, 2 * len(terms) + 1)]
+    shares = [x for t in terms for x in (FUZZY_SHARE, min(1.0, (t[2] + 0.5) / (toxic + 1)))]
+    return {"terms": terms, "rates": rates, "shares": shares, "heads": heads, "prior": math.log((toxic + 0.5) / (clean + 0.5))}
 
 
 def rate_text(trie: Lexicon, model: dict, text: str) -> tuple[float, int, int, int]:
@@ -255,15 +269,19 @@ def rate_text(trie: Lexicon, model: dict, text: str) -> tuple[float, int, int, i
     the chance that a clean text of this length holds it as often (a Poisson tail). A kind that is only
     quoted counts for ``QUOTED`` of that.
     """
-    n, found = trie.hits(text)
+    words, found = trie.hits(text)
     logit, exact, fuzzy, in_quotes = 0.0, 0, 0, 0
+    heads = Counter(w[:HEAD].lower() for w in words) if found else {}
     for kind, (used, said) in found.items():
         times = used or said
-        expected = max(model["rates"][kind - 1] * n, 1e-12)
+        head = model["terms"][(kind - 1) // 2][0][:HEAD]
+        # A text in which many words begin like the term, as in one language of several, holds it more often.
+        lean = max(1.0, (heads[head] - times) / len(words) / model["heads"][head])
+        expected = max(model["rates"][kind - 1] * len(words) * lean, 1e-12)
         odds = math.log(model["shares"][kind - 1]) + max(0.0, -times * math.log(expected) + math.lgamma(times + 1))
         logit += max(0.0, odds) * (1.0 if used else QUOTED)
         in_quotes += said
-        if kind == 1:
+        if kind % 2:
             fuzzy += used + said
         else:
             exact += used + said

@@ -132,10 +132,13 @@ def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
         "n_repeat_words": repeats.cast("long"),
         "score": F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0),
     })
+    # The row number is always true here. It keeps a filter on ``kept`` above this projection: pushed below,
+    # the nested array expressions would be repeated in it again and again.
+    here = F.monotonically_increasing_id() >= 0
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.select(
         *(["row"] if keep else []), F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= min_score)).alias("kept"), "score",
+        "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("score") >= min_score) & here).alias("kept"), "score",
     )
 
 

@@ -462,7 +462,7 @@ def test_pipeline_equals_its_steps(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     good = quality.score(docs, quality.weights(docs, spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1")))
     keep = {r["doc_id"] for r in good.where("kept").collect()}
-    assert keep <= {i for i, t in texts.items() if not base_rules(t)[-1]} and len(keep) > 0.8 * len(texts)
+    assert keep <= {i for i, t in texts.items() if not base_rules(t)[-1]} and len(keep) > 0.7 * len(texts)
     groups = brute_components([(i, texts[i]) for i in sorted(keep)])
     keep = {i for i, (_, c) in groups.items() if c == i}
     items = [re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]

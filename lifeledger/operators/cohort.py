@@ -23,7 +23,7 @@ from lifeledger.functions import (
     null_if,
     replace_null,
 )
-from lifeledger.operators.aggregates import count_violations, distinct_rows, first_per_key, key_set, last_per_key
+from lifeledger.operators.aggregates import count_violations, first_per_key, key_set, last_per_key
 from lifeledger.operators.relational import code_map, in_keys, left_fill, overwrite, stack
 
 
@@ -64,8 +64,13 @@ def index_event(events: DataFrame, dates: StudyDates, tie_break: Sequence[str] =
 
 
 def refresh_death(master: DataFrame, updates: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
-    """Replace the death columns by those of newer files; entities in no file drop out."""
-    newest = distinct_rows(stack(updates))
+    """Replace the death columns by those of newer files; entities in no file drop out.
+
+    Files come in order of age. Where they disagree the newest file counts, inside a file the first row
+    in the order of its columns, so that every entity keeps one row.
+    """
+    ranked = stack([u.withColumn("_age", F.lit(len(updates) - k)) for k, u in enumerate(updates)])
+    newest = first_per_key(ranked, ["entity_id"], ["_age", *columns]).drop("_age")
     return overwrite(master, newest, "entity_id", columns)
 
 

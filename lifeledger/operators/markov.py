@@ -17,13 +17,12 @@ TRANSITIONS = {
 }
 ABSORBING = ["DEAD", "LISU"]
 N_PROBABILITIES = 16
-SUBGROUPS = 16
 PERIOD = 10
 
 
-def start(cohorts: DataFrame, weights: DataFrame, subgroups: int = SUBGROUPS) -> DataFrame:
+def start(cohorts: DataFrame, weights: DataFrame) -> DataFrame:
     """(cohort, subgroup, state array at t = 0): everybody starts in the first state."""
-    pairs = cross_param(cohorts, weights, "subgroup", subgroups)
+    pairs = cross_param(cohorts, weights)
     first = F.col("incidence").cast("double") * F.col("weight")
     rest = [F.lit(0.0)] * (len(STATES) - 1)
     return pairs.select("cohort", "subgroup", F.array(first, *rest).alias("state"))
@@ -51,7 +50,10 @@ def cycles(params: DataFrame, period: int = PERIOD) -> DataFrame:
     per_cycle = params.where(F.col("t") < period).groupBy("subgroup", "t").pivot(
         "ix", list(range(N_PROBABILITIES))
     ).agg(F.max("p"))
-    lists = F.array(*[F.coalesce(F.col(f"`{i}`"), F.lit(0.0)) for i in range(N_PROBABILITIES)])
+    lists = F.array(*[
+        F.coalesce(F.col(f"`{i}`"), F.raise_error(F.lit(f"transition probability {i} is missing")).cast("double"))
+        for i in range(N_PROBABILITIES)
+    ])
     packed = per_cycle.select("subgroup", F.struct("t", lists.alias("p")).alias("cycle"))
     # At most ``period`` entries per subgroup.
     return packed.groupBy("subgroup").agg(F.sort_array(F.collect_list("cycle")).alias("cycles"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lifeledger.functions import inclusive_days, later
 from lifeledger.operators.aggregates import rank_within
 from lifeledger.operators.relational import stack
-from lifeledger.session import cut_lineage
+from lifeledger.session import by_value, cut_lineage
 
 # The study's matching ratio and caliper in standard deviations of the distance.
 RATIO = 4
@@ -50,7 +50,7 @@ def propensity(
     covariates = [*numeric, *binary]
     cells = cut_lineage(df.groupBy(by, *covariates).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(arm).cast("double")).alias("share")
-    ).coalesce(1))
+    ))
     groups = [r[0] for r in cells.select(by).distinct().sort(by).collect()]
     score = None
     for g in groups:
@@ -189,3 +189,6 @@ def stack_cohorts(frames: Sequence[DataFrame]) -> DataFrame:
     """Matched cohorts under each other, with the shared date as index date and the period from there."""
     stacked = stack(frames).withColumnRenamed("progression_date", "index_date")
     return stacked.withColumn("follow_up_days", inclusive_days(F.col("index_date"), F.col("follow_up_end")))
+
+
+by_value(__name__)

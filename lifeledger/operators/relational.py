@@ -49,12 +49,9 @@ def any_rule(*rules: Column) -> Column:
     return reduce(lambda a, b: a | b, [replace_null(r, False) for r in rules])
 
 
-def pattern_from_table(table: DataFrame, column: str, limit: int = 5_000) -> str:
-    """One alternation out of a rule table, which has to be short."""
-    patterns = [r[0] for r in table.select(column).distinct().sort(column).limit(limit + 1).collect()]
-    if len(patterns) > limit:
-        raise ValueError(f"more than {limit} patterns: use regex_join")
-    return one_pattern(patterns)
+def pattern_from_table(table: DataFrame, column: str) -> str:
+    """One alternation of all patterns in a rule table; for large tables ``regex_join`` is the better way."""
+    return one_pattern([r[0] for r in table.select(column).distinct().sort(column).collect()])
 
 
 def conflicting_keys(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -153,10 +150,10 @@ def join_window(
     return joined.drop("_salt")
 
 
-def cross_param(left: DataFrame, right: DataFrame, index: str, size: int) -> DataFrame:
-    """Every left row with every row of a parameter table numbered 0 ... size-1 in ``index``."""
-    spread = left.withColumn(index, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    return spread.join(right, on=index, how="inner")
+def cross_param(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every left row with every row of a parameter table, which is packed into one value."""
+    packed = right.agg(F.collect_list(F.struct(*right.columns)).alias("rows")).scalar()
+    return left.withColumn("_rows", packed).select(*left.columns, F.inline("_rows"))
 
 
 # Set operations and sorts

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lifeledger.functions import normal_sf
 from lifeledger.operators.relational import stack
+from lifeledger.session import by_value
 
 
 def _sums(df: DataFrame, arm: str, continuous: Sequence[str], categorical: Mapping[str, Sequence]) -> DataFrame:
@@ -135,3 +136,6 @@ def baseline_tests(
                                F.lit(float(freedom)).alias("df"))
                    .withColumn("p", _chi_sf(F.col("statistic"), freedom)))
     return stack(out)
+
+
+by_value(__name__)

@@ -240,7 +240,7 @@ def equi_plus_date_range_join(t: Tables) -> DataFrame:
 
 @query("SELECT cohort, subgroup, incidence, round(weight, 8) AS weight FROM k_incidence, k_weights")
 def cross_param(t: Tables) -> DataFrame:
-    return rel.cross_param(t.incidence, t.weights, "subgroup", 16).withColumn("weight", F.round("weight", 8))
+    return rel.cross_param(t.incidence, t.weights).withColumn("weight", F.round("weight", 8))
 
 
 # Aggregates

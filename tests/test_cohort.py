@@ -169,3 +169,11 @@ def test_rules_find_nothing_in_a_sound_row(spark):
     r["progression_date"] = D(2016, 1, 1)
     bad = cohort.check_timeline(spark.createDataFrame([tuple(r.values())], schema))
     assert {x["rule"] for x in bad.where("violations > 0").collect()} == {"progression_not_before_recovery", "post_onset_before_progression"}
+
+
+def test_refresh_death_keeps_one_row_of_files_that_disagree(spark):
+    master = spark.createDataFrame([(1, None), (2, None)], "entity_id long, death_date date")
+    old = spark.createDataFrame([(1, date(2015, 1, 1)), (2, None)], "entity_id long, death_date date")
+    new = spark.createDataFrame([(1, date(2016, 2, 2)), (1, date(2017, 1, 1))], "entity_id long, death_date date")
+    got = cohort.refresh_death(master, [old, new], ["death_date"]).collect()
+    assert sorted(map(tuple, got)) == [(1, date(2016, 2, 2)), (2, None)]

@@ -38,7 +38,7 @@ def test_projection_equals_matrix_products(spark):
     probabilities, rows = params(spark, 2, 3)
     cohorts = spark.createDataFrame([(2014, 100), (2015, 50)], "cohort int, incidence int")
     weights = spark.createDataFrame([(0, 0.25), (1, 0.75)], "subgroup int, weight double")
-    starts = markov.start(cohorts, weights, 2)
+    starts = markov.start(cohorts, weights)
     got = {(r["cohort"], r["subgroup"], r["t"], r["state"]): r["occupancy"] for r in markov.markov_project(starts, probabilities, 3).collect()}
     assert len(got) == 2 * 2 * 4 * 6
     for cohort, n in ((2014, 100), (2015, 50)):

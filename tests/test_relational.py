@@ -117,3 +117,10 @@ def test_year_slice_prunes_partitions(spark):
     out = sources.read_extract(spark, [path], years=[2001])
     assert out.count() == 25
     assert "PartitionFilters: [isnotnull(extract_year" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cross_param_keeps_every_parameter_row(spark):
+    left = spark.createDataFrame([(1,), (2,)], "cohort int")
+    right = spark.createDataFrame([(i, i / 20) for i in range(20)], "subgroup int, weight double")
+    assert rel.cross_param(left, right).distinct().count() == 40
+    assert rel.cross_param(left, right.limit(0)).count() == 0

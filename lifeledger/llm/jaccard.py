@@ -325,13 +325,24 @@ def _cross_pairs(members: DataFrame, checked: DataFrame, nodes: DataFrame, perce
     close = x.join(y, F.col("x.s") == F.col("y.s")).where("x.component < y.component").where(
         ~apart("d1") & ~apart("d2") & (100 * F.col("x.n1") >= percent * F.col("y.n0"))
         & (100 * F.col("y.n1") >= percent * F.col("x.n0"))
-    ).where("x.n0 <= y.most AND y.n0 <= x.most").select("x.s", F.col("x.component").alias("cx"), F.col("y.component").alias("cy"))
+    ).where("x.n0 <= y.most AND y.n0 <= x.most").select(
+        "x.s", F.col("x.component").alias("cx"), F.col("y.component").alias("cy"),
+        # A member has to suit the whole other component before it is paired with its members.
+        *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("n0", "most", "d10", "d11", "d20", "d21")],
+    )
     mine = rows.select("s", F.col("component").alias("cx"), F.col("id").alias("i"), F.col("n").alias("ni"),
                        F.col("most").alias("mi"), F.col("d1").alias("i1"), F.col("d2").alias("i2"))
     other = rows.select("s", F.col("component").alias("cy"), F.col("id").alias("j"), F.col("n").alias("nj"),
                         F.col("most").alias("mj"), F.col("d1").alias("j1"), F.col("d2").alias("j2"))
     within = lambda p, q: F.coalesce(F.abs(F.col(p) - F.col(q)) <= most, F.lit(True))
-    pairs = close.join(mine, ["s", "cx"]).join(other, ["s", "cy"]).where("ni <= mj AND nj <= mi").where(
+    suits = lambda n, m, one, two, side: (
+        (F.col(n) <= F.col(f"{side}_most")) & (F.col(f"{side}_n0") <= F.col(m))
+        & F.coalesce(F.col(one).between(F.col(f"{side}_d10") - most, F.col(f"{side}_d11") + most), F.lit(True))
+        & F.coalesce(F.col(two).between(F.col(f"{side}_d20") - most, F.col(f"{side}_d21") + most), F.lit(True))
+    )
+    halves = close.join(mine, ["s", "cx"]).where(suits("ni", "mi", "i1", "i2", "y"))
+    whole = halves.join(other, ["s", "cy"]).where(suits("nj", "mj", "j1", "j2", "x"))
+    pairs = whole.where("ni <= mj AND nj <= mi").where(
         within("i1", "j1") & within("i2", "j2") & _similar_sizes(F.col("ni"), F.col("nj"), percent)
     )
     pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()

@@ -94,16 +94,18 @@ def rank_within(
 ) -> DataFrame:
     """Number the rows of each key 1, 2, ... without sorting a whole key in one task.
 
-    Rows are ordered by (block, id), the block being a hash of the id: each block is numbered
-    alone and then shifted by the size of the blocks before it.
+    Rows are ordered by the MD5 of the id's text, then the id. Its first six hex digits name the
+    block: each block is numbered alone and then shifted by the size of the blocks before it.
     """
-    blocked = df.withColumn("_block", F.pmod(F.xxhash64(F.col(row_id)), F.lit(blocks)).cast("int"))
+    blocked = df.withColumn("_digest", F.md5(F.col(row_id).cast("string")))
+    place = F.conv(F.substring("_digest", 1, 6), 16, 10).cast("long")
+    blocked = blocked.withColumn("_block", F.floor(place * blocks / (1 << 24)).cast("int"))
     sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = prefix_offsets(sizes, keys, "_block", "_n").drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(row_id))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("_digest", row_id))
     return (
         blocked.withColumn("_inside", inside)
         .join(offsets, on=[*keys, "_block"])
         .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_block", "_inside", "_offset")
+        .drop("_digest", "_block", "_inside", "_offset")
     )

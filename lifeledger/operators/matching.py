@@ -176,6 +176,33 @@ def match_nearest(
     return stack([kept.select(*columns), matched.select(*columns)])
 
 
+def match_strata(
+    df: DataFrame, key: str, arm: str, strata: Sequence[str], ratio: int = RATIO
+) -> DataFrame:
+    """1:``ratio`` matching on equal strata, without replacement; every case is kept.
+
+    Cases and controls of a stratum are numbered in the order of :func:`rank_within`. Control j goes
+    to case (j - 1) mod cases + 1, so each case gets its first control before any gets a second;
+    controls beyond ``ratio`` per case stay out, and a case for whom none is left stands alone.
+    Returns the matched rows with ``subclass`` (the key of the case) and ``match_no`` (0 for the case).
+    No stratum is sorted in one task, and the numbers meet by equi joins.
+    """
+    ranked = cut_lineage(rank_within(df, [*strata, arm], key, "_no"))
+    cases = ranked.where(F.col(arm) == 1)
+    sizes = cases.groupBy(*strata).agg(F.count(F.lit(1)).alias("_cases"))
+    turn = F.floor((F.col("_no") - 1) / F.col("_cases"))
+    placed = (
+        ranked.where(F.col(arm) == 0).join(sizes, on=list(strata)).where(turn < ratio)
+        .withColumns({"_case_no": (F.col("_no") - 1) % F.col("_cases") + 1, "match_no": (turn + 1).cast("int")})
+    )
+    subclass = cases.select(*strata, F.col("_no").alias("_case_no"), F.col(key).alias("subclass"))
+    columns = [*df.columns, "subclass", "match_no"]
+    return stack([
+        cases.withColumns({"subclass": F.col(key), "match_no": F.lit(0)}).select(*columns),
+        placed.join(subclass, on=[*strata, "_case_no"]).select(*columns),
+    ])
+
+
 def share_case_date(
     df: DataFrame, arm: str = "progressed", date: str = "progression_date", group: Sequence[str] = ("cohort_year", "subclass")
 ) -> DataFrame:

@@ -62,6 +62,32 @@ def matched_index_dates(t: Tables) -> DataFrame:
         "entity_id", "cohort_year", "progressed", "subclass", "index_date", "follow_up_days")
 
 
+@query(name="matched_cohort_cost")
+def matched_cohort_cost(t: Tables) -> DataFrame:
+    """The study's own matching, priced: cohort, scores, caliper matching, shared date, costs, arms."""
+    indexed = cut_lineage(study.matched_cohort(t.stored_master))
+    costed = study.costed_cohort(indexed, t.ed_visits, t.ward_stays, t.services)
+    return _rounded(cost.arm_summary(costed), ["mean_cost_py", "mean_cost"])
+
+
+@query("SELECT entity_id, cohort_year, progressed, subclass, match_no FROM c_matched")
+def match_strata(t: Tables) -> DataFrame:
+    return t.matched.select("entity_id", "cohort_year", "progressed", "subclass", "match_no")
+
+
+@query("""SELECT cohort_year, count(*) AS eligible_cases, count(*) AS matched_cases,
+            (SELECT count(*) FROM c_matched c WHERE c.progressed = 0 AND c.cohort_year = m.cohort_year) AS matched_controls
+          FROM m_master m WHERE progressed = 1 GROUP BY cohort_year""")
+def matched_counts(t: Tables) -> DataFrame:
+    """Cases that could be matched beside those that are: no case may be lost."""
+    eligible = t.stored_master.groupBy("cohort_year").agg(F.count_if(F.col("progressed") == 1).alias("eligible_cases"))
+    matched = t.matched.groupBy("cohort_year").agg(
+        F.count_if(F.col("progressed") == 1).alias("matched_cases"),
+        F.count_if(F.col("progressed") == 0).alias("matched_controls"),
+    )
+    return eligible.where("eligible_cases > 0").join(matched, "cohort_year")
+
+
 @query("SELECT entity_id, cohort_year, subclass, entry_date, progression_date FROM c_shared")
 def share_case_date(t: Tables) -> DataFrame:
     return matching.share_case_date(t.matched).select(

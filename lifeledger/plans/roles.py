@@ -55,6 +55,7 @@ SUB_SPECIALTIES = ["VITO", "VITP", "VOS", "DHOT", "DHPT", "OT", "PT", "GEN", Non
 EIS_SPECIALTIES = ["PSY", "MED", None]
 ED_COLUMNS = [f"dx_{i}" for i in range(1, 8)]
 STAY_COLUMNS = ["dx_1", "dx_2", "dx_3"]
+STRATA = ["cohort_year", "sex", "age_band"]
 
 
 def _pick(values: Sequence, index: Column) -> Column:
@@ -252,11 +253,8 @@ class Tables:
 
     @cached_property
     def matched(self) -> DataFrame:
-        """Matched sets that SQL can state: per year and district one case and all its controls."""
-        group, master = ["cohort_year", "district"], self.stored_master
-        case = master.where(F.col("progressed") == 1).groupBy(*group).agg(F.min("entity_id").alias("subclass"))
-        joined = master.join(case, on=group)
-        return joined.where((F.col("progressed") == 0) | (F.col("entity_id") == F.col("subclass")))
+        """Matched sets that SQL can state: every case, with up to four controls of its year, sex and age band."""
+        return matching.match_strata(self.stored_master, "entity_id", "progressed", STRATA)
 
     @cached_property
     def indexed(self) -> DataFrame:
@@ -506,11 +504,20 @@ CTES["m_master"] = f"""
       AND event_date <= least(adj_death_date, adj_recovery_date, {STUDY_END})
     QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_date, name, code) = 1
   ) o USING (entity_id)"""
+CTES["c_numbered"] = """
+  SELECT *, row_number() OVER (PARTITION BY cohort_year, sex, age_band, progressed
+    ORDER BY md5(CAST(entity_id AS VARCHAR)), entity_id) AS no FROM m_master"""
+CTES["c_sizes"] = """
+  SELECT cohort_year, sex, age_band, count(*) AS cases FROM m_master WHERE progressed = 1 GROUP BY ALL"""
 CTES["c_matched"] = """
-  SELECT m.*, c.subclass FROM m_master m JOIN (
-    SELECT cohort_year, district, min(entity_id) AS subclass FROM m_master WHERE progressed = 1
-    GROUP BY cohort_year, district) c USING (cohort_year, district)
-  WHERE m.progressed = 0 OR m.entity_id = c.subclass"""
+  SELECT * EXCLUDE (no), entity_id AS subclass, 0 AS match_no FROM c_numbered WHERE progressed = 1
+  UNION ALL
+  SELECT m.* EXCLUDE (no), c.entity_id AS subclass, CAST((m.no - 1) // s.cases + 1 AS INTEGER) AS match_no
+  FROM c_numbered m JOIN c_sizes s
+      ON s.cohort_year = m.cohort_year AND s.sex = m.sex AND s.age_band = m.age_band
+    JOIN c_numbered c ON c.progressed = 1 AND c.cohort_year = m.cohort_year AND c.sex = m.sex
+      AND c.age_band = m.age_band AND c.no = (m.no - 1) % s.cases + 1
+  WHERE m.progressed = 0 AND (m.no - 1) // s.cases < 4"""
 CTES["c_shared"] = """
   SELECT m.* EXCLUDE (progression_date), greatest(c.progression_date, m.entry_date) AS progression_date
   FROM c_matched m LEFT JOIN (SELECT cohort_year, subclass, progression_date FROM c_matched WHERE progressed = 1) c

@@ -74,3 +74,24 @@ def test_shared_date_is_not_before_entry(spark):
     stacked = matching.stack_cohorts([df.withColumn("follow_up_end", F.lit(D(2015, 1, 1)))])
     days = {r["entity_id"]: r["follow_up_days"] for r in stacked.collect()}
     assert days[1] == 1 and days[3] < 0
+
+
+def test_strata_keep_every_case_and_use_a_control_once(spark):
+    rows = [(i, 1, "F", 1) for i in range(3)] + [(10 + i, 1, "F", 0) for i in range(20)]
+    rows += [(40 + i, 1, "M", 1) for i in range(4)] + [(50 + i, 1, "M", 0) for i in range(6)]
+    rows += [(60, 2, "F", 1), (61, 2, "M", 0)]
+    df = spark.createDataFrame(rows, "id int, year int, sex string, arm int")
+    out = matching.match_strata(df, "id", "arm", ["year", "sex"]).collect()
+    stratum = {r[0]: r[1:3] for r in rows}
+    assert len({r["id"] for r in out}) == len(out)
+    assert {r["id"] for r in out if r["arm"] == 1} == {0, 1, 2, 40, 41, 42, 43, 60}
+    assert all(stratum[r["id"]] == stratum[r["subclass"]] for r in out)
+    taken = {c: sorted(r["match_no"] for r in out if r["subclass"] == c) for c in {r["subclass"] for r in out}}
+    assert all(taken[c] == [0, 1, 2, 3, 4] for c in (0, 1, 2)) and taken[60] == [0]
+    # Six controls for four cases: everybody gets one before anybody gets a second.
+    assert sorted(len(taken[c]) for c in (40, 41, 42, 43)) == [2, 2, 3, 3]
+
+
+def test_strata_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "id int, year int, arm int")
+    assert matching.match_strata(df, "id", "arm", ["year"]).count() == 0

@@ -120,7 +120,7 @@ def first_conditions(events: DataFrame, code_table: DataFrame) -> DataFrame:
     code with very many records makes a large group.
     """
     first_code = events.groupBy("entity_id", "code").agg(F.min("event_date").alias("event_date"))
-    mapping = code_map(events, "code", code_table, "pattern").drop("pattern")
+    mapping = code_map(first_code, "code", code_table, "pattern").drop("pattern")
     return first_of_each_condition(first_code.join(mapping, on="code", how="inner"))
 
 

@@ -88,6 +88,11 @@ def new_condition_after_index(df: DataFrame) -> DataFrame:
     return df.withColumn("new_condition", found.cast("int"))
 
 
+def _of_cohort(records: DataFrame, master: DataFrame) -> DataFrame:
+    """Records of the entities of ``master``, cut before they are folded."""
+    return records.join(master.select("entity_id").distinct(), on="entity_id", how="left_semi")
+
+
 def _window_of(master: DataFrame) -> DataFrame:
     return master.select("entity_id", "index_date", "follow_up_end")
 
@@ -98,7 +103,7 @@ def ed_cost(visits: DataFrame, master: DataFrame, price: float = ED_PRICE) -> Da
     Records are counted per (entity, day) before they meet the master, so an entity brings at most
     one row per day into the join.
     """
-    per_day = visits.distinct().groupBy("entity_id", "attend_date").agg(F.count(F.lit(1)).alias("_n"))
+    per_day = _of_cohort(visits, master).distinct().groupBy("entity_id", "attend_date").agg(F.count(F.lit(1)).alias("_n"))
     inside = join_window(
         per_day, _window_of(master), "entity_id", "attend_date", F.col("index_date"), F.col("follow_up_end")
     )
@@ -115,7 +120,7 @@ def stay_cost(stays: DataFrame, master: DataFrame, tariffs: Mapping[str, float]
     """
     texts = ["los_acute", "los_convalescent", "los_high", "los_icu", "los_psy"]
     single = first_per_key(
-        stays.select("entity_id", "admit_date", "discharge_date", *texts),
+        _of_cohort(stays.select("entity_id", "admit_date", "discharge_date", *texts), master),
         ["entity_id", "admit_date", "discharge_date"], texts,
     )
     # An entity may have any number of stays, so its rows are spread over the join.
@@ -146,7 +151,7 @@ def stay_cost(stays: DataFrame, master: DataFrame, tariffs: Mapping[str, float]
 def outpatient_window(services: DataFrame, master: DataFrame) -> DataFrame:
     """Distinct outpatient rows inside the window."""
     return join_window(
-        services.distinct(), _window_of(master), "entity_id", "visit_date",
+        _of_cohort(services, master).distinct(), _window_of(master), "entity_id", "visit_date",
         F.col("index_date"), F.col("follow_up_end"),
     ).drop("index_date", "follow_up_end")
 
@@ -162,7 +167,7 @@ def classify_visits(
     """
     rules = service_rules()
     classes = list(classes or rules)
-    per_day = services.groupBy("entity_id", "visit_date").agg(
+    per_day = _of_cohort(services, master).groupBy("entity_id", "visit_date").agg(
         *[F.max(rules[c].cast("int")).alias(c) for c in classes]
     ).where(F.greatest(*[F.col(c) for c in classes], F.lit(0)) > 0)
     inside = join_window(
@@ -218,32 +223,36 @@ def cost_rates(df: DataFrame, columns: Sequence[str] = tuple(RATE_COLUMNS), min_
     return kept.withColumns({f"{c}_py": per_person_year(F.col(c), F.col("follow_up_days")) for c in columns})
 
 
-# Order of health states and care settings in the report.
+# Order of cost types, health states and care settings in the report.
+TYPES = ["All-cause", "Psychiatric"]
 STATES = ["NTRD", "TRD", "NTRD-comorbid", "TRD-comorbid"]
 SETTINGS = ["Accident & Emergency", "Outpatient", "Inpatient", "Overall"]
 
 
 def state_cost_table(rates: DataFrame, z: float = 1.96) -> DataFrame:
-    """(state, setting, cost, cost_lower, cost_upper): mean cost per person-year and its interval."""
+    """(type, state, setting, cost, cost_lower, cost_upper): mean cost per person-year and its interval.
+
+    Psychiatric costs have no emergency part.
+    """
     progressed, comorbid = F.col("progressed") == 1, F.col("new_condition") == 1
     state = (
         F.when(progressed & comorbid, STATES[3]).when(comorbid, STATES[2]).when(progressed, STATES[1])
         .otherwise(STATES[0])
     )
-    long = rates.select(
-        state.alias("state"),
-        F.col("ed_cost_py").alias(SETTINGS[0]), F.col("op_cost_py").alias(SETTINGS[1]),
-        F.col("ip_cost_py").alias(SETTINGS[2]), F.col("overall_cost_py").alias(SETTINGS[3]),
-    )
-    means = long.groupBy("state").agg(
-        *[F.struct(F.avg(f"`{s}`").alias("cost"),
-                   (F.stddev_samp(f"`{s}`") / F.sqrt(F.count(f"`{s}`"))).alias("se")).alias(s) for s in SETTINGS]
-    )
-    rows = means.unpivot(["state"], [f"`{s}`" for s in SETTINGS], "setting", "v")
-    return rows.select(
-        "state", "setting", F.col("v.cost").alias("cost"),
-        (F.col("v.cost") - F.lit(z) * F.col("v.se")).alias("cost_lower"),
-        (F.col("v.cost") + F.lit(z) * F.col("v.se")).alias("cost_upper"),
+    columns = {
+        TYPES[0]: dict(zip(SETTINGS, ["ed_cost_py", "op_cost_py", "ip_cost_py", "overall_cost_py"])),
+        TYPES[1]: dict(zip(SETTINGS[1:], ["op_psy_cost_py", "ip_psy_cost_py", "overall_psy_cost_py"])),
+    }
+    cells = [(t, s, F.col(c)) for t, by_setting in columns.items() for s, c in by_setting.items()]
+    means = rates.groupBy(state.alias("state")).agg(F.array(*[
+        F.struct(F.lit(t).alias("type"), F.lit(s).alias("setting"), F.avg(c).alias("cost"),
+                 (F.stddev_samp(c) / F.sqrt(F.count(c))).alias("se"))
+        for t, s, c in cells
+    ]).alias("cells"))
+    return means.select("state", F.inline("cells")).select(
+        "type", "state", "setting", "cost",
+        (F.col("cost") - F.lit(z) * F.col("se")).alias("cost_lower"),
+        (F.col("cost") + F.lit(z) * F.col("se")).alias("cost_upper"),
     )
 
 
@@ -251,7 +260,7 @@ def stacked_summary(df: DataFrame, overall: bool) -> DataFrame:
     """Either the overall rows or the parts, in report order."""
     is_overall = F.col("setting") == SETTINGS[3]
     part = df.where(is_overall if overall else ~is_overall)
-    return sort_by_levels(part, {"setting": SETTINGS, "state": STATES})
+    return sort_by_levels(part, {"type": TYPES, "setting": SETTINGS, "state": STATES})
 
 
 def ward_summary(df: DataFrame, decimals: int | None = None) -> DataFrame:

@@ -115,7 +115,8 @@ def match_nearest(
     a second. A control further away than ``caliper`` standard deviations of the score is never
     used. Equal distances prefer the control with the higher score; equal scores are served in the
     order of :func:`rank_within`. Returns the matched rows with ``subclass`` (the key of the case),
-    ``match_no`` (0 for the case itself) and ``distance``.
+    ``match_no`` (0 for the case itself), ``distance`` and ``weight``: 1 for a case, and for a control
+    1 / (controls of its case), scaled within ``by`` so that the controls' weights sum to their number.
 
     Only the number of cases and controls per distinct score decides who is served by whom, so the
     sequential part runs on distinct scores, one task per ``by`` value, and the rows follow through
@@ -164,16 +165,19 @@ def match_nearest(
     subclass = cases.select(
         by, F.col(score).alias("case_score"), F.col("_no").alias("_case_no"), F.col(key).alias("subclass")
     )
-    matched = placed.join(subclass, on=[by, "case_score", "_case_no"]).withColumn(
+    matched = cut_lineage(placed.join(subclass, on=[by, "case_score", "_case_no"]).withColumn(
         "distance", F.abs(F.col(score) - F.col("case_score"))
-    )
+    ))
+    per_case = matched.groupBy(by, "subclass").agg(F.count(F.lit(1)).alias("_controls"))
+    scale = per_case.groupBy(by).agg((F.sum("_controls") / F.count(F.lit(1))).alias("_scale"))
+    weights = per_case.join(scale, on=by).select("subclass", (F.col("_scale") / F.col("_controls")).alias("weight"))
     # Every served case got a first control, so its own row is kept once.
     first = matched.where(F.col("match_no") == 1).select(F.col("subclass").alias(key))
     kept = cases.join(first, on=key, how="left_semi").withColumns({
-        "subclass": F.col(key), "match_no": F.lit(0), "distance": F.lit(0.0)
+        "subclass": F.col(key), "match_no": F.lit(0), "distance": F.lit(0.0), "weight": F.lit(1.0)
     })
-    columns = [*df.columns, "subclass", "match_no", "distance"]
-    return stack([kept.select(*columns), matched.select(*columns)])
+    columns = [*df.columns, "subclass", "match_no", "distance", "weight"]
+    return stack([kept.select(*columns), matched.join(weights, on="subclass").select(*columns)])
 
 
 def match_strata(

@@ -112,14 +112,21 @@ def baseline_tests(
         return pd.Series([_t_two_sided(a, b) for a, b in zip(t, freedom)])
 
     n0, n1 = F.col("n_0").cast("double"), F.col("n_1").cast("double")
+    # All variables come out of the one row of sums, so the table is read once.
     out = []
+
+    def test(variable: str, kind: str, statistic: Column, freedom: Column, p: Column) -> Column:
+        return F.struct(
+            F.lit(variable).alias("variable"), F.lit(kind).alias("kind"), statistic.alias("statistic"),
+            freedom.alias("df"), p.cast("double").alias("chi_p"),
+        )
+
     for c in continuous:
         m0, m1, s0, s1 = (F.col(f"{c}|{k}") for k in ("mean_0", "mean_1", "sd_0", "sd_1"))
         freedom = n0 + n1 - 2
         pooled = ((n0 - 1) * s0 * s0 + (n1 - 1) * s1 * s1) / freedom
         t = (m1 - m0) / F.sqrt(pooled * (1 / n0 + 1 / n1))
-        out.append(sums.select(F.lit(c).alias("variable"), t.alias("statistic"), freedom.alias("df"))
-                   .withColumn("p", t_tail("statistic", "df")))
+        out.append(test(c, "t", t, freedom, F.lit(None)))
     for c, levels in categorical.items():
         counts = [(F.col(f"{c}|{i}|count_0"), F.col(f"{c}|{i}|count_1")) for i in range(len(levels))]
         # Yates' correction for 2 x 2: each difference shrinks by 1/2, but not below zero.
@@ -132,10 +139,11 @@ def baseline_tests(
                 parts.append(F.coalesce(F.try_divide(off * off, expected), F.lit(0.0)))
         statistic = reduce(lambda a, b: a + b, parts)
         freedom = len(levels) - 1
-        out.append(sums.select(F.lit(c).alias("variable"), statistic.alias("statistic"),
-                               F.lit(float(freedom)).alias("df"))
-                   .withColumn("p", _chi_sf(F.col("statistic"), freedom)))
-    return stack(out)
+        out.append(test(c, "chi2", statistic, F.lit(float(freedom)), _chi_sf(statistic, freedom)))
+    rows = sums.select(F.inline(F.array(*out)))
+    is_t = F.col("kind") == "t"
+    t_p = t_tail(F.when(is_t, F.col("statistic")), F.when(is_t, F.col("df")))
+    return rows.select("variable", "statistic", "df", F.when(is_t, t_p).otherwise(F.col("chi_p")).alias("p"))
 
 
 by_value(__name__)

@@ -197,14 +197,16 @@ def cost_rates(t: Tables) -> DataFrame:
     return _rounded(t.rates.select("entity_id", *_RATES), _RATES)
 
 
-_SUMMARY = """SELECT state, setting, round(avg(v), 4) AS cost,
+_SUMMARY = """SELECT type, state, setting, round(avg(v), 4) AS cost,
     round(avg(v) - 1.96 * (stddev_samp(v) / sqrt(count(v))), 4) AS cost_lower,
     round(avg(v) + 1.96 * (stddev_samp(v) / sqrt(count(v))), 4) AS cost_upper
   FROM (SELECT CASE WHEN progressed = 1 AND new_condition = 1 THEN 'TRD-comorbid' WHEN new_condition = 1
-      THEN 'NTRD-comorbid' WHEN progressed = 1 THEN 'TRD' ELSE 'NTRD' END AS state, s.setting, s.v
-    FROM c_rates, LATERAL (VALUES ('Accident & Emergency', ed_cost_py), ('Outpatient', op_cost_py),
-      ('Inpatient', ip_cost_py), ('Overall', overall_cost_py)) s(setting, v)) l
-  WHERE setting {} 'Overall' GROUP BY state, setting"""
+      THEN 'NTRD-comorbid' WHEN progressed = 1 THEN 'TRD' ELSE 'NTRD' END AS state, s.type, s.setting, s.v
+    FROM c_rates, LATERAL (VALUES ('All-cause', 'Accident & Emergency', ed_cost_py), ('All-cause', 'Outpatient', op_cost_py),
+      ('All-cause', 'Inpatient', ip_cost_py), ('All-cause', 'Overall', overall_cost_py),
+      ('Psychiatric', 'Outpatient', op_psy_cost_py), ('Psychiatric', 'Inpatient', ip_psy_cost_py),
+      ('Psychiatric', 'Overall', overall_psy_cost_py)) s(type, setting, v)) l
+  WHERE setting {} 'Overall' GROUP BY type, state, setting"""
 
 
 @query(_SUMMARY.format("<>"))

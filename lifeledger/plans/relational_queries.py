@@ -60,6 +60,15 @@ def load_param_blocks(t: Tables) -> DataFrame:
     return sources.load_markov_params(t.probability_blocks)
 
 
+@query("""WITH v AS (SELECT o_orderkey % 64 AS position, max(o_totalprice) AS cost FROM orders GROUP BY 1)
+          SELECT CASE WHEN position < 16 THEN 0 WHEN position < 32 THEN 2 WHEN position < 48 THEN 1 ELSE 3 END AS state,
+            CAST(position % 16 AS INTEGER) AS subgroup, cost FROM v
+          UNION ALL SELECT CAST(s AS INTEGER), CAST(g AS INTEGER), 0 FROM range(4, 6) a(s), range(16) b(g)""")
+def load_state_costs(t: Tables) -> DataFrame:
+    vector = t.orders.groupBy((F.col("o_orderkey") % 64).alias("position")).agg(F.max("o_totalprice").alias("cost"))
+    return sources.load_state_costs(vector, 16)
+
+
 @query("""SELECT p_brand, p_type, count(*) AS n, min(p_size) AS smallest FROM part GROUP BY ALL""")
 def load_lookup(t: Tables) -> DataFrame:
     codes = t.part.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_size").alias("smallest"))

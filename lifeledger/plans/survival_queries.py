@@ -187,7 +187,9 @@ _FACTORS = {
 @query(name="quantile_curve")
 def quantile_curve(t: Tables) -> DataFrame:
     """One-factor fits: Weibull by sex, lognormal by age band, loglogistic by baseline."""
-    rows, out = sample(t, "validate_recovery"), None
+    from lifeledger.session import cut_lineage
+
+    rows, out = cut_lineage(sample(t, "validate_recovery")), None
     for dist, levels in _FACTORS.items():
         model = fit.fit_models(rows, [dist], levels)[dist]
         factor = next(iter(levels))

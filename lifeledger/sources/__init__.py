@@ -3,6 +3,7 @@
 from lifeledger.sources.extracts import (
     align,
     load_markov_params,
+    load_state_costs,
     load_table,
     normalize_columns,
     read_extract,
@@ -12,6 +13,6 @@ from lifeledger.sources.extracts import (
 )
 
 __all__ = [
-    "align", "load_markov_params", "load_table", "normalize_columns", "read_extract",
+    "align", "load_markov_params", "load_state_costs", "load_table", "normalize_columns", "read_extract",
     "read_lookup", "save_table", "write_csv",
 ]

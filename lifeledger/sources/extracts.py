@@ -81,6 +81,41 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+# The report's order of the living states in the cost block, and all states of the model.
+COST_BLOCK_STATES = [0, 2, 1, 3]
+MODEL_STATES = 6
+
+
+def load_state_costs(vector: DataFrame, subgroups: int) -> DataFrame:
+    """(state, subgroup, cost) from a cost vector (position, cost).
+
+    The vector holds one block of ``subgroups`` prices for each living state, in the order of
+    ``COST_BLOCK_STATES``; positions count from 0. The other states of the model cost nothing.
+    A position that is missing, doubled or out of range is an error.
+    """
+    size = subgroups * len(COST_BLOCK_STATES)
+    grid = vector.sparkSession.range(size).select(F.col("id").cast("int").alias("position"))
+    given = vector.groupBy(F.col("position").cast("int").alias("position")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("cost").cast("double")).alias("cost")
+    )
+    joined = grid.withColumn("inside", F.lit(True)).join(given, "position", "full")
+    wrong = F.col("inside").isNull() | F.col("n").isNull() | (F.col("n") != 1) | F.col("cost").isNull()
+    cost = F.when(wrong, F.raise_error(F.concat(
+        F.lit("cost vector: position missing, doubled or out of range: "), F.coalesce(F.col("position").cast("string"), F.lit("null"))
+    )).cast("double")).otherwise(F.col("cost"))
+    block = F.floor(F.col("position") / F.lit(subgroups)).cast("int")
+    living = joined.select(
+        F.get(F.array(*[F.lit(x) for x in COST_BLOCK_STATES]), block).alias("state"),
+        F.pmod("position", F.lit(subgroups)).alias("subgroup"), cost.alias("cost"),
+    )
+    rest = MODEL_STATES - len(COST_BLOCK_STATES)
+    free = vector.sparkSession.range(rest * subgroups).select(
+        (F.floor(F.col("id") / F.lit(subgroups)) + len(COST_BLOCK_STATES)).cast("int").alias("state"),
+        (F.col("id") % F.lit(subgroups)).cast("int").alias("subgroup"), F.lit(0.0).alias("cost"),
+    )
+    return living.unionByName(free)
+
+
 def load_markov_params(blocks: DataFrame, keys: Sequence[str] = ("subgroup", "t")) -> DataFrame:
     """Wide probability blocks (one column per probability index) to rows of (keys, ix, p).
 

@@ -128,3 +128,33 @@ def test_chi_squared_tail(spark):
     df = spark.createDataFrame([(5.0,)], "x double")
     got = df.select(*[_chi_sf(F.col("x"), k).alias(str(k)) for k in (1, 2, 3, 4, 5)]).first()
     assert list(got) == pytest.approx([0.0253473, 0.0820850, 0.1717971, 0.2872975, 0.4158802], abs=1e-6)
+
+
+def test_state_costs_follow_block_order_and_refuse_gaps(spark):
+    from lifeledger.sources import load_state_costs
+
+    rows = [(i, float(i)) for i in range(8)]
+    got = {(r["state"], r["subgroup"]): r["cost"]
+           for r in load_state_costs(spark.createDataFrame(rows, "position int, cost double"), 2).collect()}
+    assert len(got) == 12
+    assert [got[s, 0] for s in range(6)] == [0.0, 4.0, 2.0, 6.0, 0.0, 0.0]
+    assert [got[s, 1] for s in range(6)] == [1.0, 5.0, 3.0, 7.0, 0.0, 0.0]
+    for bad in (rows[1:], [*rows, (3, 9.0)], [*rows, (8, 1.0)], [*rows, (None, 1.0)], [*rows[1:], (0, None)]):
+        with pytest.raises(Exception, match="missing, doubled or out of range"):
+            load_state_costs(spark.createDataFrame(bad, "position int, cost double"), 2).collect()
+
+
+def test_state_costs_have_both_types(spark):
+    rates = spark.createDataFrame(
+        [(0, 0, 1.0, 2.0, 3.0, 6.0, 0.5, 0.25, 0.75), (0, 0, 3.0, 4.0, 5.0, 12.0, 1.5, 0.75, 2.25)],
+        "progressed int, new_condition int, ed_cost_py double, op_cost_py double, ip_cost_py double, "
+        "overall_cost_py double, op_psy_cost_py double, ip_psy_cost_py double, overall_psy_cost_py double",
+    )
+    table = cost.state_cost_table(rates)
+    parts = [(r["type"], r["setting"], r["cost"]) for r in cost.stacked_summary(table, overall=False).collect()]
+    assert parts == [
+        ("All-cause", "Accident & Emergency", 2.0), ("All-cause", "Outpatient", 3.0), ("All-cause", "Inpatient", 4.0),
+        ("Psychiatric", "Outpatient", 1.0), ("Psychiatric", "Inpatient", 0.5),
+    ]
+    whole = {r["type"]: r["cost"] for r in cost.stacked_summary(table, overall=True).collect()}
+    assert whole == {"All-cause": 9.0, "Psychiatric": 1.5}

@@ -38,6 +38,15 @@ def test_equals_sequential_greedy(spark, seed, levels):
     assert len({r["id"] for r in out}) == len(out)
     cases = {r["id"]: r["cohort"] for r in out if r["arm"] == 1}
     assert all(r["subclass"] in cases and cases[r["subclass"]] == r["cohort"] for r in out)
+    # Controls of a case share its weight; in each cohort their weights sum to their number.
+    assert all(r["weight"] == 1 for r in out if r["match_no"] == 0)
+    for cohort in (2014, 2015, 2016):
+        used = [r for r in out if r["match_no"] > 0 and r["cohort"] == cohort]
+        shared = {}
+        for r in used:
+            shared[r["subclass"]] = shared.get(r["subclass"], 0) + r["weight"]
+        assert max(shared.values()) == pytest.approx(min(shared.values()))
+        assert sum(shared.values()) == pytest.approx(len(used))
 
 
 def test_nothing_in_caliper_is_left_out(spark):

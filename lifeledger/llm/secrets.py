@@ -1,12 +1,14 @@
 """Secret scan: patterns with known shapes, and a battery of randomness tests on other key-like strings.
 
 Spans of the known shapes (``assign``, ``access``, ``hex``) are always reported. Every other maximal
-run of key characters is a candidate. Its encoding (hex, base32, digits with letters, base64) is
-inferred from its characters, and three tests ask whether it could be uniform noise over that
-alphabet: chi-squared of the symbol counts, Wald-Wolfowitz runs around the middle of the alphabet, and
-lag-1 serial correlation. Simes' rule combines the three p-values. Short strings give weak tests, so
-candidates are ranked among those of the same encoding and length band only: within each the
-Benjamini-Hochberg rule, on a fixed grid of p-values, decides which are surely not random at false
+run of key characters is a candidate. Its encoding (digits, hex, letters, base32, digits with letters,
+base64) is inferred from its characters. A run that no alphabet holds, since it has ``+`` or ``/`` beside
+``-`` or ``_``, is cut: its longest parts without any of the four, without the first two and without
+the last two are candidates, which can overlap. Runs and parts of nothing but these marks are none.
+Three tests ask whether a candidate could be uniform noise over its alphabet: chi-squared of the
+symbol counts, Wald-Wolfowitz runs around the middle of the alphabet, and lag-1 serial correlation.
+Simes' rule combines the three p-values. Short strings give weak tests, so candidates are ranked
+among those of the same encoding and length band only: within each the Benjamini-Hochberg rule, on a fixed grid of p-values, decides which are surely not random at false
 discovery rate ``rate``. The rest is reported as ``random``.
 
 Only counts per (encoding, band, grid step) are shuffled, and the cut-offs, at most one per stratum,
@@ -32,11 +34,15 @@ KINDS = ["assign", "access", "hex", "random"]
 # Encodings from the narrowest to the widest, with their symbols in order.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = {
+    "digits": DIGITS,
     "hex_lower": DIGITS + LOWER[:6],
     "hex_upper": DIGITS + UPPER[:6],
+    "lower": LOWER,
+    "upper": UPPER,
     "base32": UPPER + "234567",
     "alnum_lower": DIGITS + LOWER,
     "alnum_upper": DIGITS + UPPER,
+    "letters": UPPER + LOWER,
     "alnum": DIGITS + UPPER + LOWER,
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
@@ -46,6 +52,8 @@ MIN_CANDIDATE = 20
 RATE = 0.05
 GRID = 40
 CANDIDATE = "[A-Za-z0-9+/_-]{%d,}" % MIN_CANDIDATE
+#: What a run that no alphabet holds is cut into.
+PARTS = ["[A-Za-z0-9%s]{%d,}" % (marks, MIN_CANDIDATE) for marks in ("", "+/", "_-")]
 
 
 def _running(values: Column, join: Callable[[Column, Column], Column], start: int) -> Column:
@@ -60,8 +68,9 @@ def _named(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _matches(text: str, pattern: str, kind: str, rank: int) -> Column:
+def _matches(text: str | Column, pattern: str, kind: str, rank: int) -> Column:
     """Array of (start, end, rank, kind, found) of the leftmost non-overlapping matches of a pattern."""
+    text = F.col(text) if isinstance(text, str) else text
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     lengths = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
@@ -71,7 +80,7 @@ def _matches(text: str, pattern: str, kind: str, rank: int) -> Column:
         m.alias("found"),
     ))
     empty = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,found:string>>")
-    return F.when(F.rlike(F.col(text), F.lit(pattern)), spans).otherwise(empty)
+    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(empty)
 
 
 def _p_normal(z: Column) -> Column:
@@ -110,11 +119,11 @@ def _p_values(codes: Column, n: Column, k: Column) -> Column:
 
 
 def _encoding(found: Column) -> Column:
-    """Narrowest encoding that holds all characters; null without both a digit and a letter."""
+    """Narrowest encoding that holds all characters; null if none does, or without a digit or letter."""
     out = F.lit(None).cast("string")
     for name, symbols in reversed(ENCODINGS.items()):
         out = F.when(F.length(F.translate(found, symbols, "")) == 0, F.lit(name)).otherwise(out)
-    return F.when(found.rlike("[0-9]") & found.rlike("[A-Za-z]"), out)
+    return F.when(found.rlike("[A-Za-z0-9]"), out)
 
 
 def _tested(span: Column) -> Column:
@@ -139,6 +148,22 @@ def _tested(span: Column) -> Column:
     return _named(_encoding(span["found"]), stratum)
 
 
+def _candidates(rest: Column) -> Column:
+    """Runs that an alphabet holds, and the parts of the others."""
+    loose = lambda text, pattern: _matches(text, pattern, "random", 3)
+    held = lambda runs: F.filter(runs, lambda c: _encoding(c["found"]).isNotNull())
+    cut = lambda text: held(F.array_distinct(F.concat(*[loose(text, pattern) for pattern in PARTS])))
+    # Parts are looked for in what the whole candidates leave.
+    mixed = lambda text, whole: redacted(text, whole, lambda n: F.repeat(F.lit(" "), n))
+    both = lambda text, runs, whole: F.when(
+        F.size(whole) < F.size(runs), F.concat(whole, _named(mixed(text, whole), cut))
+    ).otherwise(whole)
+    # Named inside one expression: columns of their own would be copied into the filter that explode brings.
+    return _named(rest, lambda text: _named(
+        loose(text, CANDIDATE), lambda runs: _named(held(runs), lambda whole: both(text, runs, whole))
+    ))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``base`` spans and tested ``candidates`` of every row; ``keep`` columns ride along in ``row``."""
     rows = docs.select(
@@ -154,9 +179,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     }).withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
     # Candidates are looked for in what the base spans leave, at unchanged positions.
     rows = rows.withColumn("rest", redacted("text", "base", lambda n: F.repeat(F.lit(" "), n)))
-    rows = rows.withColumn("loose", _matches("rest", CANDIDATE, "random", 3))
-    candidates = F.transform(F.filter("loose", lambda c: _encoding(c["found"]).isNotNull()), _tested)
-    return rows.select(*(["row"] if keep else []), "id", "text", "assign", "access", "hex", "base", candidates.alias("candidates"))
+    return rows.select(
+        *(["row"] if keep else []), "id", "text", "assign", "access", "hex", "base",
+        F.transform(_candidates(F.col("rest")), _tested).alias("candidates"),
+    )
 
 
 def cutoffs(scanned: DataFrame, rate: float = RATE) -> DataFrame:
@@ -201,12 +227,14 @@ def report(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redacted(text: str, spans: str, mask: Callable[[Column], Column] = lambda _: F.lit("<secret>")) -> Column:
+def redacted(text: str | Column, spans: str | Column, mask: Callable[[Column], Column] = lambda _: F.lit("<secret>")) -> Column:
     """The text with each span replaced by ``mask(its length)``; of a span that runs into an earlier one, what is left.
 
     Spans come in order of start; a span inside an earlier one is gone with it.
     """
 
+    text = F.col(text) if isinstance(text, str) else text
+
     def cut(reach: Column) -> Column:
         before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
         pieces = F.transform(spans, lambda s, i: F.when(s["end"] <= before(i), F.lit("")).otherwise(F.concat(
@@ -216,4 +244,4 @@ def redacted(text: str, spans: str, mask: Callable[[Column], Column] = lambda _:
         return F.concat(F.array_join(pieces, ""), F.substring(text, before(F.size(spans)) + 1, F.length(text)))
 
     reach = _running(F.transform(spans, lambda s: s["end"]), F.greatest, 0)
-    return F.when(F.size(spans) > 0, _named(reach, cut)).otherwise(F.col(text))
+    return F.when(F.size(spans) > 0, _named(reach, cut)).otherwise(text)

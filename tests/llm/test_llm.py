@@ -158,6 +158,38 @@ def test_secrets(spark):
     assert secrets.report(secrets.found(scanned.limit(0), secrets.cutoffs(scanned.limit(0)))).count() == 0
 
 
+def test_every_run_of_key_characters_is_tested(spark):
+    rng = random.Random(7)
+    noise = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    letters = secrets.LOWER + secrets.UPPER
+    token = "Ab3dE5fG7hJ9kL2mN4pQ"
+    keys = [noise(n, a) for a in (secrets.LOWER, secrets.UPPER, letters, letters + secrets.DIGITS) for n in (20, 45) * 5]
+    texts = [
+        f"see https://example.com/reset-link/{token} 🙂", f"a_b/{token}-c/d", "-" * 30 + " " + "+-" * 15,
+        *[f"{k} say/it-as/{k}_x {k}+{k}-" for k in keys], *[noise(rng.randint(20, 60), letters + "0123+/-_") for _ in range(40)],
+    ]
+    scanned = secrets.scan(documents(spark, texts))
+    rows = {r["id"]: r for r in secrets.found(scanned, secrets.cutoffs(scanned)).select("id", "candidates", "spans").collect()}
+    runs = mixed = 0
+    for i, t in enumerate(texts):
+        assert not base_spans(t)
+        got = sorted((c["start"], c["end"]) for c in rows[i]["candidates"])
+        assert all(c["stratum"] and c["step"] >= 0 for c in rows[i]["candidates"])
+        want = set()
+        for run in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t):
+            runs += 1
+            whole = not (re.search("[+/]", run[0]) and re.search("[_-]", run[0]))
+            mixed += not whole
+            cuts = [r"[A-Za-z0-9+/_-]+"] if whole else [r"[A-Za-z0-9]+", r"[A-Za-z0-9+/]+", r"[A-Za-z0-9_-]+"]
+            parts = [(run.start() + m.start(), run.start() + m.end()) for c in cuts for m in re.finditer(c, run[0])]
+            want |= {(a, b) for a, b in parts if b - a >= 20 and re.search("[A-Za-z0-9]", t[a:b])}
+        assert got == sorted(want), t
+    assert runs >= 60 and mixed >= 40
+    marked = lambda i: {k for s in rows[i]["spans"] for k in range(s["start"], s["end"])}
+    assert all(set(range(texts[i].index(token), texts[i].index(token) + 20)) <= marked(i) for i in (0, 1))
+    assert sum(set(range(len(k))) <= marked(3 + i) for i, k in enumerate(keys)) >= 0.85 * len(keys)
+
+
 # Toxicity
 
 

@@ -1,12 +1,13 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. First pass: a block inside a part that is never main
-text (navigation, advert, form and the like, by tag, role or class) is bad; a block whose words are
-mostly link text is bad; a long block with enough stop words is good; a long block without them is
-near good inside an article element and bad outside; the rest is ambiguous. Second pass: ambiguous
-blocks take the label of the nearest decided blocks in page order, of the same part of the page if it
-has any: good if both neighbours are, or the nearer one; blocks of an article without a decided
-neighbour are good, others bad.
+text (navigation, advert, form and the like, by tag, role or class) is bad; outside an article element
+a block whose words are mostly link text is bad; a long block with enough stop words, or inside an
+article, is good; the rest is ambiguous. If a page has no article and no good block, its language may be
+none of those known, and its long ambiguous blocks are good. Second pass: ambiguous blocks take the
+label of the nearest decided blocks in page order, of the same part of the page if it has any: good if
+both neighbours are, or the nearer one, or either of two as near; blocks of an article without a decided
+neighbour are good, others bad. No class bans html, body, main, article or what holds a main or article.
 
 Character references are decoded, white space inside a block becomes one space, and the good blocks are
 joined by a line feed. Null or empty html gives an empty text. Tags that are cut off at the end of the
@@ -37,6 +38,8 @@ NEVER = set(
     "head nav footer aside form header menu button select dialog fieldset canvas audio video label legend".split()
 )
 MAIN = {"article", "main"}
+#: Elements that no class bans.
+FRAME = MAIN | {"html", "body"}
 NEVER_ROLE = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NEVER_CLASS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adverts?|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|aside|"
@@ -52,32 +55,39 @@ STOP_WORDS = set(
 )
 #: Words of a long block, share of stop words in it, share of link text that makes a block bad.
 LONG, STOP_SHARE, LINK_SHARE = 10, 0.15, 0.5
+#: Characters of a long block in a script without spaces.
+LONG_CHARS = 40
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|"
     r"</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)|[^<]+|<", re.S,
 )
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?""")
 
 
-def _banned(name: str, tag: str) -> bool:
+def _banned(name: str, tag: str) -> tuple[bool, bool]:
+    """Whether an element is never main text for its name, role or hiding, and whether for its class or id."""
     if name in NEVER:
-        return True
-    for key, value in ATTRIBUTE.findall(tag):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.lower() in NEVER_ROLE):
-            return True
-        if key in ("class", "id") and NEVER_CLASS.search(value):
-            return True
-    return False
+        return True, False
+    found: dict[str, str] = {}
+    for key, value in ATTRIBUTE.findall(tag, NAME.match(tag).end()):
+        found.setdefault(key.lower(), value.strip("\"'").strip())
+    role, hidden = found.get("role", "").lower(), found.get("aria-hidden", "").lower()
+    if "hidden" in found or hidden == "true" or role in NEVER_ROLE:
+        return True, False
+    return False, name not in FRAME and any(NEVER_CLASS.search(found.get(key, "")) for key in ("class", "id"))
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """Blocks in page order: text, its words, words inside links, in a banned part, in an article."""
     out, text, linked = [], [], []
-    stack: list[tuple[str, bool, bool]] = []
-    banned = main = False
+    # What bans a part is a list of the open elements that do; one that a class bans is lifted by an article in it.
+    stack: list[tuple[str, tuple[int, ...], bool]] = []
+    banned: tuple[int, ...] = ()
+    by_class: list[bool] = []
+    lifted: set[int] = set()
+    main = False
     links = 0
 
     def close() -> None:
@@ -124,7 +134,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             continue
         inside = main or name in MAIN
         # An article's own heading group is no page header.
-        bad = banned or (_banned(name, piece) and not (name == "header" and main))
+        bad = banned
+        if not (name == "header" and main):
+            always, for_class = _banned(name, piece)
+            if always or for_class:
+                bad = (*banned, len(by_class))
+                by_class.append(for_class)
+        if name in MAIN:
+            lifted.update(k for k in banned if by_class[k])
         if (bad, inside) != (banned, main):
             close()
         if name == "p" and stack and stack[-1][0] == "p":
@@ -133,20 +150,24 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             stack.append((name, banned, main))
         banned, main = bad, inside
     close()
-    return out
+    return [(*block[:3], not lifted.issuperset(block[3]), block[4]) for block in out]
 
 
 def labels(found: list[tuple[str, int, int, bool, bool]]) -> list[bool]:
     """Whether each block is main text."""
     first: list[bool | None] = []
     for text, n, in_link, banned, main in found:
-        if banned or in_link > LINK_SHARE * n:
+        if banned or (in_link > LINK_SHARE * n and not main):
             first.append(False)
         elif n >= LONG:
             stop = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in text.split())
-            first.append(True if stop >= STOP_SHARE * n or main else False)
+            first.append(True if stop >= STOP_SHARE * n or main else None)
         else:
             first.append(None)
+    if True not in first and not any(main and not banned for *_, banned, main in found):
+        for k, (text, n, *_) in enumerate(found):
+            if first[k] is None and (n >= LONG or len(text) >= LONG_CHARS):
+                first[k] = True
     # Nearest decided block before and after, inside runs of blocks of the same part.
     out: list[bool] = []
     size = len(found)
@@ -167,7 +188,7 @@ def labels(found: list[tuple[str, int, int, bool, bool]]) -> list[bool]:
         if not near:
             out.append(found[k][4])
         elif len(near) == 2 and first[i] != first[j]:
-            out.append(first[i] if k - i < j - k else first[j] if j - k < k - i else found[k][4])
+            out.append(first[i] if k - i < j - k else first[j] if j - k < k - i else True)
         else:
             out.append(bool(first[near[0]]))
     return out

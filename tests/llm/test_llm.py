@@ -466,6 +466,32 @@ def test_main_text():
     assert extract.main_text(plain + "<p>Short.</p><p><a href=x>only a link</a></p>").endswith("Short.")
 
 
+def test_ordinary_markup_keeps_the_main_text():
+    long = "The words of this page are the main text and it is long."
+    for tag in (
+        'div style="overflow:hidden"', 'p title="the hidden truth"', 'div data-hidden="false"', 'div data-id="nav"',
+        "div title='a > b' alt=\"role=navigation\"", "div/data-role=banner", "div aria-hidden=false", "p data-x=1/class=menu",
+    ):
+        assert extract.main_text(f"<{tag}>{long}</{tag.split()[0].split('/')[0]}>") == long, tag
+    for tag in ("div hidden", 'p HIDDEN=""', "div class='x menu'", 'div id="nav"', "div role = Navigation", "div aria-hidden='true'"):
+        assert extract.main_text(f"<{tag}>{long}</div>") == "", tag
+    assert extract.main_text(f'<html class="no-js nav"><body class="no-sidebar"><p>{long}</p>') == long
+    for name in ("article", "main"):
+        inner = f'<{name} class="widget post"><h1><a href=/x>Title</a></h1><p>{long}<p><a href=/y>See this</a></{name}>'
+        want = f"Title\n{long}\nSee this"
+        assert extract.main_text(inner) == want
+        assert extract.main_text(f'<div class="layout right-sidebar"><div id=social>{inner}</div></div>') == want
+        assert extract.main_text(f'<div class="layout right-sidebar">{inner}<div class=menu><p>{long}</div></div>') == want
+        assert extract.main_text(f'<div class="menu"><p>{long}</div>{inner}<nav class=x><article>{long}</article></nav>') == want
+    other = "Questo testo parla dei cani che corrono sulla spiaggia mentre piove forte da ore."
+    page = f"<p><a href=/>Home</a></p><h2>Cani</h2><p>{other}</p><p>{other}</p><p><a href=/x>Tutti</a></p>"
+    assert extract.main_text(page).endswith(f"{other}\n{other}")
+    assert extract.main_text("<div>" + "犬が海辺を走る。" * 8 + "</div>") == "犬が海辺を走る。" * 8
+    # Beside text of a known language, a long block without stop words takes the label of its neighbours.
+    mixed = f"<p>{long}</p><p>{'zyx ' * 12}</p><p>{long}</p>"
+    assert extract.main_text(mixed) == f"{long}\n{('zyx ' * 12).strip()}\n{long}"
+
+
 @with_tables
 def test_extraction_equals_the_article(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")

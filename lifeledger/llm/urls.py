@@ -6,7 +6,8 @@ connected components are found by distributed star rounds. Inside a component an
 precedence: an address without a rule of its own is allowed if any alias is allowed by a rule, else
 blocked if any alias is blocked, else allowed. An address with a rule keeps the rule's verdict.
 
-Edges come from the pages (canonical links, refresh redirects), from a table of redirects if there is
+Edges come from the pages (canonical links, refresh redirects; character references are decoded and
+targets resolved against the page's ``base`` element or url), from a table of redirects if there is
 one, and from normal forms: scheme, fragment, ``www.`` or ``m.`` hosts, tracking parameters, ``.html``
 and a final slash do not make another page. Null urls, or urls without ``://``, have an empty host and
 path and no alias; no rule fits them and they are allowed. Repeated rows are judged one by one.
@@ -14,10 +15,13 @@ path and no alias; no rule fits them and they are allowed. Repeated rows are jud
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifeledger.llm.components import components
+from lifeledger.llm.secrets import _named
 
 # The rules, host, path and verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -45,16 +49,67 @@ def normal_form(url: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("http://"), host, path, rest))
 
 
+def decoded(text: Column) -> Column:
+    """The text with its character references decoded: numbers, and names of HTML 4 with their semicolon."""
+    names = F.create_map(*[F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, chr(code))])
+
+    def piece(part: Column, i: Column) -> Column:
+        decimal, hexadecimal, name = (
+            F.regexp_extract(part, pattern, 1) for pattern in ("^#([0-9]{1,7})", "^#[xX]([0-9a-fA-F]{1,6})", "^([A-Za-z][A-Za-z0-9]*);")
+        )
+        code = F.when(decimal != "", decimal.cast("int")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int"))
+        good = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        symbol = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code)), 8, "0")), "UTF-32")
+        numbered = F.concat(symbol, F.regexp_replace(part, "^#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", ""))
+        named = F.concat(F.try_element_at(names, name), F.regexp_replace(part, "^[A-Za-z0-9]*;", ""))
+        return F.when(i == 0, part).otherwise(F.coalesce(numbered, named, F.concat(F.lit("&"), part)))
+
+    return F.array_join(F.transform(F.split(text, "&", -1), piece), "")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The full address of a target on a page; null for what is none, as of other schemes without ``://``."""
+    origin = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    start = F.regexp_extract(base, r"(?s)^.*?://[^?#]*", 0)
+    query = F.regexp_extract(base, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(base), "(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    own = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    path = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    # A final . or .. stands for a folder.
+    steps = F.split(F.regexp_replace(path, r"(?s)/(\.\.?)$", "/$1/"), "/", -1)
+    walked = F.aggregate(F.slice(steps, 2, F.size(steps)), F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    ).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    walk = F.concat(F.lit("/"), F.array_join(walked, "/"))
+    out = (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (host_of(base) == ""), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, "(?s)^(.*?:)//", 1), target))
+        .when(own != "", F.concat(origin, walk, rest))
+        .when(target.startswith("?"), F.concat(start, rest))
+        .otherwise(F.concat(start, query, rest))
+    )
+    return out
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) of each page's url with its canonical link and its refresh target, where given in full."""
+    """(a, b) of each page's url with its canonical link and its refresh target."""
     tag = lambda pattern: F.regexp_extract(F.coalesce("html", F.lit("")), pattern, 0)
     link = tag(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""")
     refresh = tag(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""")
-    targets = F.array(
-        F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
+    base = tag(r"""(?is)<base\s[^>]*>""")
+    href = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+    targets = F.filter(F.array(
+        F.regexp_extract(link, href, 1),
         F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
-    )
-    return pages.select(F.col("url").alias("a"), F.explode(targets).alias("b")).where("instr(b, '://') > 0")
+    ), lambda t: t != "")
+    # Named inside one expression, so that filters pushed below the columns do not copy them.
+    own = _named(decoded(F.regexp_extract(base, href, 1)), lambda h: F.coalesce(resolved(h, F.col("url")), "url"))
+    full = F.when(F.size(targets) > 0, _named(own, lambda page: F.filter(
+        F.transform(F.transform(targets, decoded), lambda t: resolved(t, page)), lambda t: t.isNotNull()
+    )))
+    return pages.select(F.col("url").alias("a"), F.explode(full).alias("b"))
 
 
 def decide(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:

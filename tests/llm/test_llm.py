@@ -445,6 +445,34 @@ def test_url_rules_and_aliases(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_targets_are_decoded_and_resolved(spark):
+    base, bare = "https://u.com/a/b?q=1#f", "https://u.com"
+    pairs = [
+        ("/de/5", base, "https://u.com/de/5"), ("//x.net/a", base, "https://x.net/a"), ("?r=2", base, "https://u.com/a/b?r=2"),
+        ("c?x=://y", base, "https://u.com/a/c?x=://y"), ("../c/./d/..", base, "https://u.com/c/"), ("/go?u=http://z.net/", base, "https://u.com/go?u=http://z.net/"),
+        ("#g", base, "https://u.com/a/b?q=1#g"), ("c", bare, "https://u.com/c"), ("http://v.com/a/../b", base, "http://v.com/a/../b"),
+        ("mailto:a", base, None), ("/c", "no address", None), ("//x.net/a", None, None), ("http://v.com/", None, "http://v.com/"), ("../../..", base, "https://u.com/"),
+    ]
+    frame = spark.createDataFrame(pairs, "t string, base string, want string")
+    assert all(r["got"] == r["want"] for r in frame.withColumn("got", urls.resolved(F.col("t"), F.col("base"))).collect())
+    texts = ["a?x=1&amp;y=2", "&#47;de&#x2F;5&#X2f", "&eacute;&nope;&copy=1&", "&#55296;&#0;&#128578;", "&amp;amp;", "", "&#99999999;&;"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(urls.decoded(F.col("t"))).collect()]
+    assert got == ["a?x=1&y=2", "/de/5/", "é&nope;&copy=1&", "&#55296;&#0;🙂", "&amp;", "", texts[-1]]
+
+
+def test_relative_targets_make_aliases(spark):
+    link = lambda t: f'<link rel="canonical" href="{t}"><p>'
+    rows = [
+        (1, "http://example.com/en/5", link("/de/5")), (2, "http://free.com/a", link("//x.net/a")),
+        (3, "http://free.com/b", link("?k=1&amp;l=2")), (4, "http://free.com/b?l=2&k=1", '<meta http-equiv="refresh" content="0;url=http:&#47;/x.net/b">'),
+        (5, "http://example.com/fr/6", '<meta http-equiv=refresh content="0; url=../de/6">'), (6, "http://example.com/fr/7", "<base href='/de/'>" + link("7")),
+        (7, "http://free.com/c", link("/d")), (8, "http://free.com/e", link("mailto:a@x.net")), (9, None, link("/de/5")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
+    assert got == {**dict.fromkeys(range(1, 7), "block"), 7: "allow", 8: "allow", 9: "allow"}
+
+
 # HTML extraction
 
 

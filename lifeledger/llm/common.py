@@ -8,12 +8,15 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lifeledger.session import work_folder
 
-#: Rows of one key column that may be broadcast. At 16 bytes a row and the overhead of a hash
-#: relation this stays under 64 MB on each executor; larger sides are joined by a shuffle.
+#: Bytes of a side that may be broadcast, its rows, and bytes that a row costs beside its values. The three
+#: together bound what an executor holds; larger sides are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 1_000_000
+ROW_BYTES = 32
 
 #: White space that separates words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -28,9 +31,24 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value: texts and lists by their length, everything else as one word."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(8)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + F.lit(16)), F.lit(0))
+        wide = 4 if isinstance(kind.elementType, (T.IntegerType, T.FloatType)) else 8
+        return F.coalesce(F.size(c) * F.lit(wide), F.lit(0)) + F.lit(16)
+    return F.lit(8)
+
+
 def bounded(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint if it has been counted to be small, else as it is (shuffle join)."""
-    return F.broadcast(side) if side.count() <= most else side
+    """``side`` with a broadcast hint if its rows and bytes have been summed to be few, else as it is (shuffle join)."""
+    size = sum((_bytes(f.name, f.dataType) for f in side.schema), F.lit(ROW_BYTES)).cast("long")
+    rows, total = side.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(side) if rows <= most and (total or 0) <= BROADCAST_BYTES else side
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

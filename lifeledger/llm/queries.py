@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lifeledger.llm import bpe, chat, decontaminate, extract, jaccard, language, quality, secrets, toxicity, urls
+from lifeledger.llm import (
+    bpe, chat, decontaminate, extract, jaccard, language, negatives, periodic, quality, secrets, substring, toxicity, urls,
+)
 from lifeledger.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +60,19 @@ def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.repeats(table(spark, sf_dir, "documents")))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digests(periodic.periodic_runs(docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text")))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
@@ -68,6 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
     "op10_extract": op10_extract,
+    "op11_substring": op11_substring,
+    "op12_negatives": op12_negatives,
+    "op13_periodic": op13_periodic,
 }
 
-ORACLES: dict[str, str] = {"op1_chat": chat.SQL, "op9_urls": urls.sql()}
+ORACLES: dict[str, str] = {
+    "op1_chat": chat.SQL, "op9_urls": urls.sql(), "op11_substring": substring.SQL, "op12_negatives": negatives.SQL, "op13_periodic": periodic.SQL,
+}

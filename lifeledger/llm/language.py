@@ -6,10 +6,12 @@ margin for a bit is the mean of its n-grams' log ratios. Decoding takes the code
 exponential loss over all margins. A text is ambiguous if the runner-up is nearly as close.
 
 The fit uses at most about ``FIT_ROWS`` documents with a language, chosen by a hash of the id among
-those whose crc32(id) mod 3 is not 1; its counts are summed per task, then shuffled. Prediction reads
-the whole text alone. Null texts and texts without a letter are ``und`` with score 0, and so is all
-text if no language was learned. With one language all other text is predicted as it. Texts too short
-for an n-gram are padded. Repeated rows are judged one by one.
+those whose crc32(id) mod 3 is not 1. Each language has an equal part of them, ``LEAST_ROWS`` at least, and a
+language with fewer documents than that is learned from all it has, so none is lost as the table
+grows. Counts are summed per task, then shuffled. Prediction reads the whole text alone. Null texts and
+texts without a letter are ``und`` with score 0, and so is all text if no language was learned. With one
+language all other text is predicted as it. Of codewords at equal loss the first language in order
+counts. Repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lifeledger.llm.common import by_value
+from lifeledger.llm.common import bounded, by_value
 from lifeledger.llm.toxicity import is_held_out
 
-FIT_ROWS = 20_000
+FIT_ROWS, LEAST_ROWS = 20_000, 100
 #: Bits of a hash bucket, bytes of an n-gram, bytes of a text that are handled at once.
 BITS, GRAM, BLOCK = 14, 3, 1 << 20
-#: Most languages with all splits as codewords; random codewords beyond, of this many bits per doubling.
-EXHAUSTIVE, BITS_PER_DOUBLING = 6, 12
+#: Most languages with all splits as codewords; beyond, the best of some random codes of this many bits per doubling.
+EXHAUSTIVE, BITS_PER_DOUBLING, CODES = 8, 12, 20
 #: Loss ratio to the runner-up above which a text is ambiguous.
 AMBIGUOUS = 0.8
 
@@ -43,24 +45,29 @@ def codewords(languages: int) -> np.ndarray:
         rows = [np.ones(len(splits))] + [np.where((splits >> k) & 1, -1.0, 1.0) for k in range(languages - 1)]
         return np.array(rows)
     bits = BITS_PER_DOUBLING * math.ceil(math.log2(languages))
-    rng, out, seen = np.random.default_rng(languages), [], set()
-    while len(out) < bits:
+    codes = [_random_code(languages, bits, seed) for seed in range(CODES)]
+    return max(codes, key=lambda code: min(np.count_nonzero(code[i] != code[:i], axis=1).min() for i in range(1, languages)))
+
+
+def _random_code(languages: int, bits: int, seed: int) -> np.ndarray:
+    """Different splits into halves. Nine languages have 126, more than the bits asked for, and more languages have more."""
+    rng, splits = np.random.default_rng([languages, seed]), {}
+    while len(splits) < bits:
         half = rng.permutation(np.arange(languages)) < languages // 2
-        if half[0]:
-            half = ~half
-        if half.tobytes() not in seen:
-            seen.add(half.tobytes())
-            out.append(np.where(half, -1.0, 1.0))
-    return np.array(out).T
+        # A split and its complement tell the same.
+        code = np.where(half == half[0], 1.0, -1.0)
+        splits[code.tobytes()] = code
+    return np.array(list(splits.values())).T
 
 
 def gram_counts(text: str) -> np.ndarray:
     """Hashed counts of the byte n-grams of the lower-cased text, with a blank at both ends."""
     data = f" {text.lower()} ".encode("utf-8", "replace")
     out = np.zeros(1 << BITS, np.int64)
-    for k in range(0, len(data), BLOCK):
-        part = np.frombuffer(data[k : k + BLOCK + GRAM - 1].ljust(GRAM), np.uint8).astype(np.uint32)
-        code = np.zeros(max(len(part) - GRAM + 1, 0), np.uint32)
+    starts = len(data) - GRAM + 1
+    for k in range(0, starts, BLOCK):
+        part = np.frombuffer(data[k : k + BLOCK + GRAM - 1], np.uint8).astype(np.uint32)
+        code = np.zeros(min(BLOCK, starts - k), np.uint32)
         for j in range(GRAM):
             code = code * np.uint32(257) + part[j : j + len(code)]
         out += np.bincount((code * np.uint32(2654435761)) >> np.uint32(32 - BITS), minlength=1 << BITS)
@@ -70,8 +77,10 @@ def gram_counts(text: str) -> np.ndarray:
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> dict:
     """Languages in order, their codewords, and the log ratios [bucket, bit]."""
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out("doc_id"))
-    slots = max(1, -(-known.count() // rows))
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) == 0).select("lang", "text")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = max(rows // max(sizes.count(), 1), LEAST_ROWS)
+    slots = sizes.select("lang", F.ceil(F.col("n") / F.lit(share)).alias("slots"))
+    some = known.join(bounded(slots), "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("slots")) == 0).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -110,7 +119,7 @@ def decode(model: dict, margins: np.ndarray) -> tuple[str, float, bool]:
     order = np.argsort(loss, kind="stable")
     best = model["languages"][order[0]]
     likely = np.exp(-(loss - loss[order[0]]) * 4)
-    unsure = len(order) > 1 and loss[order[0]] > AMBIGUOUS * loss[order[1]]
+    unsure = len(order) > 1 and loss[order[0]] >= AMBIGUOUS * loss[order[1]]
     return best, float(1 / likely.sum()), bool(unsure)
 
 

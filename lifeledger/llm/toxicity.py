@@ -33,9 +33,9 @@ from lifeledger.llm.quality import windows_of
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
-#: Terms: shortest, longest, least ratio of the rates, most terms, and the chance (as a natural log) that a
-#: term of no meaning is among them.
-SHORTEST, LONGEST, LEAST_RATIO, MOST_TERMS, CHANCE = 4, 12, 20.0, 2_000, -4.0
+#: Terms: shortest, longest, least ratio of the rates, and the chance (as a natural log) that a term of no
+#: meaning is among them.
+SHORTEST, LONGEST, LEAST_RATIO, CHANCE = 4, 12, 20.0, -4.0
 #: Fuzzy matching: least letters of a word and of a beginning, edits.
 FUZZY_FROM, FUZZY_START_FROM, MAX_EDITS = 5, 7, 1
 #: Letters before a hit that are searched for a reporting word or an opening quotation mark.
@@ -157,7 +157,10 @@ def quoted(text: str, start: int, end: int) -> bool:
 
 
 def learn_terms(fit: DataFrame) -> list[tuple[str, bool, int]]:
-    """Terms (text, begins, toxic documents) from (text, toxic): at most ``MOST_TERMS``, none covered by another."""
+    """Terms (text, begins, toxic documents) from (text, toxic): all that pass, none covered by another.
+
+    The rows are a bounded sample, so its words that are frequent in toxic and rare in other texts are, too.
+    """
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +196,7 @@ def learn_terms(fit: DataFrame) -> list[tuple[str, bool, int]]:
     chosen: list[tuple[str, bool, int]] = []
     heads: set[str] = set()
     covered: Counter[str] = Counter()
-    for r in top.limit(50 * MOST_TERMS).collect():
+    for r in top.collect():
         term = r["term"]
         # A term that begins with a chosen beginning adds nothing; of equal counts the longest came first.
         if any(term[:k] in heads for k in range(SHORTEST, len(term) + 1)):
@@ -205,8 +208,6 @@ def learn_terms(fit: DataFrame) -> list[tuple[str, bool, int]]:
         covered.update({term[:k]: r["toxic"] for k in range(SHORTEST, len(term) + 1)})
         if r["begins"]:
             heads.add(term)
-        if len(chosen) >= MOST_TERMS:
-            break
     return chosen
 
 

@@ -362,7 +362,7 @@ def test_decoding_equals_brute_force_and_breaks_ties_by_order():
 
 def test_a_rare_language_keeps_its_documents(spark, monkeypatch):
     monkeypatch.setattr(language, "LEAST_ROWS", 5)
-    rare = {f"q{k}": f"zx{'qj' * (k + 1)} kw vv" for k in range(7)}
+    rare = {f"q{k}": " ".join([c * 3, (c + d) * 2, d * 4]) for k, (c, d) in enumerate(["qz", "jx", "kw", "vy", "fö", "gß", "pü"])}
     rows = [(i, f"the cat and dog number {i} is here", "en") for i in range(3000)]
     rows += [(10_000 + 10 * k + j, text, lang) for k, (lang, text) in enumerate(rare.items()) for j in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

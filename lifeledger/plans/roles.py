@@ -133,9 +133,19 @@ class Tables:
 
     @cached_property
     def progression_dates(self) -> DataFrame:
-        return nth_per_key(self.index_records, ["entity_id"], ["event_date", "record_id"], 3).select(
-            "entity_id", F.col("event_date").alias("progression_date")
-        )
+        """Third qualifying record, if it falls before death and before the entity may count as recovered.
+
+        Recovery lies after the last relevant record and after the grace period from the first one.
+        """
+        key = ["entity_id"]
+        third = nth_per_key(self.index_records, key, ["event_date", "record_id"], 3).select("entity_id", "event_date")
+        first = self.index_records.groupBy(*key).agg(F.min("event_date").alias("first_date"))
+        last = self.activity["op"].groupBy(*key).agg(F.max("date").alias("last_date"))
+        known = third.join(first, key).join(last, key, "left").join(self.death_updates, key, "left")
+        date = F.col("event_date")
+        ill = (date < F.col("last_date")) | (date < add_days(F.col("first_date"), cohort.GRACE_DAYS))
+        alive = F.col("death_date").isNull() | (date < F.col("death_date"))
+        return known.where(ill & alive).select("entity_id", date.alias("progression_date"))
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -373,9 +383,6 @@ CTES["r_death"] = f"""
   ) o ON o.o_custkey = e.entity_id"""
 CTES["r_incident"] = f"""
   SELECT entity_id FROM r_index GROUP BY entity_id HAVING min(event_date) >= {START}"""
-CTES["r_progression"] = """
-  SELECT entity_id, event_date AS progression_date FROM r_index
-  QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_date, record_id) = 3"""
 CTES["r_lines"] = """
   SELECT o_custkey AS entity_id, CAST(o_orderdate AS DATE) AS order_date, CAST(l_shipdate AS DATE) AS ship_date,
     p_brand || '.' || p_type AS code, o_orderkey, o_orderpriority, l_linenumber, l_quantity, l_returnflag,
@@ -419,6 +426,13 @@ CTES["r_activity"] = f"""
   UNION ALL SELECT entity_id, attend_date, 'ae' FROM r_ed WHERE {_sql_any(ED_COLUMNS, RELEVANT_CODES)}
   UNION ALL SELECT entity_id, discharge_date, 'ip' FROM r_stays WHERE {_sql_any(STAY_COLUMNS, RELEVANT_CODES)}
   UNION ALL SELECT entity_id, end_date, 'rx' FROM r_rx_kept"""
+CTES["r_progression"] = f"""
+  SELECT entity_id, event_date AS progression_date FROM (
+    SELECT *, min(event_date) OVER (PARTITION BY entity_id) AS first_date FROM r_index
+    QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_date, record_id) = 3
+  ) i LEFT JOIN r_death USING (entity_id)
+    LEFT JOIN (SELECT entity_id, max(date) AS last_date FROM r_activity WHERE source = 'op' GROUP BY entity_id) a USING (entity_id)
+  WHERE (event_date < last_date OR event_date < first_date + {cohort.GRACE_DAYS}) AND (death_date IS NULL OR event_date < death_date)"""
 CTES["m_index"] = f"""
   SELECT i.entity_id, i.entry_date, e.sex, e.birth_date, e.district FROM (
     SELECT entity_id, event_date AS entry_date FROM r_index WHERE event_date BETWEEN {START} AND {END}

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lifeledger.plans.registry import query
 from lifeledger.plans.roles import DATES, FUTURE, STUDY_END, Tables
+from lifeledger.regression.design import Design
+from lifeledger.session import cut_lineage
 from lifeledger.survival import curves, fit, km
-from lifeledger.survival.sample import TRANSITIONS, Transition, censored
+from lifeledger.survival.sample import CHOSEN, CURVES, TRANSITIONS, Transition, censored, censored_all
 
 
 def sample(t: Tables, name: str) -> DataFrame:
@@ -110,14 +112,76 @@ def events_by_stratum(t: Tables) -> DataFrame:
 # Fits
 
 
+def _samples(t: Tables) -> DataFrame:
+    """The twelve transitions of the study in years, one pass over the cohort."""
+    return cut_lineage(censored_all(t.master, DATES, {k: TRANSITIONS[k] for k in CHOSEN}))
+
+
+def _fits(t: Tables, dists) -> fit.Fits:
+    return fit.fit_all(_samples(t), dists, expected=list(CHOSEN))
+
+
+EVERY = (*fit.DISTRIBUTIONS, "gompertz")
+_LEVELS = fit.DEFAULT_LEVELS
+_TERMS = {"intercept": "true"} | {
+    f"{c}={v}": f"{c} = '{v}'" if isinstance(v, str) else f"{c} = {v}" for c, levels in _LEVELS.items() for v in levels[1:]}
+_ALL_SQL = " UNION ALL ".join(f"SELECT '{name}' AS transition, s.* FROM ({sample_sql(name)}) s" for name in CHOSEN)
+_KNOWN = " AND ".join(
+    f"coalesce({c} IN ({', '.join(repr(v) for v in levels)}), false)" for c, levels in _LEVELS.items())
+# Reason why a transition is not fitted, as in the fits: no row, no event, or none in a level that has rows.
+_STATUS_SQL = f"""SELECT e.transition, count(s.entity_id) AS n_rows, count(*) FILTER (s.entity_id IS NOT NULL AND NOT timed) AS n_no_time,
+    count(*) FILTER (timed AND NOT known) AS n_unknown, count(*) FILTER (timed AND known) AS n_fit,
+    count(*) FILTER (timed AND known AND event = 1) AS n_events,
+    CASE WHEN count(*) FILTER (timed AND known) = 0 THEN 'no rows'
+      WHEN count(*) FILTER (timed AND known AND event = 1) = 0 THEN 'no events' {' '.join(
+        f"WHEN count(*) FILTER (timed AND known AND {c} = {v!r}) > 0 AND count(*) FILTER (timed AND known AND event = 1 AND {c} = {v!r}) = 0 "
+        f"THEN 'no events in {c}={v}'" for c, levels in _LEVELS.items() for v in levels)} ELSE 'fitted' END AS status
+  FROM (VALUES {', '.join(f"('{name}')" for name in CHOSEN)}) e(transition)
+    LEFT JOIN (SELECT *, coalesce(days > 0, false) AS timed, {_KNOWN} AS known FROM ({_ALL_SQL}) a) s USING (transition)
+  GROUP BY e.transition"""
+
+
+@query(_STATUS_SQL)
+def fit_account(t: Tables) -> DataFrame:
+    """Rows of each transition: all, refused for their time or a level, fitted, with an event; and whether it is fitted."""
+    fits = _fits(t, ["exponential"])
+    rows = [
+        (k, *(a[c] for c in ("n_rows", "n_no_time", "n_unknown", "n_fit", "n_events")), fits.status[k, "exponential"])
+        for k, a in fits.accounts.items()]
+    return t.spark.createDataFrame(
+        rows, "transition string, n_rows long, n_no_time long, n_unknown long, n_fit long, n_events long, status string")
+
+
+def _equation(dist: str, term: str, observed: str) -> str:
+    return f"""SELECT transition, '{dist}' AS dist, '{term}' AS term, round(coalesce({observed}, 0), 4) AS fitted FROM a GROUP BY transition"""
+
+
+@query(f"""WITH st AS ({_STATUS_SQL}), a AS (SELECT s.*, days / 365.25::DOUBLE AS years FROM ({_ALL_SQL}) s JOIN st USING (transition)
+             WHERE days > 0 AND {_KNOWN} AND status = 'fitted')
+           """ + " UNION ALL ".join(
+    [_equation(d, term, f"sum({'ln(years)' if d == 'lognormal' else '1.0'}) FILTER (event = 1 AND {test})")
+     for d in EVERY for term, test in _TERMS.items()]
+    + [_equation(d, "log_scale", "sum(1.0) FILTER (event = 1)") for d in fit.DISTRIBUTIONS if d != "exponential"]
+    + [_equation("gompertz", "shape", "sum(years) FILTER (event = 1)")]))
+def fit_score_equations(t: Tables) -> DataFrame:
+    """Certificate of every fit: the model side of its likelihood equations. The SQL sums the observed side only."""
+    samples = _samples(t)
+    found = fit.score_equations(samples, fit.fit_all(samples, EVERY, tol=1e-10))
+    # A distribution without a finite optimum is in no row here; the comparison with SQL would show it.
+    return found.withColumn("fitted", F.round("fitted", 4) + F.lit(0.0))
+
+
+_ROUNDED = ("estimate", "se", "lower", "upper")
+
+
+def _table(t: Tables, dists) -> DataFrame:
+    return fit.coefficients(_fits(t, dists), t.spark).withColumns({c: F.round(c, 6) for c in _ROUNDED})
+
+
 @query(name="aft_fit")
 def aft_fit(t: Tables) -> DataFrame:
-    models = fit.fit_models(sample(t, "base_progression"))
-    out = None
-    for model in models.values():
-        table = model.table(t.spark)
-        out = table if out is None else out.unionByName(table)
-    return out.withColumns({c: F.round(c, 6) for c in ("estimate", "se", "lower", "upper")})
+    """All four distributions of all twelve transitions."""
+    return _table(t, fit.DISTRIBUTIONS)
 
 
 @query(f"""WITH g AS (SELECT sex, sum(days / 365.25::DOUBLE) / sum(event) AS m, 1.0 / sum(event) AS v
@@ -134,39 +198,50 @@ def aft_fit_saturated(t: Tables) -> DataFrame:
 @query(f"""SELECT age_band, sex, baseline_any, round(time, 8) AS time, event, count(*) AS n
            FROM ({sample_sql('base_progression')}) s WHERE days > 0 GROUP BY ALL""")
 def aft_compress(t: Tables) -> DataFrame:
-    from lifeledger.regression.design import Design
-
     counts = fit.compress(sample(t, "base_progression"), Design(fit.DEFAULT_LEVELS))
     return counts.withColumn("time", F.round("time", 8))
 
 
 @query(name="gompertz_fit")
 def gompertz_fit(t: Tables) -> DataFrame:
-    table = fit.fit_gompertz(sample(t, "base_death")).table(t.spark)
-    return table.withColumns({c: F.round(c, 6) for c in ("estimate", "se", "lower", "upper")})
+    return _table(t, ["gompertz"])
 
 
 @query(name="model_selection")
 def model_selection(t: Tables) -> DataFrame:
-    table = fit.compare_models(sample(t, "base_recovery"))
-    return table.withColumns({c: F.round(c, 4) for c in ("loglik", "aic", "bic")})
+    """Five distributions of all twelve transitions, in the same rounds; a pair without a model says why."""
+    return fit.compare_all(_fits(t, EVERY), t.spark).withColumns({c: F.round(c, 4) for c in ("loglik", "aic", "bic")})
 
 
 @query(name="weibull_report")
 def weibull_report(t: Tables) -> DataFrame:
-    return fit.weibull_report(fit.fit_aft(sample(t, "base_comorbid"), "weibull"), t.spark)
+    """The four transitions that the study reports with a Weibull model."""
+    fits, out = _fits(t, ["weibull"]), None
+    for name in (k for k, dist in CHOSEN.items() if dist == "weibull" and (k, "weibull") in fits.models):
+        part = fit.weibull_report(fits.models[name, "weibull"], t.spark).withColumn("transition", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else t.spark.createDataFrame(
+        [], "quantity string, term string, estimate double, lower double, upper double, transition string")
+
+
+def _curves(t: Tables) -> DataFrame:
+    """S(t) of the five transitions that have curves, in years 1 to 10, from lognormal models."""
+    fits, out = _fits(t, ["lognormal"]), None
+    for name in (k for k in CURVES if (k, "lognormal") in fits.models):
+        part = curves.survival_grid(t.spark, fits.models[name, "lognormal"]).withColumn("transition", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else t.spark.createDataFrame(
+        [], "age_band string, sex string, baseline_any int, year int, survival double, transition string")
 
 
 @query(name="survival_grid")
 def survival_grid(t: Tables) -> DataFrame:
-    model = fit.fit_aft(sample(t, "base_progression"), "lognormal")
-    return curves.survival_grid(t.spark, model).withColumn("survival", F.round("survival", 6))
+    return _curves(t).withColumn("survival", F.round("survival", 6))
 
 
 @query(name="survival_grid_wide")
 def survival_grid_wide(t: Tables) -> DataFrame:
-    model = fit.fit_aft(sample(t, "base_recovery"), "lognormal")
-    return curves.survival_wide(curves.survival_grid(t.spark, model))
+    return curves.survival_wide(_curves(t), by=["transition", "year"])
 
 
 @query(f"""WITH g AS (SELECT sex, sum(days / 365.25::DOUBLE) / sum(event) AS m FROM ({sample_sql('base_recovery')}) s
@@ -187,8 +262,6 @@ _FACTORS = {
 @query(name="quantile_curve")
 def quantile_curve(t: Tables) -> DataFrame:
     """One-factor fits: Weibull by sex, lognormal by age band, loglogistic by baseline."""
-    from lifeledger.session import cut_lineage
-
     rows, out = cut_lineage(sample(t, "validate_recovery")), None
     for dist, levels in _FACTORS.items():
         model = fit.fit_models(rows, [dist], levels)[dist]
@@ -210,8 +283,6 @@ def wide_to_long(t: Tables) -> DataFrame:
 
 @query(name="km_vs_model")
 def km_vs_model(t: Tables) -> DataFrame:
-    from lifeledger.session import cut_lineage
-
     rows = cut_lineage(sample(t, "validate_recovery"))
     model = fit.fit_models(rows, ["weibull"], {"sex": ["F", "M"]})["weibull"]
     return curves.km_vs_model(km.kaplan_meier(rows, ["sex"]), model, ["sex"])

@@ -47,22 +47,44 @@ class Design:
                 out = out + effect.otherwise(F.lit(0.0))
         return out
 
-    def quadratic(self, matrix: np.ndarray) -> Column:
-        """x' M x as an expression, x being the design vector of the row."""
-        x = [F.lit(1.0)] + [
+    def indicators(self) -> list[Column]:
+        """The design vector as 0/1 expressions, in the order of ``terms``."""
+        return [F.lit(1.0)] + [
             (F.col(c) == F.lit(v)).cast("double") for c, levels in self.levels.items() for v in list(levels)[1:]
         ]
+
+    def linear_of(self, beta: Column) -> Column:
+        """Linear predictor with the coefficients in an array column."""
+        out, place = beta[0], 1
+        for c, levels in self.levels.items():
+            effect = None
+            for v in list(levels)[1:]:
+                test = F.col(c) == F.lit(v)
+                effect = F.when(test, beta[place]) if effect is None else effect.when(test, beta[place])
+                place += 1
+            if effect is not None:
+                out = out + effect.otherwise(F.lit(0.0))
+        return out
+
+    def quadratic(self, matrix: np.ndarray) -> Column:
+        """x' M x as an expression, x being the design vector of the row."""
+        x = self.indicators()
         out = F.lit(0.0)
         for i in range(len(x)):
             for j in range(len(x)):
                 out = out + x[i] * x[j] * F.lit(float(matrix[i, j]))
         return out
 
-    def known(self, df: DataFrame) -> DataFrame:
-        """Rows whose covariates all have a declared level."""
+    def is_known(self) -> Column:
+        """Whether every covariate has a declared level; never null."""
+        out = F.lit(True)
         for c, levels in self.levels.items():
-            df = df.where(F.col(c).isin(list(levels)))
-        return df
+            out = out & F.coalesce(F.col(c).isin(list(levels)), F.lit(False))
+        return out
+
+    def known(self, df: DataFrame) -> DataFrame:
+        """Rows whose covariates all have a declared level; :meth:`is_known` counts the others."""
+        return df.where(self.is_known())
 
 
 def solve_step(information: np.ndarray, gradient: np.ndarray) -> np.ndarray:

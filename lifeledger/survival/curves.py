@@ -43,11 +43,13 @@ def survival_grid(spark: SparkSession, model: SurvivalModel, times: Sequence[int
     return grid.withColumn("survival", survival(model, F.col("year").cast("double")))
 
 
-def survival_wide(grid: DataFrame, columns: Sequence[str] = ("age_band", "sex", "baseline_any")) -> DataFrame:
-    """One row per year, one column per covariate combination."""
+def survival_wide(
+    grid: DataFrame, columns: Sequence[str] = ("age_band", "sex", "baseline_any"), by: Sequence[str] = ("year",)
+) -> DataFrame:
+    """One row per year (or value of ``by``), one column per covariate combination."""
     labels = [r[0] for r in grid.select(F.concat_ws("_", *columns).alias("c")).distinct().sort("c").collect()]
     labelled = grid.withColumn("_c", F.concat_ws("_", *columns))
-    return labelled.groupBy("year").pivot("_c", labels).agg(F.first("survival"))
+    return labelled.groupBy(*by).pivot("_c", labels).agg(F.first("survival"))
 
 
 def predict_quantiles(

@@ -1,8 +1,13 @@
 """Parametric survival regression from distributed sufficient statistics.
 
-A sample is first compressed to counts per (covariate cell, time, event). Each Newton round is one
-Spark aggregation of that table to one row per cell; only those rows reach the driver, where a
-small linear system is solved. All requested distributions advance in the same round.
+Samples of any number of transitions are compressed to counts per (transition, covariate cell, time, event).
+Each Newton round is one Spark aggregation of that table to one row per transition and cell, in which all
+transitions and all requested distributions advance together; only those rows reach the driver, where
+small linear systems are solved. Parameters enter a round as a small joined table and not as
+literals, so every round runs the code that the first one compiled.
+
+No row is lost without a trace: rows without a positive time and rows with an unknown level are
+counted per transition (:func:`account`), and a transition that cannot be fitted is reported with the reason.
 """
 
 from __future__ import annotations
@@ -20,6 +25,9 @@ from lifeledger.functions.special import LOG_SQRT_2PI, tail_ratio
 from lifeledger.regression.design import Z_95, Design, covariance, solve_step
 from lifeledger.session import cut_lineage
 
+#: Name of the column that tells the transitions of a stacked sample apart.
+KEY = "transition"
+
 DISTRIBUTIONS = ("weibull", "exponential", "loglogistic", "lognormal")
 DEFAULT_LEVELS = {
     "age_band": ["10-24", "25-40", "41-65", "65+"],
@@ -42,6 +50,7 @@ class SurvivalModel:
     n_events: int
     gradient: float
     rounds: int
+    n_refused: int = 0
 
     @property
     def scale(self) -> float:
@@ -74,10 +83,26 @@ class SurvivalModel:
         )
 
 
-def compress(sample: DataFrame, design: Design) -> DataFrame:
-    """Counts per (cell, time, event). Lossless, and bounded by cells x distinct days x 2."""
-    usable = design.known(sample.where(F.col("time") > 0))
-    return usable.groupBy(*design.columns, "time", "event").agg(F.count(F.lit(1)).alias("n"))
+def account(sample: DataFrame, design: Design, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_rows, n_no_time, n_unknown, n_fit, n_events): what becomes of the rows of a sample.
+
+    A row is refused if its time is null or not positive, else if a covariate has no declared level; all
+    others are fitted.
+    """
+    timed, known = F.coalesce(F.col("time") > 0, F.lit(False)), design.is_known()
+    return sample.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~timed).alias("n_no_time"), F.count_if(timed & ~known).alias("n_unknown"),
+        F.count_if(timed & known).alias("n_fit"), F.count_if(timed & known & (F.col("event") == 1)).alias("n_events"),
+    )
+
+
+def compress(sample: DataFrame, design: Design, by: Sequence[str] = ()) -> DataFrame:
+    """Counts per (by, cell, time, event) of the rows that :func:`account` calls fitted.
+
+    Nothing else of them enters a likelihood, and the table is bounded by cells x distinct days x 2.
+    """
+    usable = sample.where((F.col("time") > 0) & design.is_known())
+    return usable.groupBy(*by, *design.columns, "time", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _standardised(dist: str, z: Column, d: Column, ratio: Column | None) -> tuple[Column, Column, Column]:
@@ -102,24 +127,24 @@ def _standardised(dist: str, z: Column, d: Column, ratio: Column | None) -> tupl
     )
 
 
-def _location_scale_sums(tau: float, u: Column, u1: Column, u2: Column, z: Column) -> list[Column]:
+def _location_scale_sums(tau: Column, u: Column, u1: Column, u2: Column, z: Column) -> list[Column]:
     """Per-row log-likelihood and its derivatives in (eta, tau), with tau = ln scale."""
     t, d = F.col("time"), F.col("event").cast("double")
-    scale = math.exp(tau)
+    scale = F.exp(tau)
     return [
-        u - d * (F.lit(tau) + F.log(t)),
-        -u1 / F.lit(scale),
-        u2 / F.lit(scale * scale),
-        (u1 + z * u2) / F.lit(scale),
+        u - d * (tau + F.log(t)),
+        -u1 / scale,
+        u2 / (scale * scale),
+        (u1 + z * u2) / scale,
         -z * u1 - d,
         z * u1 + z * z * u2,
     ]
 
 
-def _gompertz_sums(eta: Column, a: float) -> list[Column]:
+def _gompertz_sums(eta: Column, a: Column) -> list[Column]:
     """As above for hazard exp(eta + a t); the second parameter is ``a``."""
     t, d = F.col("time"), F.col("event").cast("double")
-    x, b = F.lit(a) * t, F.exp(eta)
+    x, b = a * t, F.exp(eta)
     # Cumulative base hazard G = (e^{at} - 1) / a and its derivatives in a; series where a t is small.
     small = F.abs(x) < 0.05
 
@@ -131,7 +156,7 @@ def _gompertz_sums(eta: Column, a: float) -> list[Column]:
             out = out + F.lit(c) * F.pow(x, F.lit(k - order))
         return out * F.pow(t, F.lit(first))
 
-    safe = F.lit(a if abs(a) > 1e-12 else 1.0)
+    safe = F.when(F.abs(a) > 1e-12, a).otherwise(F.lit(1.0))
     g = F.when(small, series(1, 0)).otherwise(F.expm1(x) / safe)
     g1 = F.when(small, series(2, 1)).otherwise((t * F.exp(x) - F.expm1(x) / safe) / safe)
     g2 = F.when(small, series(3, 2)).otherwise(
@@ -143,33 +168,44 @@ def _gompertz_sums(eta: Column, a: float) -> list[Column]:
 _SUMS = ("l", "ge", "hee", "het", "gt", "htt")
 
 
-def _round_sums(counts: DataFrame, design: Design, active: Mapping[str, np.ndarray]) -> list:
-    """One row per covariate cell with the sums of every active distribution at its parameters.
+def _with_parameters(rows: DataFrame, theta: Mapping[str, Mapping[str, np.ndarray]], dists: Sequence[str]) -> DataFrame:
+    """Join an array ``theta_<dist>`` per transition; null where a distribution has no parameters (any more)."""
+    keys = sorted(theta)
+    table = [(k, *([float(v) for v in theta[k][d]] if d in theta[k] else None for d in dists)) for k in keys]
+    schema = ", ".join([f"`{KEY}` string", *(f"theta_{d} array<double>" for d in dists)])
+    # One row per transition.
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, schema)), on=KEY)
 
-    Shared parts are columns of their own, stage by stage, so each is computed once per row.
-    """
-    rows = counts
-    standard = [d for d in active if d != "gompertz"]
-    rows = rows.withColumns({f"eta_{d}": design.linear(theta[:-1]) for d, theta in active.items()})
-    rows = rows.withColumns({
-        f"z_{d}": (F.log("time") - F.col(f"eta_{d}")) / F.lit(math.exp(active[d][-1])) for d in standard
-    })
+
+def _with_errors(rows: DataFrame, design: Design, dists: Sequence[str]) -> DataFrame:
+    """Linear predictors and, stage by stage, what several sums share, so that each is computed once per row."""
+    last = len(design.terms)
+    standard = [d for d in dists if d != "gompertz"]
+    rows = rows.withColumns({f"eta_{d}": design.linear_of(F.col(f"theta_{d}")) for d in dists})
+    rows = rows.withColumns({f"shape_{d}": F.col(f"theta_{d}")[last] for d in dists})
+    rows = rows.withColumns({f"z_{d}": (F.log("time") - F.col(f"eta_{d}")) / F.exp(f"shape_{d}") for d in standard})
     ratio = None
-    if "lognormal" in active:
+    if "lognormal" in dists:
         rows = rows.withColumn("tail_at", F.abs("z_lognormal")).withColumn("ratio", tail_ratio(F.col("tail_at")))
         ratio = F.col("ratio")
     for d in standard:
         parts = _standardised(d, F.col(f"z_{d}"), F.col("event").cast("double"), ratio)
         rows = rows.withColumns({f"u{i}_{d}": u for i, u in enumerate(parts)})
+    return rows
+
+
+def _round_sums(counts: DataFrame, design: Design, theta: Mapping[str, Mapping[str, np.ndarray]], dists: Sequence[str]) -> list:
+    """One row per transition and covariate cell with the sums of every distribution at its parameters."""
+    rows = _with_errors(_with_parameters(counts, theta, dists), design, dists)
     sums = []
-    for d, theta in active.items():
+    for d in dists:
         if d == "gompertz":
-            parts = _gompertz_sums(F.col("eta_gompertz"), float(theta[-1]))
+            parts = _gompertz_sums(F.col("eta_gompertz"), F.col("shape_gompertz"))
         else:
             u, u1, u2 = (F.col(f"u{i}_{d}") for i in range(3))
-            parts = _location_scale_sums(float(theta[-1]), u, u1, u2, F.col(f"z_{d}"))
+            parts = _location_scale_sums(F.col(f"shape_{d}"), u, u1, u2, F.col(f"z_{d}"))
         sums += [F.sum(F.col("n") * v).alias(f"{d}_{name}") for name, v in zip(_SUMS, parts)]
-    return rows.groupBy(*design.columns).agg(*sums).collect()
+    return rows.groupBy(KEY, *design.columns).agg(*sums).collect()
 
 
 class _State:
@@ -220,48 +256,106 @@ class _State:
         self.theta, self.done = self.best[0], True
 
 
-def fit_models(
-    sample: DataFrame, dists: Sequence[str] = DISTRIBUTIONS, levels: Mapping[str, Sequence] | None = None,
-    max_rounds: int = 60, tol: float = 1e-8,
-) -> dict[str, SurvivalModel]:
-    """Fit several distributions to one sample (time, event, covariates)."""
+@dataclass(frozen=True)
+class Fits:
+    """All models of a stacked sample, with the account of its rows and the reason where there is no model."""
+
+    models: Mapping[tuple[str, str], SurvivalModel]
+    status: Mapping[tuple[str, str], str]
+    accounts: Mapping[str, Mapping[str, int]]
+
+
+def _too_thin(cells: Sequence, design: Design) -> str | None:
+    """Why a transition cannot be fitted: no row, no event at all, or none in a level that has rows."""
+    if not cells:
+        return "no rows"
+    if not sum(r["d"] for r in cells):
+        return "no events"
+    for c, levels in design.levels.items():
+        for v in levels:
+            own = [r for r in cells if r[c] == v]
+            if own and not sum(r["d"] for r in own):
+                return f"no events in {c}={v}"
+    return None
+
+
+def fit_all(
+    samples: DataFrame, dists: Sequence[str] = DISTRIBUTIONS, levels: Mapping[str, Sequence] | None = None,
+    max_rounds: int = 60, tol: float = 1e-8, expected: Sequence[str] = (),
+) -> Fits:
+    """Fit several distributions to every transition of a stacked sample (transition, time, event, covariates).
+
+    ``expected`` names transitions that are reported even if they have no row.
+    """
     design = Design(dict(DEFAULT_LEVELS if levels is None else levels))
-    counts = cut_lineage(compress(sample, design))
-    head = counts.agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("event")).alias("d"),
-        F.sum(F.col("n") * F.col("time")).alias("t"),
-    ).first()
-    if not head["n"] or not head["d"]:
-        raise ValueError("the sample has no events")
     p = len(design.terms)
-    states = {d: _State(d, p, math.log(head["t"] / head["d"])) for d in dists}
-    while any(not s.done for s in states.values()):
-        active = {d: s for d, s in states.items() if not s.done}
-        if any(s.rounds >= max_rounds for s in active.values()):
-            raise ArithmeticError(f"no convergence after {max_rounds} rounds: {sorted(active)}")
-        cells = _round_sums(counts, design, {d: s.theta for d, s in active.items()})
-        xs = [design.row(r.asDict()) for r in cells]
-        for d, s in active.items():
-            values = [{k: r[f"{d}_{k}"] if r[f"{d}_{k}"] is not None else math.nan for k in _SUMS} for r in cells]
-            gradient, hessian = np.zeros(p + 1), np.zeros((p + 1, p + 1))
-            for x, v in zip(xs, values):
-                gradient[:p] += v["ge"] * x
-                gradient[p] += v["gt"]
-                hessian[:p, :p] += v["hee"] * np.outer(x, x)
-                hessian[:p, p] += v["het"] * x
-                hessian[p, p] += v["htt"]
+    accounts = {r[KEY]: r.asDict() for r in account(samples, design, [KEY]).collect()}
+    none = dict.fromkeys(("n_rows", "n_no_time", "n_unknown", "n_fit", "n_events"), 0)
+    accounts |= {k: {KEY: k, **none} for k in expected if k not in accounts}
+    counts = cut_lineage(compress(samples, design, [KEY]))
+    sizes: dict[str, list] = {k: [] for k in accounts}
+    for r in counts.groupBy(KEY, *design.columns).agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("event")).alias("d"), F.sum(F.col("n") * F.col("time")).alias("t")
+    ).collect():
+        sizes[r[KEY]].append(r)
+    states: dict[tuple[str, str], _State] = {}
+    status: dict[tuple[str, str], str] = {}
+    for k, cells in sizes.items():
+        reason = _too_thin(cells, design)
+        for d in dists:
+            status[k, d] = reason or "fitted"
+            if not reason:
+                states[k, d] = _State(d, p, math.log(sum(r["t"] for r in cells) / sum(r["d"] for r in cells)))
+    while True:
+        active = {kd: s for kd, s in states.items() if not s.done}
+        for kd, s in list(active.items()):
+            if s.rounds >= max_rounds:
+                status[kd] = f"no convergence after {max_rounds} rounds"
+                s.done = True
+                del active[kd], states[kd]
+        if not active:
+            break
+        theta: dict[str, dict[str, np.ndarray]] = {}
+        for (k, d), s in active.items():
+            theta.setdefault(k, {})[d] = s.theta
+        cells = _round_sums(counts, design, theta, dists)
+        for (k, d), s in active.items():
+            own = [(design.row(r.asDict()), [r[f"{d}_{name}"] for name in _SUMS]) for r in cells if r[KEY] == k]
+            gradient, hessian, value = np.zeros(p + 1), np.zeros((p + 1, p + 1)), []
+            for x, sums in own:
+                l, ge, hee, het, gt, htt = (math.nan if v is None else v for v in sums)
+                value.append(l)
+                gradient[:p] += ge * x
+                gradient[p] += gt
+                hessian[:p, :p] += hee * np.outer(x, x)
+                hessian[:p, p] += het * x
+                hessian[p, p] += htt
             hessian[p, :p] = hessian[:p, p]
-            s.update(math.fsum(v["l"] for v in values), gradient, -hessian, tol)
+            s.update(math.fsum(value), gradient, -hessian, tol)
     models = {}
-    for d, s in states.items():
+    for (k, d), s in states.items():
         free = s.free()
         _, gradient, information = s.best
-        models[d] = SurvivalModel(
+        own = accounts[k]
+        models[k, d] = SurvivalModel(
             dist=d, design=design, beta=s.theta[:-1], shape=float(s.theta[-1]),
-            cov=covariance(information[free, free]), loglik=s.loglik, n=int(head["n"]),
-            n_events=int(head["d"]), gradient=float(np.abs(gradient[free]).max()), rounds=s.rounds,
+            cov=covariance(information[free, free]), loglik=s.loglik, n=own["n_fit"], n_events=own["n_events"],
+            gradient=float(np.abs(gradient[free]).max()), rounds=s.rounds, n_refused=own["n_no_time"] + own["n_unknown"],
         )
-    return models
+    return Fits(models, status, accounts)
+
+
+def fit_models(
+    sample: DataFrame, dists: Sequence[str] = DISTRIBUTIONS, levels: Mapping[str, Sequence] | None = None,
+    max_rounds: int = 60, tol: float = 1e-8,
+) -> dict[str, SurvivalModel]:
+    """Fit several distributions to one sample (time, event, covariates)."""
+    fits = fit_all(sample.withColumn(KEY, F.lit("all")), dists, levels, max_rounds, tol)
+    bad = {d: fits.status.get(("all", d), "no rows") for d in dists if ("all", d) not in fits.models}
+    if bad:
+        kind = ArithmeticError if any(v.startswith("no convergence") for v in bad.values()) else ValueError
+        raise kind(f"no model of the sample: {bad}")
+    return {d: fits.models["all", d] for d in dists}
 
 
 def fit_aft(sample: DataFrame, dist: str, levels: Mapping[str, Sequence] | None = None) -> SurvivalModel:
@@ -274,6 +368,9 @@ def fit_gompertz(sample: DataFrame, levels: Mapping[str, Sequence] | None = None
     return fit_models(sample, ["gompertz"], levels)["gompertz"]
 
 
+COMPARISON = "dist string, n long, n_events long, n_refused long, k int, loglik double, aic double, bic double, status string"
+
+
 def compare_models(
     sample: DataFrame, dists: Sequence[str] = (*DISTRIBUTIONS, "gompertz"), levels=None, n: int | None = None
 ) -> DataFrame:
@@ -287,6 +384,58 @@ def compare_models(
     ).orderBy("aic", "dist")
 
 
+def compare_all(fits: Fits, spark: SparkSession) -> DataFrame:
+    """(transition, dist, n, n_events, n_refused, k, loglik, aic, bic, status): a row for every pair, fitted or not."""
+    rows = []
+    for (k, d), status in fits.status.items():
+        own, m = fits.accounts[k], fits.models.get((k, d))
+        score = (m.n_parameters, m.loglik, m.aic, m.bic()) if m else (None,) * 4
+        rows.append((k, d, own["n_fit"], own["n_events"], own["n_no_time"] + own["n_unknown"], *score, status))
+    return spark.createDataFrame(rows, f"{KEY} string, {COMPARISON}")
+
+
+def coefficients(fits: Fits, spark: SparkSession) -> DataFrame:
+    """(transition, dist, term, estimate, se, lower, upper) of every fitted model."""
+    rows = [(k, d, t, b, s, b - Z_95 * s, b + Z_95 * s) for (k, d), m in fits.models.items() for t, b, s in m.rows()]
+    return spark.createDataFrame(
+        rows, f"{KEY} string, dist string, term string, estimate double, se double, lower double, upper double"
+    )
+
+
+def score_equations(samples: DataFrame, fits: Fits) -> DataFrame:
+    """(transition, dist, term, fitted): the model side of each likelihood equation, summed over the sample.
+
+    At the optimum it equals an observed sum, which needs no model: the events in a term (exponential, Weibull,
+    loglogistic, Gompertz), their log times (lognormal), all events (scale), and the times of events
+    (Gompertz shape). So a query without any fitting can certify the fits.
+    """
+    spark = samples.sparkSession
+    out = None
+    for dist in dict.fromkeys(d for _, d in fits.models):
+        models = {k: m for (k, d), m in fits.models.items() if d == dist}
+        design = next(iter(models.values())).design
+        theta = {k: {dist: np.append(m.beta, m.shape)} for k, m in models.items()}
+        counts = compress(samples, design, [KEY])
+        rows = _with_errors(_with_parameters(counts, theta, [dist]), design, [dist])
+        d, t = F.col("event").cast("double"), F.col("time")
+        if dist == "gompertz":
+            _, slope, _, _, shape, _ = _gompertz_sums(F.col("eta_gompertz"), F.col("shape_gompertz"))
+            own, last, name = d - slope, d * t - shape, "shape"
+        else:
+            u1, z = F.col(f"u1_{dist}"), F.col(f"z_{dist}")
+            own = d - u1 if dist != "lognormal" else d * F.col("eta_lognormal") + F.exp("shape_lognormal") * u1 * (1 - d)
+            last, name = -z * u1, "log_scale"
+        sums = {term: F.sum(F.col("n") * own * x) for term, x in zip(design.terms, design.indicators())}
+        if dist != "exponential":
+            sums[name] = F.sum(F.col("n") * last)
+        wide = rows.groupBy(KEY).agg(*[v.alias(k) for k, v in sums.items()])
+        part = wide.unpivot([KEY], [f"`{k}`" for k in sums], "term", "fitted").withColumn("dist", F.lit(dist))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"{KEY} string, dist string, term string, fitted double")
+    return out.select(KEY, "dist", "term", "fitted")
+
+
 def weibull_report(model: SurvivalModel, spark: SparkSession) -> DataFrame:
     """Proportional-hazards reading of a Weibull fit: lambda, gamma, hazard and event-time ratios.
 

@@ -34,6 +34,46 @@ WINDOW = 13
 GRAM = 5
 
 
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    """Lengths of the lists; 0 for null."""
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _marked(runs: pa.ListArray, first: np.ndarray, size: int, longer: int = 0) -> np.ndarray:
+    """True at the places in the rows' runs, each run ``longer`` by some; row r begins at place first[r]."""
+    ends = np.asarray(runs.flatten()).reshape(-1, 2) + np.repeat(first, _lengths(runs) // 2)[:, None]
+    depth = np.zeros(size + 1, int)
+    np.add.at(depth, ends[:, 0], 1)
+    np.add.at(depth, ends[:, 1] + 1 + longer, -1)
+    return np.cumsum(depth[:-1]) > 0
+
+
+def runs_of(lists: DataFrame, name: str) -> DataFrame:
+    """Replace lists of whole numbers by their runs: first and last of each stretch of successive numbers.
+
+    Shared anchors and covered windows come in stretches, so a document's list becomes a few numbers.
+    """
+    keys = [c for c in lists.columns if c != name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(name))
+            size = _lengths(column)
+            row, value = np.repeat(np.arange(len(size)), size), np.asarray(column.flatten())
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            breaks = np.flatnonzero((np.diff(row) != 0) | (np.diff(value) != 1))
+            first, last = np.append([0], breaks + 1)[: len(value)], np.append(breaks, len(value) - 1)[: len(value)]
+            ends = np.column_stack([value[first], value[last]]).ravel().astype(np.int32)
+            offsets = 2 * np.searchsorted(row[first], np.arange(len(size) + 1))
+            packed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ends))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keys))], packed], names=[*keys, name])
+
+    ordered = lists.select(*keys, name)
+    kinds = dict(ordered.dtypes)
+    return ordered.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{name} array<int>"]))
+
+
 def _anchored(table: Words, window: int, gram: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all windows, the place of each one's anchor, and the hash at every place."""
     grams = gram_hashes(table.hashes, gram, powers)
@@ -53,11 +93,6 @@ def _anchored(table: Words, window: int, gram: int, powers: Powers) -> tuple[np.
     return starts, starts + anchor[starts], grams
 
 
-def _lengths(lists: pa.ListArray) -> np.ndarray:
-    """Lengths of the lists; 0 for null."""
-    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """(id, tag, text) of rows with an id. The tag tells rows of one id apart, and is 0 if no id repeats."""
     known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
@@ -67,7 +102,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def anchors(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(anchor, doc_id, tag, place) of every anchor of (doc_id, tag, text)."""
+    """(anchor, doc_id, tag, place) of every anchor of (doc_id, tag, text); places number a text's anchors from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -81,7 +116,7 @@ def anchors(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 row = np.searchsorted(table.first, place, "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams[place].view(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
-                     pa.array((place - table.first[row]).astype(np.int32))],
+                     pa.array((np.arange(len(place)) - np.searchsorted(place, table.first)[row]).astype(np.int32))],
                     names=["anchor", "doc_id", "tag", "place"],
                 )
 
@@ -97,9 +132,9 @@ def extended(seeded: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
             for part in parts(batch, 2):
                 table = Words(part.column(2), powers)
                 starts, anchor, grams = _anchored(table, window, gram, powers)
+                places = np.unique(anchor)
                 seeds = np.zeros(len(grams), bool)
-                places = part.column(3)
-                seeds[np.asarray(places.flatten()) + np.repeat(table.first[:-1], _lengths(places))] = True
+                seeds[places] = _marked(part.column(3), np.searchsorted(places, table.first[:-1]), len(places))
                 starts = starts[seeds[anchor]]
                 hashes = gram_hashes(table.hashes, window, powers)[starts]
                 row = np.searchsorted(table.first, starts, "right") - 1
@@ -125,13 +160,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "seeds"
     )
     # A document's places, at most one for each of its words.
-    places = stored(found.join(seeds.hint("merge"), "anchor").groupBy(*keys).agg(F.collect_list("place").alias("places")), "places")
+    places = found.join(seeds.hint("merge"), "anchor").groupBy(*keys).agg(F.collect_list("place").alias("places"))
+    places = stored(runs_of(places, "places"), "places")
     windows = extended(rows.join(bounded(places), keys), window, gram)
     first = stored(
         windows.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low"), "first"
     )
     later = windows.join(first.hint("merge"), "hash").where("doc_id > low")
-    starts = stored(later.groupBy(*keys).agg(F.collect_list("start").alias("starts")), "starts")
+    starts = stored(runs_of(later.groupBy(*keys).agg(F.collect_list("start").alias("starts")), "starts"), "starts")
     return covered(docs, rows, starts, window)
 
 
@@ -148,14 +184,7 @@ def covered(docs: DataFrame, rows: DataFrame, starts: DataFrame, window: int) ->
         for batch in batches:
             for part in parts(batch, 1):
                 table = Words(part.column(1), powers)
-                own = part.column(2)
-                total = table.first[-1]
-                # +1 where a window starts, -1 behind its end: positive sums are covered words.
-                depth = np.zeros(total + 1, int)
-                at = np.asarray(own.flatten()) + np.repeat(table.first[:-1], _lengths(own))
-                np.add.at(depth, at, 1)
-                np.add.at(depth, at + window, -1)
-                gone = np.cumsum(depth[:-1]) > 0
+                gone = _marked(part.column(2), table.first[:-1], table.first[-1], window - 1)
                 spans, removed, texts = [], [], []
                 for r in range(part.num_rows):
                     cut = gone[table.first[r] : table.first[r + 1]]

@@ -197,20 +197,24 @@ def search(rows: DataFrame, anchors: DataFrame, same: bool, k: int, block_rows:
     total = rows.count()
     # Rows of a label meet only anchors of that label, rows of a hot label are dealt to several blocks.
     buckets = max(-(-total // block_rows), min(free, -(-total // LEAST_ROWS)), 1) if same else 1
-    bucket = F.pmod(F.xxhash64("label"), F.lit(buckets)) if same else F.lit(0).cast("long")
-    rows, anchors = rows.withColumn("bucket", bucket), anchors.withColumn("bucket", bucket)
-    least = max(-(-total // free), LEAST_ROWS)
-    blocks = F.ceil(F.col("n_rows") / F.lit(min(least, block_rows)))
-    sizes = stored(
-        rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows")).join(
-            anchors.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_anchors")), "bucket"
-        ).select("bucket", blocks.alias("blocks"), F.ceil(F.col("n_anchors") / F.lit(chunk_anchors)).alias("chunks")), "sizes"
-    )
+    least = min(max(-(-total // free), LEAST_ROWS), block_rows)
+    if same:
+        bucket = F.pmod(F.xxhash64("label"), F.lit(buckets))
+        rows, anchors = rows.withColumn("bucket", bucket), anchors.withColumn("bucket", bucket)
+        sizes = stored(
+            rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(least)).alias("blocks")).join(
+                anchors.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk_anchors)).alias("chunks")), "bucket"), "sizes"
+        )
+        rows, anchors = rows.join(sizes, "bucket"), anchors.join(sizes, "bucket")
+    else:
+        counts = {"bucket": 0, "blocks": max(-(-total // least), 1), "chunks": max(-(-anchors.count() // chunk_anchors), 1)}
+        counts = {k: F.lit(v).cast("long") for k, v in counts.items()}
+        rows, anchors = rows.withColumns(counts), anchors.withColumns(counts)
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = ["bucket", "block", "chunk"]
-    left = rows.join(sizes, "bucket").select("vec_id", "label", "vector", "bucket", part("blocks").alias("block"), every("chunks").alias("chunk"))
-    right = anchors.join(sizes, "bucket").select(
+    left = rows.select("vec_id", "label", "vector", "bucket", part("blocks").alias("block"), every("chunks").alias("chunk"))
+    right = anchors.select(
         F.col("vec_id").alias("a_id"), F.col("label").alias("a_label"), F.col("vector").alias("a_vector"), F.col("windows").alias("a_windows"),
         *[c.alias(f"a_{k}") for k, c in zip(keys, (F.col("bucket"), every("blocks"), part("chunks")))],
     )

@@ -283,64 +283,118 @@ def baseline_table_unmatched(t: Tables) -> DataFrame:
 # Regression
 
 
-def _priced(t: Tables, y: str) -> DataFrame:
-    """Rows a count model accepts: a one-day window inside a longer stay has a negative prorated cost."""
-    return t.rates.where(F.col(y) >= 0)
-
-
-def _offset_model(t: Tables) -> negbin.CostModel:
-    return negbin.fit_negbin(_priced(t, "ip_cost"), "ip_cost", offset=F.log(F.col("follow_up_days") / 365.25))
+# The cost models of the study: response, levels (all covariates if none are named), whether follow-up is the offset.
+_MODELS = {
+    "ip_cost": ("ip_cost", None, True),
+    "overall_psy_cost_py": ("overall_psy_cost_py", None, False),
+    "null": ("overall_cost_py", {}, False),
+    "null_offset": ("overall_cost", {}, True),
+    "progressed": ("overall_cost_py", {"progressed": [0, 1]}, False),
+}
+_YEARS = F.col("follow_up_days") / 365.25
 
 
-def _rate_model(t: Tables) -> negbin.CostModel:
-    return negbin.fit_negbin(_priced(t, "overall_psy_cost_py"), "overall_psy_cost_py")
+def _model(t: Tables, name: str) -> negbin.CostModel:
+    """A one-day window inside a longer stay has a negative prorated cost: such rows are refused and counted."""
+    y, levels, by_time = _MODELS[name]
+    return negbin.fit_negbin(t.stored_rates, y, levels, offset=F.log(_YEARS) if by_time else None, negative="refuse")
 
 
 @query(name="nb_glm")
 def nb_glm(t: Tables) -> DataFrame:
-    return negbin.report(_offset_model(t), t.spark, 6)
+    return negbin.report(_model(t, "ip_cost"), t.spark, 6)
 
 
 @query(name="nb_glm_rate")
 def nb_glm_rate(t: Tables) -> DataFrame:
-    return negbin.report(_rate_model(t), t.spark, 6)
+    return negbin.report(_model(t, "overall_psy_cost_py"), t.spark, 6)
 
 
 @query("SELECT 'intercept' AS term, round(avg(overall_cost_py), 2) AS estimate FROM c_rates WHERE overall_cost_py >= 0",
        name="nb_glm_null")
 def nb_glm_null(t: Tables) -> DataFrame:
     """The intercept of a log-link model without covariates is the log of the mean."""
-    model = negbin.fit_negbin(_priced(t, "overall_cost_py"), "overall_cost_py", {})
-    return negbin.report(model, t.spark, 2).select("term", "estimate")
+    return negbin.report(_model(t, "null"), t.spark, 2).select("term", "estimate")
 
 
 @query(name="nb_glm_null_offset")
 def nb_glm_null_offset(t: Tables) -> DataFrame:
-    model = negbin.fit_negbin(_priced(t, "overall_cost"), "overall_cost", {}, offset=F.log(F.col("follow_up_days") / 365.25))
-    return negbin.report(model, t.spark, 4)
+    return negbin.report(_model(t, "null_offset"), t.spark, 4)
 
 
 @query("""SELECT progressed, round(avg(overall_cost_py), 2) AS cost FROM c_rates WHERE overall_cost_py >= 0 GROUP BY progressed""")
 def nb_glm_saturated(t: Tables) -> DataFrame:
     """With one covariate the fitted values are the group means."""
-    model = negbin.fit_negbin(_priced(t, "overall_cost_py"), "overall_cost_py", {"progressed": [0, 1]})
+    model = _model(t, "progressed")
     return level_grid(t.spark, model).select(
         "progressed", F.round(F.exp(model.design.linear(model.beta)), 2).alias("cost"))
 
 
+def _account_sql(name: str) -> str:
+    y, levels, by_time = _MODELS[name]
+    own = negbin.COST_LEVELS if levels is None else levels
+    known = " AND ".join(["true", *(f"coalesce({c} IN ({', '.join(repr(v) for v in vs)}), false)" for c, vs in own.items())])
+    missing = f"({y} IS NULL" + (" OR follow_up_days IS NULL OR follow_up_days <= 0)" if by_time else ")")
+    return f"""SELECT '{name}' AS model, count(*) AS n_rows, count(*) FILTER (missing) AS n_missing,
+        count(*) FILTER (NOT missing AND {y} < 0) AS n_negative, count(*) FILTER (NOT missing AND {y} >= 0 AND NOT known) AS n_unknown,
+        count(*) FILTER (NOT missing AND {y} >= 0 AND known) AS n_fit,
+        round(sum({y}) FILTER (NOT missing AND {y} >= 0 AND known), 2) AS sum_y
+      FROM (SELECT *, {missing} AS missing, {known} AS known FROM c_rates) r"""
+
+
+@query(" UNION ALL ".join(_account_sql(name) for name in _MODELS))
+def cost_fit_account(t: Tables) -> DataFrame:
+    """Rows of every cost model: all, refused by reason, fitted; each row of the study is in one of them."""
+    out = None
+    for name, (y, levels, by_time) in _MODELS.items():
+        own = negbin.account(t.stored_rates, y, levels, F.log(_YEARS) if by_time else None)
+        part = own.select(F.lit(name).alias("model"), *own.columns)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("sum_y", F.round("sum_y", 2))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT model, n_fit, sum_y, CAST(0.0 AS DOUBLE) AS largest_score FROM ({_account_sql(name)}) a" for name in _MODELS))
+def cost_score_equations(t: Tables) -> DataFrame:
+    """Certificate of the cost models: the largest score at the estimates is zero, over all rows that may be fitted."""
+    rows = []
+    for name in _MODELS:
+        m = _model(t, name)
+        rows.append((name, m.account["n_fit"], round(m.account["sum_y"], 2), m.gradient / m.n))
+    made = t.spark.createDataFrame(rows, "model string, n_fit long, sum_y double, largest_score double")
+    return made.withColumns({"largest_score": F.round("largest_score", 6), "sum_y": F.round("sum_y", 2)})
+
+
 @query(name="exp_coef_ci")
 def exp_coef_ci(t: Tables) -> DataFrame:
-    return negbin.report(_rate_model(t), t.spark)
+    """Profile-likelihood intervals of the rate model."""
+    model = _model(t, "overall_psy_cost_py")
+    return negbin.report(model, t.spark, limits=negbin.profile_limits(model))
+
+
+_RATE_TERMS = ["intercept", *(f"{c}={v}" for c, vs in negbin.COST_LEVELS.items() for v in vs[1:])]
+
+
+@query("SELECT term, side, CAST(3.841459 AS DOUBLE) AS fall, CAST(0.0 AS DOUBLE) AS score FROM (VALUES "
+       + ", ".join(f"('{term}')" for term in _RATE_TERMS) + ") t(term), (VALUES ('lower'), ('upper')) s(side) "
+       "WHERE (SELECT count(*) FROM c_rates WHERE overall_psy_cost_py >= 0) > 0")
+def profile_equations(t: Tables) -> DataFrame:
+    """Certificate of the profile intervals: the fall of twice the log-likelihood, and the score in the other terms."""
+    model = _model(t, "overall_psy_cost_py")
+    rows = [(model.design.terms[j], "lower" if side < 0 else "upper", end.drop, end.score / model.n)
+            for (j, side), end in negbin.profile_limits(model).items()]
+    made = t.spark.createDataFrame(rows, "term string, side string, fall double, score double")
+    return made.withColumns({c: F.round(c, 6) for c in ("fall", "score")})
 
 
 @query(name="dispersion")
 def dispersion(t: Tables) -> DataFrame:
-    return negbin.dispersion(_rate_model(t), t.spark)
+    return negbin.dispersion(_model(t, "overall_psy_cost_py"), t.spark)
 
 
 @query(name="predict_link_se")
 def predict_link_se(t: Tables) -> DataFrame:
-    model = _rate_model(t)
+    model = _model(t, "overall_psy_cost_py")
     return negbin.predict(model, level_grid(t.spark, model))
 
 
@@ -354,6 +408,8 @@ _STATES = {
 
 @query(name="contrast")
 def contrast(t: Tables) -> DataFrame:
-    model = _rate_model(t)
-    both = [negbin.contrast(model, t.spark, _STATES, m).withColumn("mode", F.lit(m)) for m in ("delta", "endpoint_sum")]
+    """Cost of each state, by the delta method and by the sum of profile ends."""
+    model = _model(t, "overall_psy_cost_py")
+    limits = negbin.profile_limits(model)
+    both = [negbin.contrast(model, t.spark, _STATES, m, limits).withColumn("mode", F.lit(m)) for m in ("delta", "endpoint_sum")]
     return both[0].unionByName(both[1])

@@ -278,6 +278,11 @@ class Tables:
     def rates(self) -> DataFrame:
         return cost.cost_rates(self.costed)
 
+    @cached_property
+    def stored_rates(self) -> DataFrame:
+        """The rates for models, which read them more than once."""
+        return cut_lineage(self.rates)
+
     # Markov parameters, counted from the tables
 
     @cached_property

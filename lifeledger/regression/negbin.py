@@ -1,4 +1,10 @@
-"""Negative-binomial regression with log link, fitted from distributed sums."""
+"""Negative-binomial regression with log link, fitted from distributed sums.
+
+The likelihood splits in two. What depends on the coefficients needs the number of rows and the sum of the response per
+(covariate cell, offset) only; what depends on theta alone needs the counts of the distinct responses. Both tables
+are aggregated once and stored; every round reads them, and its parameters come as a joined one-row table, so that
+each round runs the code that the first one compiled.
+"""
 
 from __future__ import annotations
 
@@ -23,8 +29,16 @@ COST_LEVELS = {
 }
 
 
+# Fixed value: 95 % quantile of chi-squared with one degree of freedom.
+CHI_95 = 3.841458820694124
+
+REFUSED = ("n_missing", "n_negative", "n_unknown")
+
+
 @dataclass(frozen=True)
 class CostModel:
+    """Fitted model. ``cells`` holds (covariates, offset, rows, sum of the response), all that the coefficients depend on."""
+
     design: Design
     beta: np.ndarray
     cov: np.ndarray
@@ -34,83 +48,123 @@ class CostModel:
     deviance: float
     n: int
     rounds: int
+    cells: DataFrame
+    account: Mapping[str, int]
+    gradient: float
 
     def standard_error(self, i: int) -> float:
         return math.sqrt(max(float(self.cov[i, i]), 0.0))
 
 
-def _mean(design: Design, beta: np.ndarray) -> Column:
-    return F.exp(design.linear(beta) + F.col("_offset"))
+def account(df: DataFrame, y: str, levels: Mapping[str, Sequence] | None = None, offset: Column | None = None) -> DataFrame:
+    """One row (n_rows, n_missing, n_negative, n_unknown, n_fit, sum_y): what becomes of the rows.
+
+    A row is refused without a response or offset, else for a negative response, else for a covariate
+    without a declared level. ``sum_y`` is the sum over the fitted rows.
+    """
+    rows = df.select(F.col(y).cast("double").alias("_y"), _reason(df, y, levels, offset).alias("_reason"))
+    counts = [F.count_if(F.col("_reason") == name).alias(name) for name in REFUSED]
+    fits = F.col("_reason") == "fit"
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), *counts, F.count_if(fits).alias("n_fit"), F.sum(F.when(fits, F.col("_y"))).alias("sum_y")
+    )
+
+
+def _reason(df: DataFrame, y: str, levels: Mapping[str, Sequence] | None, offset: Column | None) -> Column:
+    known = Design(dict(COST_LEVELS if levels is None else levels)).is_known()
+    missing = F.col(y).isNull() if offset is None else F.col(y).isNull() | offset.isNull()
+    return F.when(missing, "n_missing").when(F.col(y) < 0, "n_negative").when(~known, "n_unknown").otherwise("fit")
+
+
+def _joined(table: DataFrame, schema: str, values: list[tuple]) -> DataFrame:
+    """Parameters beside every row of a table; they are few and known to the driver."""
+    parameters = table.sparkSession.createDataFrame([("m", *v) for v in values], f"_model string, {schema}")
+    return table.join(F.broadcast(parameters), on="_model")
+
+
+def _cell_parts(design: Design) -> dict[str, Column]:
+    """Sums of a (cell, offset) at the coefficients ``_beta`` and ``_theta`` of its row."""
+    n, s, th = F.col("_n"), F.col("_s"), F.col("_theta")
+    mu, total = F.col("_mu"), F.col("_s") + F.col("_n") * F.col("_theta")
+    return {
+        "weight": n * mu / (F.lit(1.0) + mu / th),
+        "curvature": total * mu * th / ((th + mu) * (th + mu)),
+        "slope": (s - n * mu) / (F.lit(1.0) + mu / th),
+        "loglik": s * F.log(mu) - total * F.log(th + mu),
+        "score": n * (F.log(th) + F.lit(1.0) - F.log(th + mu)) - total / (th + mu),
+        "curve": -n / th + F.lit(2.0) * n / (th + mu) - total / ((th + mu) * (th + mu)),
+    }
+
+
+def _cell_sums(cells: DataFrame, design: Design, values: list[tuple], names: Sequence[str]) -> list:
+    """One row per parameter vector and covariate cell."""
+    rows = _joined(cells, "_id int, _beta array<double>, _theta double", values)
+    rows = rows.withColumn("_mu", F.exp(design.linear_of(F.col("_beta")) + F.col("_offset")))
+    parts = _cell_parts(design)
+    return rows.groupBy("_id", *design.columns).agg(*[F.sum(parts[k]).alias(k) for k in names]).collect()
 
 
 def fit_negbin(
     df: DataFrame, y: str, levels: Mapping[str, Sequence] | None = None, offset: Column | None = None,
-    max_rounds: int = 100, tol: float = 1e-8,
+    max_rounds: int = 100, tol: float = 1e-8, negative: str = "raise",
 ) -> CostModel:
     """Fit E[y] = exp(x beta + offset), Var[y] = mu + mu^2 / theta.
 
     ``levels`` holds the covariates and their categories (the first is the base); an empty mapping
-    fits the intercept alone. A round is one Spark job that sums weights and scores per covariate
-    cell at the current coefficients; coefficients and theta are orthogonal and move together.
-    The response need not be a whole number.
+    fits the intercept alone. A round sums weights and scores per covariate cell at the current
+    coefficients; coefficients and theta are orthogonal and move together. The response need not be a
+    whole number. Refused rows are counted in ``account``; negative responses are an error unless
+    ``negative`` is ``refuse``.
     """
     design = Design(dict(COST_LEVELS if levels is None else levels))
-    zero = F.lit(0.0)
-    data = design.known(df.where(F.col(y).isNotNull())).select(
-        *design.columns, F.col(y).cast("double").alias("_y"), (offset if offset is not None else zero).alias("_offset")
-    ).where(F.col("_offset").isNotNull())
-    data = cut_lineage(data.withColumn("_fixed", lgamma(F.col("_y") + F.lit(1.0))))
-    value = F.col("_y")
-    head = data.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("y"), F.sum(F.exp("_offset")).alias("e"),
-        F.sum(value * value).alias("yy"), F.min(value).alias("low"),
-    ).first()
-    if head["low"] is not None and head["low"] < 0:
+    own = account(df, y, levels, offset).first().asDict()
+    if own["n_negative"] and negative != "refuse":
         raise ValueError("the response has negative values")
+    data = df.where(_reason(df, y, levels, offset) == "fit").select(
+        *design.columns, F.col(y).cast("double").alias("_y"), (offset if offset is not None else F.lit(0.0)).alias("_offset")
+    )
+    count, value = F.count(F.lit(1)).alias("_n"), F.col("_y")
+    data = cut_lineage(data.groupBy(*design.columns, "_offset", "_y").agg(count).withColumn("_model", F.lit("m")))
+    cells = cut_lineage(data.groupBy("_model", *design.columns, "_offset").agg(
+        F.sum("_n").cast("double").alias("_n"), F.sum(F.col("_n") * value).alias("_s")
+    ))
+    responses = cut_lineage(data.groupBy("_model", "_y").agg(F.sum("_n").alias("_n")))
+    head = responses.agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_n") * value).alias("y"), F.sum(F.col("_n") * value * value).alias("yy"),
+        F.sum(F.col("_n") * lgamma(value + F.lit(1.0))).alias("fixed"),
+    ).first()
     if not head["n"] or not head["y"]:
         raise ValueError("the response has no positive value")
     n, mean = head["n"], head["y"] / head["n"]
     beta = np.zeros(len(design.terms))
-    beta[0] = math.log(head["y"] / head["e"])
+    beta[0] = math.log(head["y"] / cells.agg(F.sum(F.col("_n") * F.exp("_offset"))).first()[0])
     spread = head["yy"] / n - mean * mean
     theta = min(max(mean * mean / max(spread - mean, 1e-6 * mean), 1e-3), 1e6)
 
-    cells_by = design.columns or [F.lit(0).alias("_all")]
     best, step, log_step, rounds = None, np.zeros_like(beta), 0.0, 0
     while True:
         rounds += 1
         if rounds > max_rounds:
             raise ArithmeticError(f"no convergence after {max_rounds} rounds")
-        # The mean and y + theta are columns of their own, so each is computed once per row.
-        rows = data.withColumn("_mu", _mean(design, beta)).withColumn("_total", value + F.lit(theta))
-        mu, total, th = F.col("_mu"), F.col("_total"), F.lit(theta)
-        rows = rows.withColumns({"_lg": lgamma(total), "_dg": digamma(total), "_tg": trigamma(total)})
-        weight = mu / (F.lit(1.0) + mu / th)
-        lg, dg, tg = lgamma(th), digamma(th), trigamma(th)
-        parts = {
-            "weight": weight,
-            "slope": weight * (value - mu) / mu,
-            "loglik": F.col("_lg") - lg - F.col("_fixed") + th * F.log(th) + value * F.log(mu) - total * F.log(th + mu),
-            "score": F.col("_dg") - dg + F.log(th) + F.lit(1.0) - F.log(th + mu) - total / (th + mu),
-            "curve": tg - F.col("_tg") - F.lit(1.0) / th + F.lit(2.0) / (th + mu) - total / ((th + mu) * (th + mu)),
-        }
-        cells = rows.groupBy(*cells_by).agg(*[F.sum(v).alias(k) for k, v in parts.items()]).collect()
+        sums = _cell_sums(cells, design, [(0, [float(v) for v in beta], theta)], ["weight", "slope", "loglik", "score", "curve"])
+        total, th = value + F.col("_theta"), F.col("_theta")
+        gammas = {name: F.sum(F.col("_n") * (f(total) - f(th))) for name, f in (("lg", lgamma), ("dg", digamma), ("tg", trigamma))}
+        g = _joined(responses, "_theta double", [(theta,)]).agg(*[v.alias(k) for k, v in gammas.items()]).first()
         gradient, information = np.zeros_like(beta), np.zeros((len(beta), len(beta)))
-        for r in cells:
+        for r in sums:
             x = design.row(r.asDict())
             gradient += r["slope"] * x
             information += r["weight"] * np.outer(x, x)
-        value_now = math.fsum(r["loglik"] for r in cells)
+        value_now = math.fsum(r["loglik"] for r in sums) + g["lg"] - head["fixed"] + n * theta * math.log(theta)
         if best is not None and not value_now >= best[0] - 1e-9 * (1 + abs(best[0])):
             step, log_step = step / 2, log_step / 2
             beta, theta = best[1] + step, best[2] * math.exp(log_step)
             if max(np.abs(step).max(), abs(log_step)) < 1e-12:
-                beta, theta = best[1], best[2]
                 break
             continue
-        curvature = math.fsum(r["curve"] for r in cells)
-        slope = math.fsum(r["score"] for r in cells)
-        best = (value_now, beta.copy(), theta, information, curvature)
+        curvature = math.fsum(r["curve"] for r in sums) - g["tg"]
+        slope = math.fsum(r["score"] for r in sums) + g["dg"]
+        best = (value_now, beta.copy(), theta, information, curvature, float(np.abs(gradient).max()))
         step = solve_step(information, gradient)
         # Newton on ln theta, limited to a factor of e per round.
         info_log = theta * theta * curvature - theta * slope
@@ -126,25 +180,96 @@ def fit_negbin(
         beta = beta + step
         theta = theta if at_limit else theta * math.exp(log_step)
 
-    loglik, beta, theta, information, curvature = best
-    mu, th = _mean(design, beta), F.lit(theta)
-    own = F.when(value > 0, value * F.log(value / mu)).otherwise(zero)
-    deviance = data.agg(
-        F.sum(F.lit(2.0) * (own - (value + th) * F.log((value + th) / (mu + th)))).alias("d")
+    loglik, beta, theta, information, curvature, largest_score = best
+    rows = _joined(data, "_beta array<double>, _theta double", [([float(v) for v in beta], theta)])
+    rows = rows.withColumn("_mu", F.exp(design.linear_of(F.col("_beta")) + F.col("_offset")))
+    mu, th = F.col("_mu"), F.col("_theta")
+    own_part = F.when(value > 0, value * F.log(value / mu)).otherwise(F.lit(0.0))
+    deviance = rows.agg(
+        F.sum(F.col("_n") * F.lit(2.0) * (own_part - (value + th) * F.log((value + th) / (mu + th)))).alias("d")
     ).first()["d"]
     return CostModel(
         design=design, beta=beta, cov=covariance(information), theta=theta,
         theta_se=math.sqrt(1 / curvature) if curvature > 0 else math.inf,
-        loglik=loglik, deviance=float(deviance), n=int(n), rounds=rounds,
+        loglik=loglik, deviance=float(deviance), n=int(n), rounds=rounds, cells=cells, account=own, gradient=largest_score,
     )
 
 
-def report(model: CostModel, spark: SparkSession, decimals: int = 3) -> DataFrame:
-    """(term, estimate, lower, upper): exponentiated coefficients with Wald intervals."""
+@dataclass(frozen=True)
+class Limit:
+    """One end of a profile interval: its place, the coefficients there, and how well the conditions hold."""
+
+    value: float | None
+    beta: np.ndarray
+    drop: float
+    score: float
+
+
+def profile_limits(model: CostModel, quantile: float = CHI_95, max_rounds: int = 40, tol: float = 1e-8) -> dict[tuple[int, int], Limit]:
+    """Ends of the profile-likelihood intervals, by (place of the coefficient, -1 or 1), theta held at its estimate.
+
+    An end is where twice the log-likelihood, maximised over all other coefficients, has fallen by ``quantile``.
+    The coefficients there solve as many equations as there are coefficients: that fall, and a score of zero in every
+    other coefficient. All ends take their Newton steps in the same rounds, each one aggregation; the first
+    point is the end of the Wald interval with the other coefficients moved along. A coefficient
+    without data has no ends; an end that lies nowhere finite has the value None.
+    """
+    design, p = model.design, len(model.beta)
+    names = ["curvature", "slope", "loglik"]
+
+    def evaluate(points: dict) -> dict:
+        ids = list(points)
+        sums = _cell_sums(model.cells, design, [(i, [float(v) for v in points[k]], model.theta) for i, k in enumerate(ids)], names)
+        out = {k: [0.0, np.zeros(p), np.zeros((p, p))] for k in ids}
+        for r in sums:
+            x, own = design.row(r.asDict()), out[ids[r["_id"]]]
+            own[0] += r["loglik"]
+            own[1] += r["slope"] * x
+            own[2] += r["curvature"] * np.outer(x, x)
+        return out
+
+    top = evaluate({"best": model.beta})["best"][0]
+    points, ends = {}, {}
+    for j in range(p):
+        se = model.standard_error(j)
+        for side in (-1, 1):
+            if se > 0:
+                points[j, side] = model.beta + side * math.sqrt(quantile) * model.cov[:, j] / se
+    for _ in range(max_rounds):
+        if not points:
+            break
+        found = evaluate(points)
+        for key, (loglik, gradient, information) in found.items():
+            j, side = key
+            others = np.arange(p) != j
+            drop, score = 2 * (top - loglik), float(np.abs(gradient[others]).max(initial=0.0))
+            scale = np.sqrt(np.diag(information))[others]
+            close = np.abs(gradient[others]).max(initial=0.0) <= tol * max(scale.max(initial=1.0), 1.0)
+            if abs(drop - quantile) < tol and close:
+                ends[key] = Limit(float(points[key][j]), points[key], drop, score)
+                continue
+            # One equation for the fall, the others for the score.
+            residual, jacobian = gradient.copy(), -information
+            residual[j], jacobian[j] = loglik - (top - quantile / 2), gradient
+            move = np.linalg.lstsq(jacobian, -residual, rcond=None)[0]
+            largest = np.abs(move).max()
+            move = move * min(1.0, 1.0 / largest) if largest > 0 and math.isfinite(largest) else np.full(p, np.nan)
+            points[key] = points[key] + move
+        for key in [k for k in points if k in ends or not np.isfinite(points[k]).all()]:
+            del points[key]
+    for j in range(p):
+        for side in (-1, 1):
+            ends.setdefault((j, side), Limit(None, model.beta, math.nan, math.nan))
+    return ends
+
+
+def report(model: CostModel, spark: SparkSession, decimals: int = 3, limits: Mapping[tuple[int, int], Limit] | None = None) -> DataFrame:
+    """(term, estimate, lower, upper): exponentiated coefficients with Wald intervals, or with the profile ``limits``."""
     rows = []
     for i, term in enumerate(model.design.terms):
         b, s = float(model.beta[i]), model.standard_error(i)
-        rows.append((term, math.exp(b), math.exp(b - Z_95 * s), math.exp(b + Z_95 * s)))
+        low, high = (b - Z_95 * s, b + Z_95 * s) if limits is None else (limits[i, -1].value, limits[i, 1].value)
+        rows.append((term, math.exp(b), *(None if v is None else math.exp(v) for v in (low, high))))
     shown = [F.round(c, decimals).alias(c) for c in ("estimate", "lower", "upper")]
     return spark.createDataFrame(rows, "term string, estimate double, lower double, upper double").select("term", *shown)
 
@@ -172,12 +297,14 @@ def predict(model: CostModel, grid: DataFrame) -> DataFrame:
 
 
 def contrast(
-    model: CostModel, spark: SparkSession, sums: Mapping[str, Sequence[str]], mode: str = "delta"
+    model: CostModel, spark: SparkSession, sums: Mapping[str, Sequence[str]], mode: str = "delta",
+    limits: Mapping[tuple[int, int], Limit] | None = None,
 ) -> DataFrame:
     """(name, estimate, lower, upper): exp of a sum of coefficients, which are chosen by term name.
 
-    ``delta`` uses the variance of the sum. ``endpoint_sum`` adds the ends of the single intervals;
-    it is offered for comparison with older reports and is not an interval of the sum.
+    ``delta`` uses the variance of the sum. ``endpoint_sum`` adds the ends of the single intervals, the
+    profile ``limits`` if they are given, else Wald ends; it is offered for comparison with older reports and is
+    not an interval of the sum.
     """
     terms, rows = model.design.terms, []
     for name, chosen in sums.items():
@@ -187,9 +314,14 @@ def contrast(
         total = float(x @ model.beta)
         if mode == "delta":
             half = Z_95 * math.sqrt(float(x @ model.cov @ x))
+            ends = [total - half, total + half]
+        elif mode == "endpoint_sum" and limits is not None:
+            parts = [[limits[terms.index(t), side].value for t in chosen] for side in (-1, 1)]
+            ends = [None if None in own else math.fsum(own) for own in parts]
         elif mode == "endpoint_sum":
             half = Z_95 * sum(model.standard_error(terms.index(t)) for t in chosen)
+            ends = [total - half, total + half]
         else:
             raise ValueError(f"unknown mode {mode}")
-        rows.append((name, math.exp(total), math.exp(total - half), math.exp(total + half)))
+        rows.append((name, math.exp(total), *(None if v is None else math.exp(v) for v in ends)))
     return spark.createDataFrame(rows, "name string, estimate double, lower double, upper double")

@@ -94,8 +94,12 @@ def incident_only(df: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def progression(df: DataFrame, progression_dates: DataFrame, dates: StudyDates) -> DataFrame:
-    """Progression date (null if none) and a flag that it falls inside the study."""
-    joined = left_fill(df, progression_dates, "entity_id", {"progression_date": dates.far_future})
+    """Progression date (null if none) and a flag that it falls inside the study.
+
+    An entity with several dates has the first, so every entity keeps one row.
+    """
+    first = first_per_key(progression_dates.select("entity_id", "progression_date"), ["entity_id"], ["progression_date"])
+    joined = left_fill(df, first, "entity_id", {"progression_date": dates.far_future})
     return (
         joined.withColumn("progressed", if_else(F.col("progression_date") <= dates.study_end, 1, 0))
         .withColumn("progression_date", null_if(F.col("progression_date"), dates.far_future))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +47,54 @@ def step(state: Column, p: Column) -> Column:
     return F.array(*arriving)
 
 
-def cycles(params: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(subgroup, probabilities of all cycles in order) from rows (subgroup, t, ix, p)."""
-    per_cycle = params.where(F.col("t") < period).groupBy("subgroup", "t").pivot(
-        "ix", list(range(N_PROBABILITIES))
-    ).agg(F.max("p"))
-    lists = F.array(*[
-        F.coalesce(F.col(f"`{i}`"), F.raise_error(F.lit(f"transition probability {i} is missing")).cast("double"))
-        for i in range(N_PROBABILITIES)
-    ])
-    packed = per_cycle.select("subgroup", F.struct("t", lists.alias("p")).alias("cycle"))
-    # At most ``period`` entries per subgroup.
+def checked(df: DataFrame, grid: DataFrame, keys: Sequence[str], value: str, what: str) -> DataFrame:
+    """``df`` with one row for each key of ``grid``; an error names a key that is missing, doubled, null or not in the grid."""
+    name = F.concat_ws(", ", *[F.concat(F.lit(f"{k} "), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias(value))
+    both = grid.select(*keys).distinct().withColumn("_wanted", F.lit(True)).join(found, on=list(keys), how="full")
+    fault = (
+        F.when(F.col("_wanted").isNull(), "is out of range")
+        .when(F.col("_n").isNull() | F.col(value).isNull(), "is missing")
+        .when(F.col("_n") > 1, "is given more than once")
+    )
+    error = F.raise_error(F.concat(F.lit(f"{what} of "), name, F.lit(" "), fault)).cast("double")
+    return both.select(*keys, F.when(fault.isNotNull(), error).otherwise(F.col(value)).alias(value))
+
+
+def _numbers(df: DataFrame, column: Column, name: str) -> DataFrame:
+    return df.withColumn(name, F.explode(column))
+
+
+def cycles(params: DataFrame, period: int = PERIOD, subgroups: DataFrame | None = None) -> DataFrame:
+    """(subgroup, probabilities of all cycles in order) from rows (subgroup, t, ix, p).
+
+    The rows must be one for each subgroup, cycle and place in the list; ``subgroups`` names those that are asked for,
+    else every subgroup that has a row. Cycles at or beyond ``period`` are not part of the projection.
+    """
+    used = params.where(F.col("t").isNull() | (F.col("t") < period))
+    groups = (params if subgroups is None else subgroups).select("subgroup").distinct()
+    if subgroups is not None:
+        used = used.join(groups, on="subgroup", how="left_semi")
+    count = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    grid = _numbers(_numbers(groups, count(period), "t"), count(N_PROBABILITIES), "ix")
+    whole = checked(used.select("subgroup", "t", "ix", "p"), grid, ["subgroup", "t", "ix"], "p", "transition probability")
+    # 16 entries per cycle, and at most ``period`` entries per subgroup.
+    per_cycle = whole.groupBy("subgroup", "t").agg(F.sort_array(F.collect_list(F.struct("ix", "p"))).alias("p"))
+    packed = per_cycle.select("subgroup", F.struct("t", F.transform("p", lambda x: x["p"]).alias("p")).alias("cycle"))
     return packed.groupBy("subgroup").agg(F.sort_array(F.collect_list("cycle")).alias("cycles"))
 
 
 def markov_project(starts: DataFrame, params: DataFrame, period: int = PERIOD) -> DataFrame:
-    """Rows (cohort, subgroup, t, state, occupancy) for t = 0 ... period."""
-    joined = starts.join(cycles(params, period), on="subgroup")
+    """Rows (cohort, subgroup, t, state, occupancy) for t = 0 ... period.
+
+    A subgroup of the cohorts without a full set of probabilities is an error.
+    """
+    joined = starts.join(cycles(params, period, starts), on="subgroup", how="left")
+    steps = F.coalesce("cycles", F.raise_error(F.lit("a subgroup has no transition probabilities")).cast(
+        "array<struct<t:int,p:array<double>>>"
+    ))
     path = F.aggregate(
-        "cycles", F.array("state"), lambda acc, c: F.concat(acc, F.array(step(F.element_at(acc, -1), c["p"])))
+        steps, F.array("state"), lambda acc, c: F.concat(acc, F.array(step(F.element_at(acc, -1), c["p"])))
     )
     by_cycle = joined.select("cohort", "subgroup", F.posexplode(path).alias("t", "occupancy"))
     named = F.map_from_arrays(F.array(*[F.lit(s) for s in STATES]), F.col("occupancy"))
@@ -71,11 +102,18 @@ def markov_project(starts: DataFrame, params: DataFrame, period: int = PERIOD) -
 
 
 def state_cost(occupancy: DataFrame, costs: DataFrame) -> DataFrame:
-    """(cohort, subgroup, t, cost): occupancy times the cost of each state; absorbing states cost nothing."""
-    priced = occupancy.join(costs, on=["state", "subgroup"], how="left")
-    return priced.groupBy("cohort", "subgroup", "t").agg(
-        F.sum(F.col("occupancy") * F.coalesce(F.col("cost"), F.lit(0.0))).alias("cost")
-    )
+    """(cohort, subgroup, t, cost): occupancy times the cost of each state; absorbing states cost nothing.
+
+    Each living state of each subgroup needs one cost; a missing or doubled one is an error.
+    """
+    living = [s for s in STATES if s not in ABSORBING]
+    groups = occupancy.select("subgroup").distinct()
+    grid = _numbers(groups, F.array(*[F.lit(s) for s in living]), "state")
+    # Costs of subgroups that do not occur, and of absorbing states, are not asked for.
+    asked = costs.where(F.col("state").isin(living)).join(groups, on="subgroup", how="left_semi")
+    known = checked(asked.select("subgroup", "state", F.col("cost").cast("double").alias("cost")), grid, ["subgroup", "state"], "cost", "cost")
+    priced = occupancy.where(F.col("state").isin(living)).join(known, on=["subgroup", "state"])
+    return priced.groupBy("cohort", "subgroup", "t").agg(F.sum(F.col("occupancy") * F.col("cost")).alias("cost"))
 
 
 def cohort_cost(costs: DataFrame) -> DataFrame:

@@ -26,16 +26,23 @@ def index_event(t: Tables) -> DataFrame:
     return t.indexed_entities
 
 
-@query("""SELECT entity_id, entry_date, d.death_date, d.main_cause, d.other_cause
-          FROM m_index JOIN r_death d USING (entity_id)""")
+@query("""SELECT entity_id, entry_date, u.death_date, u.main_cause, u.other_cause FROM m_index JOIN (
+            SELECT entity_id, death_date, main_cause, other_cause FROM (
+              SELECT *, 0 AS age FROM (SELECT entity_id, death_date + 30 AS death_date, 'revised' AS main_cause, other_cause
+                FROM r_death WHERE death_date IS NOT NULL AND entity_id % 3 = 0) a
+              UNION ALL SELECT *, 1 FROM (SELECT entity_id, death_date, main_cause, other_cause FROM r_death WHERE entity_id % 5 <> 0) b
+            ) f QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY age) = 1) u USING (entity_id)""")
 def refresh_death(t: Tables) -> DataFrame:
-    # The older file knows no deaths; the newer ones overlap and are stacked.
+    """Two files that disagree: the newer one moves every third entity's death by 30 days and gives another cause."""
+    columns = ["death_date", "main_cause", "other_cause"]
     older = t.indexed_entities.select(
         "entity_id", "entry_date", F.lit(None).cast("date").alias("death_date"),
         F.lit(None).cast("string").alias("main_cause"), F.lit(None).cast("string").alias("other_cause"))
-    newer = t.death_updates
-    known = newer.where(F.col("death_date").isNotNull())
-    return cohort.refresh_death(older, [newer, known], ["death_date", "main_cause", "other_cause"])
+    deaths = t.death_updates
+    first_file = deaths.where(F.col("entity_id") % 5 != 0)
+    second_file = deaths.where(F.col("death_date").isNotNull() & (F.col("entity_id") % 3 == 0)).withColumns({
+        "death_date": F.date_add("death_date", 30), "main_cause": F.lit("revised")})
+    return cohort.refresh_death(older, [first_file, second_file], columns)
 
 
 @query("SELECT entity_id, entry_date, death_date, follow_up_end, follow_up_days FROM m_follow")
@@ -106,17 +113,25 @@ def relevant_dx_flag(t: Tables) -> DataFrame:
     ])
 
 
-@query(f"SELECT DISTINCT entity_id FROM r_activity WHERE source = 'op' AND date >= {CUTOFF}")
+def _of_all_sources(f) -> DataFrame:
+    from lifeledger.operators.relational import stack
+
+    return stack([f(source).withColumn("source", F.lit(source)) for source in cohort.SOURCES])
+
+
+@query(f"SELECT DISTINCT source, entity_id FROM r_activity WHERE date >= {CUTOFF}")
 def still_active_keys(t: Tables) -> DataFrame:
-    return cohort.active_after(t.activity["op"], "date", DATES.activity_cutoff)
+    return _of_all_sources(lambda s: cohort.active_after(t.activity[s], "date", DATES.activity_cutoff))
 
 
-@query(f"""SELECT entity_id, max(date) + {GRACE_DAYS} AS recovery_op FROM r_activity WHERE source = 'op'
-           GROUP BY entity_id HAVING max(date) < {CUTOFF}""")
+@query(f"""SELECT source, entity_id, max(date) + CASE WHEN source = 'rx' THEN 0 ELSE {GRACE_DAYS} END AS recovery FROM r_activity
+           GROUP BY source, entity_id HAVING max(date) < {CUTOFF}""")
 def last_relevant_date(t: Tables) -> DataFrame:
-    records = t.activity["op"]
-    active = cohort.active_after(records, "date", DATES.activity_cutoff)
-    return cohort.last_relevant(records, "date", active, GRACE_DAYS, "recovery_op")
+    def of_source(s: str) -> DataFrame:
+        active = cohort.active_after(t.activity[s], "date", DATES.activity_cutoff)
+        return cohort.last_relevant(t.activity[s], "date", active, study.RECOVERY_LAGS[s], "recovery")
+
+    return _of_all_sources(of_source)
 
 
 @query("SELECT entity_id, " + ", ".join(f"recovered_{s}, recovery_{s}" for s in cohort.SOURCES) + " FROM m_sources")

@@ -39,6 +39,20 @@ def propensity_score(t: Tables) -> DataFrame:
     return _scored(t).select("entity_id", "cohort_year", "progressed", F.round("ps", 6).alias("ps"))
 
 
+_SCORE_TERMS = {"intercept": "1.0", "age": "age", "sex=M": "CASE WHEN sex = 'M' THEN 1.0 ELSE 0.0 END", "baseline_any=1": "baseline_any"}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT cohort_year, '{term}' AS term, round(CAST(sum(progressed * {x}) AS DOUBLE), 4) AS fitted FROM m_master GROUP BY cohort_year"
+    for term, x in _SCORE_TERMS.items()))
+def propensity_score_equations(t: Tables) -> DataFrame:
+    """Certificate of the scores: fitted sums of every covariate, which equal the sums over the cases (all that SQL adds up)."""
+    kept = cut_lineage(_scored(t))
+    wide = kept.groupBy("cohort_year").agg(*[F.sum(F.col("ps") * F.expr(x)).alias(term) for term, x in _SCORE_TERMS.items()])
+    long = wide.unpivot(["cohort_year"], [f"`{term}`" for term in _SCORE_TERMS], "term", "fitted")
+    return long.withColumn("fitted", F.round("fitted", 4))
+
+
 @query("""SELECT entity_id, cohort_year, round(avg(progressed) OVER (PARTITION BY cohort_year, sex), 6) AS ps
           FROM m_master""")
 def propensity_saturated(t: Tables) -> DataFrame:
@@ -56,6 +70,53 @@ def match_caliper(t: Tables) -> DataFrame:
                           F.round("distance", 8).alias("distance"))
 
 
+# The sequential procedure step by step: turns, cases from the highest score down, the nearest control not yet used.
+_GREEDY = """WITH RECURSIVE x AS MATERIALIZED (
+    SELECT entity_id, cohort_year, progressed, CAST(entry_date - birth_date AS DOUBLE) AS score FROM m_master),
+  y AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cohort_year, score, progressed ORDER BY md5(entity_id::VARCHAR), entity_id) AS no
+    FROM x),
+  w AS (SELECT cohort_year, 0.25 * stddev_samp(score) AS width FROM x GROUP BY cohort_year),
+  s AS MATERIALIZED (SELECT y.cohort_year, entity_id AS case_id, score, width, CAST(turn AS INTEGER) AS turn,
+      row_number() OVER (PARTITION BY y.cohort_year ORDER BY turn, score DESC, no) AS k
+    FROM y JOIN w USING (cohort_year), range(1, 5) t(turn) WHERE progressed = 1),
+  g AS (
+    SELECT DISTINCT cohort_year, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS case_id,
+      CAST(NULL AS INTEGER) AS turn, CAST(NULL AS BIGINT) AS control, CAST(NULL AS DOUBLE) AS distance FROM s
+    UNION ALL
+    SELECT cohort_year, k, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.id) END, case_id, turn, b.id, b.d FROM (
+      SELECT g.cohort_year, s.k, g.used, s.case_id, s.turn, (
+        SELECT min({'d': abs(c.score - s.score), 's': -c.score, 'n': c.no, 'id': CAST(c.entity_id AS BIGINT)}) FROM y c
+        WHERE c.progressed = 0 AND c.cohort_year = g.cohort_year AND NOT list_contains(g.used, CAST(c.entity_id AS BIGINT))
+          AND abs(c.score - s.score) <= s.width) AS b
+      FROM g JOIN s ON s.cohort_year = g.cohort_year AND s.k = g.k + 1) n),
+  p AS (SELECT cohort_year, case_id, turn, control, distance FROM g WHERE control IS NOT NULL),
+  q AS (SELECT *, count(*) OVER (PARTITION BY cohort_year, case_id) AS own FROM p),
+  z AS (SELECT cohort_year, sum(1.0) / count(DISTINCT case_id) AS scale FROM q GROUP BY cohort_year)
+SELECT control AS entity_id, cohort_year, 0 AS progressed, case_id AS subclass, turn AS match_no, distance,
+  round(scale / own, 8) AS weight FROM q JOIN z USING (cohort_year)
+UNION ALL SELECT case_id, cohort_year, 1, case_id, 0, 0.0, 1.0 FROM p WHERE turn = 1"""
+
+
+@query(_GREEDY)
+def match_days(t: Tables) -> DataFrame:
+    """Caliper matching on a score that SQL can state: age at entry in days, nearly all of them different."""
+    scored = t.stored_master.select(
+        "entity_id", "cohort_year", "progressed", F.datediff("entry_date", "birth_date").cast("double").alias("score"))
+    matched = matching.match_nearest(scored, "entity_id", "progressed", "score", "cohort_year")
+    return matched.select("entity_id", "cohort_year", "progressed", "subclass", "match_no", "distance",
+                          F.round("weight", 8).alias("weight"))
+
+
+@query(_GREEDY)
+def match_days_in_blocks(t: Tables) -> DataFrame:
+    """As ``match_days`` with blocks so small that matches cross them; the result is the same."""
+    scored = t.stored_master.select(
+        "entity_id", "cohort_year", "progressed", F.datediff("entry_date", "birth_date").cast("double").alias("score"))
+    matched = matching.match_nearest(scored, "entity_id", "progressed", "score", "cohort_year", block_size=100)
+    return matched.select("entity_id", "cohort_year", "progressed", "subclass", "match_no", "distance",
+                          F.round("weight", 8).alias("weight"))
+
+
 @query(name="matched_index_dates")
 def matched_index_dates(t: Tables) -> DataFrame:
     return study.matched_cohort(t.stored_master).select(

@@ -51,6 +51,43 @@ def test_projection_equals_matrix_products(spark):
                     state = state @ matrix([r[3] for r in rows if r[0] == s and r[1] == t])
 
 
+@pytest.mark.parametrize("change, message", [
+    (lambda rows: [r for r in rows if r[0] != 1], "subgroup 1, t 0, ix 0 is missing"),
+    (lambda rows: [r for r in rows if r[:2] != (1, 2)], "t 2, ix 0 is missing"),
+    (lambda rows: [r for r in rows if r[:3] != (0, 1, 5)], "t 1, ix 5 is missing"),
+    (lambda rows: [*rows, (0, 1, 5, 0.1)], "t 1, ix 5 is given more than once"),
+    (lambda rows: [*rows, (0, 1, 16, 0.1)], "ix 16 is out of range"),
+    (lambda rows: [*rows, (0, -1, 3, 0.1)], "t -1, ix 3 is out of range"),
+    (lambda rows: [r if r[:3] != (0, 1, 5) else (*r[:3], None) for r in rows], "t 1, ix 5 is missing"),
+])
+def test_probabilities_must_be_complete(spark, change, message):
+    _, rows = params(spark, 2, 3)
+    changed = spark.createDataFrame(change(rows), "subgroup int, t int, ix int, p double")
+    starts = markov.start(spark.createDataFrame([(2014, 100)], "cohort int, incidence int"),
+                          spark.createDataFrame([(0, 0.5), (1, 0.5)], "subgroup int, weight double"))
+    with pytest.raises(Exception, match=message):
+        markov.markov_project(starts, changed, 3).collect()
+
+
+def test_rows_that_are_not_asked_for_do_no_harm(spark):
+    probabilities, rows = params(spark, 3, 5)
+    starts = markov.start(spark.createDataFrame([(2014, 100)], "cohort int, incidence int"),
+                          spark.createDataFrame([(0, 1.0)], "subgroup int, weight double"))
+    assert markov.markov_project(starts, probabilities, 3).count() == 4 * 6
+
+
+@pytest.mark.parametrize("change, message", [
+    (lambda rows: rows[1:], "is missing"), (lambda rows: [*rows, rows[0]], "more than once"),
+    (lambda rows: [(rows[0][0], rows[0][1], None), *rows[1:]], "is missing"),
+])
+def test_costs_of_living_states_must_be_complete(spark, change, message):
+    occupancy = spark.createDataFrame(
+        [(1, 0, 0, s, 2.0) for s in markov.STATES], "cohort int, subgroup int, t int, state string, occupancy double")
+    prices = change([(s, 0, 10.0) for s in markov.STATES[:4]])
+    with pytest.raises(Exception, match=message):
+        markov.state_cost(occupancy, spark.createDataFrame(prices, "state string, subgroup int, cost double")).collect()
+
+
 def test_open_cohort_takes_the_diagonal(spark):
     by_cohort = spark.createDataFrame([(c, t, float(100 * c + t)) for c in (1, 2, 3) for t in (1, 2, 3)], "cohort int, t int, cost double")
     out = {r["year"]: (r["cost"], r["n_cohorts"]) for r in markov.open_cohort_cost(by_cohort).collect()}

@@ -20,8 +20,8 @@ def greedy(cases, controls, ratio, width):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed, levels", [(1, 8), (2, 40), (3, 10_000)])
-def test_equals_sequential_greedy(spark, seed, levels):
+@pytest.mark.parametrize("seed, levels, block", [(1, 8, 50_000), (3, 10_000, 50_000), (1, 8, 4), (2, 40, 25), (3, 10_000, 60), (4, 10_000, 15)])
+def test_equals_sequential_greedy(spark, seed, levels, block):
     rng = random.Random(seed)
     rows, want = [], []
     for cohort in (2014, 2015, 2016):
@@ -30,7 +30,7 @@ def test_equals_sequential_greedy(spark, seed, levels):
         want += [(cohort, *m) for m in greedy(scores[1], scores[0], 4, width)]
         rows += [(len(rows) + i, cohort, a, s) for i, (a, s) in enumerate((a, s) for a in (1, 0) for s in scores[a])]
     df = spark.createDataFrame(rows, "id long, cohort int, arm int, score double")
-    out = matching.match_nearest(df, "id", "arm", "score", "cohort").collect()
+    out = matching.match_nearest(df, "id", "arm", "score", "cohort", block_size=block).collect()
     score = {r[0]: r[3] for r in rows}
     got = sorted((r["cohort"], score[r["subclass"]], r["match_no"], r["score"]) for r in out if r["match_no"] > 0)
     assert got == sorted(want)
@@ -57,6 +57,64 @@ def test_nothing_in_caliper_is_left_out(spark):
     assert {r["subclass"] for r in out} == {2}
 
 
+def crowded(n_cases, n_controls):
+    """All cases above all controls, so that every case asks for the same controls."""
+    return [2.0 + i / 1000 for i in range(n_cases)], [1.0 + i / 1000 for i in range(n_controls)]
+
+
+@pytest.mark.parametrize("block", [7, 20, 50_000])
+def test_cases_that_all_ask_for_the_same_controls(spark, block):
+    cases, controls = crowded(30, 80)
+    rows = [(i, 1, a, s) for i, (a, s) in enumerate([(1, s) for s in cases] + [(0, s) for s in controls])]
+    df = spark.createDataFrame(rows, "id long, cohort int, arm int, score double")
+    out = matching.match_nearest(df, "id", "arm", "score", "cohort", caliper=2.2, block_size=block).collect()
+    score = {r[0]: r[3] for r in rows}
+    got = sorted((score[r["subclass"]], r["match_no"], r["score"]) for r in out if r["match_no"] > 0)
+    width = 2.2 * float(np.std(cases + controls, ddof=1))
+    assert got == greedy(cases, controls, 4, width) and len(got) == 40
+
+
+def test_rows_without_a_score_or_a_second_row_are_left_out(spark):
+    rows = [(1, 1, 1, 0.5), (2, 1, 0, 0.5), (3, 1, 0, None), (4, 2, 1, 0.5), (5, None, 1, 0.5)]
+    df = spark.createDataFrame(rows, "id int, cohort int, arm int, score double")
+    assert {r["id"] for r in matching.match_nearest(df, "id", "arm", "score", "cohort").collect()} == {1, 2}
+    assert matching.match_nearest(df.limit(0), "id", "arm", "score", "cohort").count() == 0
+
+
+def test_no_task_sees_a_cohort():
+    import inspect
+
+    text = inspect.getsource(matching)
+    assert "pyspark.ml" not in text and text.count("applyInPandas") == 1 and 'groupBy(by, "asker").applyInPandas' in text
+
+
+def test_scores_of_all_groups_equal_spark_ml(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(3):
+        age, sex, noise = rng.integers(12, 80, 900), rng.integers(0, 2, 900), rng.normal(size=900)
+        p = 1 / (1 + np.exp(-(-2 + 0.02 * (g + 1) * age + 0.5 * sex)))
+        arm = (rng.random(900) < p).astype(int)
+        rows += [(len(rows) + i, g, int(a), float(z), "M" if s else "F", int(y)) for i, (a, z, s, y) in enumerate(zip(age, noise, sex, arm))]
+    df = spark.createDataFrame(rows, "id int, cohort int, age int, noise double, sex string, arm int")
+    got = {r["id"]: r["ps"] for r in matching.propensity(df, "arm", ["age", "noise"], {"sex": "M"}, "cohort").collect()}
+    for g in range(3):
+        own = df.where(F.col("cohort") == g).withColumn("male", (F.col("sex") == "M").cast("int"))
+        own = VectorAssembler(inputCols=["age", "noise", "male"], outputCol="features").transform(own)
+        model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="arm", maxIter=100, tol=1e-14).fit(own)
+        assert all(abs(got[r["id"]] - r["prediction"]) < 1e-8 for r in model.transform(own).collect())
+
+
+def test_a_separated_group_ends(spark):
+    rows = [(i, 1 + i % 2, i, int(i > 10) if i % 2 else 0) for i in range(20)] + [(99, None, 3, 1)]
+    df = spark.createDataFrame(rows, "id int, cohort int, age int, arm int")
+    got = {r["id"]: r["ps"] for r in matching.propensity(df, "arm", ["age"], {}, "cohort").collect()}
+    assert got[99] is None and all(got[i] < 0.02 for i in range(0, 20, 2)) and got[1] < 0.02 and got[19] > 0.98
+
+
 def test_logistic_score(spark):
     rng = np.random.default_rng(0)
     n = 4000

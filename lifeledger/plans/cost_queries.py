@@ -71,7 +71,7 @@ def match_caliper(t: Tables) -> DataFrame:
 
 
 # The sequential procedure step by step: turns, cases from the highest score down, the nearest control not yet used.
-_GREEDY = """WITH RECURSIVE x AS MATERIALIZED (
+_GREEDY = """WITH x AS MATERIALIZED (
     SELECT entity_id, cohort_year, progressed, CAST(entry_date - birth_date AS DOUBLE) AS score FROM m_master),
   y AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cohort_year, score, progressed ORDER BY md5(entity_id::VARCHAR), entity_id) AS no
     FROM x),
@@ -352,13 +352,16 @@ _MODELS = {
     "null_offset": ("overall_cost", {}, True),
     "progressed": ("overall_cost_py", {"progressed": [0, 1]}, False),
 }
-_YEARS = F.col("follow_up_days") / 365.25
+
+
+def _offset(by_time: bool):
+    return F.log(F.col("follow_up_days") / 365.25) if by_time else None
 
 
 def _model(t: Tables, name: str) -> negbin.CostModel:
     """A one-day window inside a longer stay has a negative prorated cost: such rows are refused and counted."""
     y, levels, by_time = _MODELS[name]
-    return negbin.fit_negbin(t.stored_rates, y, levels, offset=F.log(_YEARS) if by_time else None, negative="refuse")
+    return negbin.fit_negbin(t.stored_rates, y, levels, offset=_offset(by_time), negative="refuse")
 
 
 @query(name="nb_glm")
@@ -408,7 +411,7 @@ def cost_fit_account(t: Tables) -> DataFrame:
     """Rows of every cost model: all, refused by reason, fitted; each row of the study is in one of them."""
     out = None
     for name, (y, levels, by_time) in _MODELS.items():
-        own = negbin.account(t.stored_rates, y, levels, F.log(_YEARS) if by_time else None)
+        own = negbin.account(t.stored_rates, y, levels, _offset(by_time))
         part = own.select(F.lit(name).alias("model"), *own.columns)
         out = part if out is None else out.unionByName(part)
     return out.withColumn("sum_y", F.round("sum_y", 2))

@@ -176,6 +176,8 @@ def fit_negbin(
         # Without over-dispersion theta has no finite optimum; beyond this it changes nothing.
         at_limit = theta > 1e7 * max(1.0, mean) and log_step > 0
         if largest < tol and (abs(log_step) < tol or at_limit):
+            # The last step is below the tolerance; taking it costs no further round.
+            best = (best[0], best[1] + step, *best[2:])
             break
         beta = beta + step
         theta = theta if at_limit else theta * math.exp(log_step)

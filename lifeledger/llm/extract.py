@@ -33,7 +33,7 @@ BLOCK = set(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math object xmp noembed noframes".split())
+RAW = set("script style noscript template textarea title iframe svg object xmp noembed noframes".split())
 NEVER = set(
     "head nav footer aside form header menu button select dialog fieldset canvas audio video label legend".split()
 )
@@ -41,12 +41,41 @@ MAIN = {"article", "main"}
 #: Elements that no class bans.
 FRAME = MAIN | {"html", "body"}
 NEVER_ROLE = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-NEVER_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adverts?|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|aside|"
-    r"footer|masthead|site-?header|page-?header|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|"
-    r"pagination|pager|widget\w*|toolbar|skip-?link|copyright|legal|hidden)(?:$|[\s_-])", re.I,
+#: Names of parts that are never main text, as whole tokens of a class or an id. Inside an article only those of the
+#: first list count: the others may name a part of it.
+_ANYWHERE = (
+    r"ads?|advert(?:s|isements?|ising)?|ad-?(?:banner|box|container|slot|unit|wrapper)|sponsored|nav|navbar|navigation|"
+    r"(?:main|site|page|top|footer|sub)-?(?:nav|navigation|menu|header|footer)|breadcrumbs?|cookies?|cookie-?(?:notice|banner|consent|bar)|"
+    r"gdpr|newsletter|subscribe|signup|login|share|sharing|share-?(?:bar|buttons?|links)|social|social-?(?:bar|buttons?|icons|links|media|share)|"
+    r"comments?|comments?-?(?:area|form|list|section|thread|wrapper)|disqus(?:_thread)?|replies|respond|skip-?link|hidden"
 )
+_OUTSIDE = (
+    r"sponsors?|promo|promotions?|banner|menu|sidebar|side-bar|(?:left|right)-sidebar|aside|header|footer|masthead|consent|notices?|"
+    r"alerts?|popup|modal|overlay|related|related-?(?:articles|content|links|posts)|recommended|recommendations?|reply|pagination|pager|"
+    r"widgets?|toolbar|copyright|legal"
+)
+NEVER_TOKEN = re.compile(rf"(?:{_ANYWHERE}|{_OUTSIDE})", re.I)
+NEVER_INSIDE = re.compile(rf"(?:{_ANYWHERE})", re.I)
+INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!|;|$)", re.I)
+#: Headings over reader comments that no class or id names.
+COMMENTS = re.compile(
+    r"(?:\d+\s+)?(?:(?:reader|user)s?['’]?\s+)?(?:comments?|responses?|repl(?:y|ies)|kommentare?|commentaires?|comentarios?)(?:\s*\(\d+\))?:?|"
+    r"leave a (?:comment|reply)", re.I,
+)
+HEADINGS = {f"h{k}": k for k in range(1, 7)}
+#: Elements whose start ends an open paragraph; and for others, what their start ends and where the search for that stops.
+ENDS_P = set(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr main menu nav ol p pre section table ul li dd dt".split()
+)
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
+    "option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "caption"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "caption"}, {"table"}),
+    "thead": ({"caption", "tbody"}, {"table"}),
+}
+SCOPE = {"table", "td", "th", "caption", "button", "html", "object"}
 STOP_WORDS = set(
     "the of and to in is that it for on was as be with by this from are or an not at have which "
     "der die und das den von zu mit sich des ist im dem nicht ein eine als auch es auf für "
@@ -58,29 +87,38 @@ LONG, STOP_SHARE, LINK_SHARE = 10, 0.15, 0.5
 #: Characters of a long block in a script without spaces.
 LONG_CHARS = 40
 
+# A tag by the rules of HTML: a quotation mark opens a value only after an equals sign, elsewhere it belongs to a name.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|"
-    r"</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)|[^<]+|<", re.S,
+    r"</?[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+(?:>|\Z)|"
+    r"[^<]+|<", re.S,
 )
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*))?""")
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+""")
 
 
-def _banned(name: str, tag: str) -> tuple[bool, bool]:
+def _banned(name: str, tag: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element is never main text for its name, role or hiding, and whether for its class or id."""
     if name in NEVER:
         return True, False
     found: dict[str, str] = {}
     for key, value in ATTRIBUTE.findall(tag, NAME.match(tag).end()):
-        found.setdefault(key.lower(), value.strip("\"'").strip())
+        value = value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value
+        found.setdefault(key.lower(), entities.unescape(value).strip())
     role, hidden = found.get("role", "").lower(), found.get("aria-hidden", "").lower()
-    if "hidden" in found or hidden == "true" or role in NEVER_ROLE:
+    if "hidden" in found or hidden == "true" or role in NEVER_ROLE or INVISIBLE.search(found.get("style", "")):
         return True, False
-    return False, name not in FRAME and any(NEVER_CLASS.search(found.get(key, "")) for key in ("class", "id"))
+    never = NEVER_INSIDE if inside else NEVER_TOKEN
+    tokens = f"{found.get('class', '')} {found.get('id', '')}".split()
+    return False, name not in FRAME and any(never.fullmatch(t) for t in tokens)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Blocks in page order: text, its words, words inside links, in a banned part, in an article."""
+    """Blocks in page order: text, its words, words inside links, in a banned part, in an article.
+
+    A heading over reader comments bans what follows it, up to the next heading of its rank or the end of
+    the element around it.
+    """
     out, text, linked = [], [], []
     # What bans a part is a list of the open elements that do; one that a class bans is lifted by an article in it.
     stack: list[tuple[str, tuple[int, ...], bool]] = []
@@ -89,15 +127,35 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     lifted: set[int] = set()
     main = False
     links = 0
+    # Open element count and rank of the heading over reader comments, while they last.
+    readers: tuple[int, int] | None = None
 
     def close() -> None:
+        nonlocal readers
         words = entities.unescape("".join(text)).split()
         if words:
             in_link = len(entities.unescape(" ".join(linked)).split())
-            out.append((" ".join(words), len(words), in_link, banned, main))
+            rank = next((HEADINGS[x[0]] for x in reversed(stack) if x[0] in HEADINGS), 0)
+            if rank and readers and rank <= readers[1]:
+                readers = None
+            if rank and COMMENTS.fullmatch(" ".join(words)):
+                around = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in HEADINGS)
+                readers = (around, rank)
+            out.append((" ".join(words), len(words), in_link, banned if readers is None else (*banned, -1), main))
         text.clear()
         linked.clear()
 
+    def pop(k: int) -> None:
+        """Close the open element ``k`` and all inside it."""
+        nonlocal banned, main, links, readers
+        close()
+        _, banned, main = stack[k]
+        if any(x[0] in BLOCK for x in stack[k:]):
+            links = 0
+        del stack[k:]
+        if readers and len(stack) < readers[0]:
+            readers = None
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -119,24 +177,29 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             # An end tag closes the nearest open element of its name, and all inside it.
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    close()
-                    _, banned, main = stack[k]
-                    del stack[k:]
-                    if name in BLOCK:
-                        links = 0
+                    pop(k)
                     break
             continue
         if name in RAW and not piece.endswith("/>"):
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
+        if name in ENDS_P:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in SCOPE), -1)
+            if k >= 0 and stack[k][0] == "p":
+                pop(k)
+        if name in ENDS:
+            ended, scope = ENDS[name]
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ended or stack[k][0] in scope), -1)
+            if k >= 0 and stack[k][0] in ended:
+                pop(k)
         if name in VOID or piece.endswith("/>"):
             continue
         inside = main or name in MAIN
         # An article's own heading group is no page header.
         bad = banned
         if not (name == "header" and main):
-            always, for_class = _banned(name, piece)
+            always, for_class = _banned(name, piece, main)
             if always or for_class:
                 bad = (*banned, len(by_class))
                 by_class.append(for_class)
@@ -144,8 +207,6 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             lifted.update(k for k in banned if by_class[k])
         if (bad, inside) != (banned, main):
             close()
-        if name == "p" and stack and stack[-1][0] == "p":
-            _, banned, main = stack.pop()
         if name in BLOCK or bad != banned or inside != main:
             stack.append((name, banned, main))
         banned, main = bad, inside

@@ -535,6 +535,42 @@ def test_main_text():
     assert extract.main_text(plain + "<p>Short.</p><p><a href=x>only a link</a></p>").endswith("Short.")
 
 
+def test_broken_markup_keeps_the_main_text():
+    long = "The words of this page are the main text and it is long."
+    for tag in ('p class="a""', "p data-x=it's", 'p class="a"b', "p 'x", 'p "', "p a=b/", "p = x", "p class='", "p a = 'b' c"):
+        if tag == "p class='":
+            # An open quotation ends at the next mark, by the rules of HTML.
+            assert extract.main_text(f"<article><{tag}>{long}</p><p title='x'>{long}</p>") == long
+            continue
+        assert extract.main_text(f"<article><{tag}>{long}</p><p>{long}</p></article>") == f"{long}\n{long}", tag
+    assert extract.main_text(f'<article><p class="ad">x<div>{long}</div></article>') == long
+    assert extract.main_text(f'<article><ul><li class="ad">x<li>{long}<li>{long}</ul></article>') == f"{long}\n{long}"
+    assert extract.main_text(f'<article><dl><dt class=ad>x<dd>{long}</dl><table><tr><td class=ad>x<td>{long}<tr class=ad><td>x<tr><td>{long}</table>') == "\n".join([long] * 3)
+    assert extract.main_text("<article><p>" + "<a b='" * 20_000) == ""
+    assert extract.main_text(f"<article><p>{'<' * 20_000} {long}") == "<" * 20_000 + " " + long
+
+
+def test_names_in_an_article_are_whole_tokens():
+    long = "The words of this page are the main text and it is long."
+    for tag in ("section class=social-history", "p class=legal-basis", "p class=share-price", "div class=related", "p class='notice x'", "div id=header"):
+        name = tag.split()[0]
+        assert extract.main_text(f"<article><{tag}>{long}</{name}></article>") == long, tag
+    for tag in ("div class='x comments'", "div id=disqus_thread", "div class=share-buttons", "div class='AD'", "p style='color:red; display: none'"):
+        assert extract.main_text(f"<article><p>{long}</p><{tag}>{long} No.</{tag.split()[0]}></article>") == long, tag
+    assert extract.main_text(f"<article><p>{long} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>") == f"{long} x=1"
+    assert extract.main_text(f"<p>{long}</p><div style='display:none'><p>{long} No.</p></div>") == long
+
+
+def test_reader_comments_under_a_heading():
+    long = "The words of this page are the main text and it is long."
+    page = f"<article><p>{long}</p><h2>{{}}</h2><p>{long} I agree.</p><h3>Anna</h3><p>{long} I do not.</p><h2>Sources</h2><p>{long}</p></article>"
+    for head in ("Responses", "3 Comments", "Kommentare (2)", "Reader comments", "Leave a reply"):
+        assert extract.main_text(page.format(head)) == f"{long}\nSources\n{long}", head
+    assert extract.main_text(page.format("Responses to the plan")).count("\n") == 6
+    inner = f"<article><p>{long}</p><div><h2>Comments</h2><p>{long} I agree.</p></div><p>{long}</p></article>"
+    assert extract.main_text(inner) == f"{long}\n{long}"
+
+
 def test_ordinary_markup_keeps_the_main_text():
     long = "The words of this page are the main text and it is long."
     for tag in (

@@ -23,6 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lifeledger.llm.common import named
+
 from lifeledger.functions.special import normal_sf
 
 # The known shapes.
@@ -63,11 +65,6 @@ def _running(values: Column, join: Callable[[Column, Column], Column], start: in
     return F.aggregate(steps, values, lambda acc, d: F.transform(acc, lambda x, i: join(x, before(acc, i, d))))
 
 
-def _named(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _matches(text: str | Column, pattern: str, kind: str, rank: int) -> Column:
     """Array of (start, end, rank, kind, found) of the leftmost non-overlapping matches of a pattern."""
     text = F.col(text) if isinstance(text, str) else text
@@ -85,7 +82,7 @@ def _matches(text: str | Column, pattern: str, kind: str, rank: int) -> Column:
 
 def _p_normal(z: Column) -> Column:
     """Two-sided p-value."""
-    return _named(F.abs(z), lambda a: F.least(F.lit(1.0), 2 * normal_sf(a)))
+    return named(F.abs(z), lambda a: F.least(F.lit(1.0), 2 * normal_sf(a)))
 
 
 def _p_values(codes: Column, n: Column, k: Column) -> Column:
@@ -115,7 +112,7 @@ def _p_values(codes: Column, n: Column, k: Column) -> Column:
         F.lit(0.0), lambda acc, x: acc + x,
     )
     serial_z = lagged / (F.sqrt(real(n) - 1) * (real(k) * real(k) - 1) / 12)
-    return F.array_sort(F.array(_named(chi_z, normal_sf), runs_p, _p_normal(serial_z)))
+    return F.array_sort(F.array(named(chi_z, normal_sf), runs_p, _p_normal(serial_z)))
 
 
 def _encoding(found: Column) -> Column:
@@ -136,7 +133,7 @@ def _tested(span: Column) -> Column:
         codes = F.transform(F.split(span["found"], ""), lambda c: F.instr(alphabet, c) - 1)
         codes = F.filter(codes, lambda c: c >= 0)
         simes = lambda p: F.least(3 * F.get(p, 0), 1.5 * F.get(p, 1), F.get(p, 2))
-        p = _named(codes, lambda c: _named(_p_values(c, n, F.length(alphabet)), simes))
+        p = named(codes, lambda c: named(_p_values(c, n, F.length(alphabet)), simes))
         step = F.least(F.lit(GRID), F.floor(-F.log2(F.greatest(p, F.lit(2.0 ** -GRID)))).cast("int"))
         return F.struct(
             span["start"].alias("start"), span["end"].alias("end"), F.lit(3).alias("rank"), F.lit("random").alias("kind"),
@@ -145,7 +142,7 @@ def _tested(span: Column) -> Column:
             F.greatest(step, F.lit(0)).alias("step"),
         )
 
-    return _named(_encoding(span["found"]), stratum)
+    return named(_encoding(span["found"]), stratum)
 
 
 def _candidates(rest: Column) -> Column:
@@ -156,11 +153,11 @@ def _candidates(rest: Column) -> Column:
     # Parts are looked for in what the whole candidates leave.
     mixed = lambda text, whole: redacted(text, whole, lambda n: F.repeat(F.lit(" "), n))
     both = lambda text, runs, whole: F.when(
-        F.size(whole) < F.size(runs), F.concat(whole, _named(mixed(text, whole), cut))
+        F.size(whole) < F.size(runs), F.concat(whole, named(mixed(text, whole), cut))
     ).otherwise(whole)
     # Named inside one expression: columns of their own would be copied into the filter that explode brings.
-    return _named(rest, lambda text: _named(
-        loose(text, CANDIDATE), lambda runs: _named(held(runs), lambda whole: both(text, runs, whole))
+    return named(rest, lambda text: named(
+        loose(text, CANDIDATE), lambda runs: named(held(runs), lambda whole: both(text, runs, whole))
     ))
 
 
@@ -244,4 +241,4 @@ def redacted(text: str | Column, spans: str | Column, mask: Callable[[Column], C
         return F.concat(F.array_join(pieces, ""), F.substring(text, before(F.size(spans)) + 1, F.length(text)))
 
     reach = _running(F.transform(spans, lambda s: s["end"]), F.greatest, 0)
-    return F.when(F.size(spans) > 0, _named(reach, cut)).otherwise(text)
+    return F.when(F.size(spans) > 0, named(reach, cut)).otherwise(text)

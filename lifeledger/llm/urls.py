@@ -6,10 +6,10 @@ connected components are found by distributed star rounds. Inside a component an
 precedence: an address without a rule of its own is allowed if any alias is allowed by a rule, else
 blocked if any alias is blocked, else allowed. An address with a rule keeps the rule's verdict.
 
-Edges come from the pages (canonical links, refresh redirects; character references are decoded and
-targets resolved against the page's ``base`` element or url), from a table of redirects if there is
-one, and from normal forms: scheme, fragment, ``www.`` or ``m.`` hosts, tracking parameters, ``.html``
-and a final slash do not make another page. Null urls, or urls without ``://``, have an empty host and
+Edges come from the pages (every canonical link and every refresh redirect outside comments, scripts and
+other raw text; character references are decoded and targets resolved against the page's ``base`` element
+or url) and from a table of redirects if there is one. Two addresses are the same node only if they differ
+in scheme, fragment, the case of the host, or an empty path in place of ``/``. Null urls, or urls without ``://``, have an empty host and
 path and no alias; no rule fits them and they are allowed. Repeated rows are judged one by one.
 """
 
@@ -20,8 +20,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lifeledger.llm.common import named
 from lifeledger.llm.components import components
-from lifeledger.llm.secrets import _named
 
 # The rules, host, path and verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -39,14 +39,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def normal_form(url: Column) -> Column:
-    """The address that aliases share; null for what is no address."""
-    host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
-    path = F.regexp_replace(F.regexp_replace(path_of(url), r"\.html?$", ""), r"/+$", "")
-    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda q: (q != "") & ~q.rlike("^(utm_[a-z]+|ref)="))
-    rest = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise("")
-    return F.when(host != "", F.concat(F.lit("http://"), host, path, rest))
+def address(url: Column) -> Column:
+    """The address without scheme and fragment, its host in lower case; null for what is no address."""
+    path = F.coalesce(F.nullif(path_of(url), F.lit("")), F.lit("/"))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    return F.when(host_of(url) != "", F.concat(host_of(url), path, query))
 
 
 def decoded(text: Column) -> Column:
@@ -93,23 +90,41 @@ def resolved(target: Column, base: Column) -> Column:
     return out
 
 
+#: Text that holds no tags: comments, and elements whose content is raw.
+MASKED = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{n}\b.*?(?:</{n}\s*>|\z)" for n in ("script", "style", "textarea", "title", "xmp", "template"))
+ATTRIBUTES = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+REFRESH = r"""(?is)^[^;,]*[;,]?\s*url\s*=\s*["']?([^"'\s]+)"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of the first attribute of exactly this name; null if there is none."""
+    named_so = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTES), F.lit(0)), lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name)
+    value = F.regexp_extract(F.get(named_so, F.lit(0)), r"(?s)^[^\s=]+\s*=\s*(.*)$", 1)
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) of each page's url with its canonical link and its refresh target."""
-    tag = lambda pattern: F.regexp_extract(F.coalesce("html", F.lit("")), pattern, 0)
-    link = tag(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""")
-    refresh = tag(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""")
-    base = tag(r"""(?is)<base\s[^>]*>""")
-    href = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-    targets = F.filter(F.array(
-        F.regexp_extract(link, href, 1),
-        F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
-    ), lambda t: t != "")
+    """(a, b) of each page's url with its canonical links and its refresh targets."""
+    plain = F.regexp_replace(F.coalesce("html", F.lit("")), MASKED, "")
+    tags = F.regexp_extract_all(plain, F.lit(r"""(?is)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""), F.lit(0))
+
+    def target(tag: Column) -> Column:
+        rel = F.split(F.lower(F.coalesce(attribute(tag, "rel"), F.lit(""))), r"\s+")
+        link = tag.rlike("(?i)^<link") & F.array_contains(rel, "canonical")
+        refresh = tag.rlike("(?i)^<meta") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh")
+        moved = F.regexp_extract(decoded(attribute(tag, "content")), REFRESH, 1)
+        return F.when(link, F.trim(decoded(attribute(tag, "href")))).when(refresh, moved)
+
     # Named inside one expression, so that filters pushed below the columns do not copy them.
-    own = _named(decoded(F.regexp_extract(base, href, 1)), lambda h: F.coalesce(resolved(h, F.col("url")), "url"))
-    full = F.when(F.size(targets) > 0, _named(own, lambda page: F.filter(
-        F.transform(F.transform(targets, decoded), lambda t: resolved(t, page)), lambda t: t.isNotNull()
-    )))
-    return pages.select(F.col("url").alias("a"), F.explode(full).alias("b"))
+    def found(all_tags: Column) -> Column:
+        targets = F.filter(F.transform(all_tags, target), lambda t: t.isNotNull() & (t != ""))
+        bases = F.filter(all_tags, lambda t: t.rlike("(?i)^<base") & attribute(t, "href").isNotNull())
+        own = named(decoded(attribute(F.get(bases, F.lit(0)), "href")), lambda h: F.coalesce(resolved(h, F.col("url")), "url"))
+        return F.when(F.size(targets) > 0, named(own, lambda page: F.filter(
+            F.transform(targets, lambda t: resolved(t, page)), lambda t: t.isNotNull()
+        )))
+
+    return pages.select(F.col("url").alias("a"), F.explode(named(tags, found)).alias("b"))
 
 
 def decide(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -129,8 +144,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects
     if redirects is not None:
         edges = edges.unionByName(redirects.select("a", "b"))
     judged = lambda url: decide(host_of(url), path_of(url), rules)
-    # Each side of a link stands for its normal form; only links between different forms need rounds.
-    form = lambda name: normal_form(F.col(name))
+    # Each side of a link stands for its address; only links between different addresses need rounds.
+    form = lambda name: address(F.col(name))
     nodes = components(edges.select(form("a").alias("a"), form("b").alias("b")))
     known = pages.select("url").unionByName(edges.select(F.col("a").alias("url"))).unionByName(
         edges.select(F.col("b").alias("url"))
@@ -153,35 +168,72 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects
 
 def sql(rules: list[tuple[str, str, str]] = RULES) -> str:
     """The result of ``judge`` without a table of redirects, as SQL."""
+    quoted = lambda text: text.replace("'", "''")
     cases = lambda pick: "CASE " + " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{pick(h, p, v)}'"
         for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1]))
     ) + " END"
+    names = "MAP {" + ", ".join("'" + n + "': chr(" + str(c) + ")" for n, c in {**name2codepoint, "apos": 39}.items()) + "}"
+
+    def value(tag: str, name: str) -> str:
+        """First attribute of exactly this name, without its quotation marks."""
+        own = f"list_filter(regexp_extract_all({tag}, '{quoted(ATTRIBUTES)}'), lambda a: lower(regexp_extract(a, '^[^\\s=]+')) = '{name}')[1]"
+        bare = f"regexp_extract({own}, '(?s)^[^\\s=]+\\s*=\\s*(.*)$', 1)"
+        return f"""regexp_replace(regexp_replace({bare}, '(?s)^"(.*)"$', '\\1'), '(?s)^''(.*)''$', '\\1')"""
+
+    def decode(text: str) -> str:
+        """Character references of a text."""
+        decimal, hexadecimal = "regexp_extract(p, '^#([0-9]{1,7})', 1)", "regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6})', 1)"
+        code = f"coalesce(try_cast(nullif({decimal}, '') AS INTEGER), try_cast('0x' || nullif({hexadecimal}, '') AS INTEGER))"
+        good = f"({code} > 0 AND {code} < 55296 OR {code} > 57343 AND {code} <= 1114111)"
+        name = "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)"
+        return f"""array_to_string(list_transform(string_split({text}, '&'), lambda p, i: CASE WHEN i = 1 THEN p
+          WHEN {good} THEN chr({code}) || regexp_replace(p, '^#([xX][0-9a-fA-F]{{1,6}}|[0-9]{{1,7}});?', '')
+          WHEN {names}[{name}] IS NOT NULL THEN {names}[{name}] || regexp_replace(p, '^[A-Za-z0-9]*;', '') ELSE '&' || p END), '')"""
+
+    def resolve(t: str, base: str) -> str:
+        """The full address of a target on a page."""
+        host = f"coalesce(regexp_extract({base}, '^.*?://([^/?#]*)', 1, 's'), '')"
+        folder = f"coalesce(nullif(regexp_extract(regexp_extract({base}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '^.*/', 0, 's'), ''), '/')"
+        own, rest = f"regexp_extract({t}, '^[^?#]*', 0, 's')", f"regexp_extract({t}, '^[^?#]*(.*)$', 1, 's')"
+        path = f"CASE WHEN starts_with({own}, '/') THEN {own} ELSE {folder} || {own} END"
+        steps = f"string_split(regexp_replace({path}, '/(\\.\\.?)$', '/\\1/'), '/')"
+        walk = f"""list_reduce({steps}, lambda x, y: CASE WHEN y = '..' THEN regexp_replace(x, '/[^/]*$', '', 's')
+          WHEN y = '.' THEN x ELSE x || '/' || y END)"""
+        scheme, other = "^[A-Za-z][A-Za-z0-9+.-]*://", "^[A-Za-z][A-Za-z0-9+.-]*:"
+        return f"""CASE WHEN regexp_matches({t}, '{scheme}') THEN {t} WHEN {t} = '' OR regexp_matches({t}, '{other}') OR {host} = '' THEN NULL
+          WHEN starts_with({t}, '//') THEN regexp_extract({base}, '^(.*?:)//', 1, 's') || {t}
+          WHEN {own} <> '' THEN regexp_extract({base}, '^.*?://[^/?#]*', 0, 's') || coalesce(nullif({walk}, ''), '/') || {rest}
+          WHEN starts_with({t}, '?') THEN regexp_extract({base}, '^.*?://[^?#]*', 0, 's') || {rest}
+          ELSE regexp_extract({base}, '^.*?://[^?#]*', 0, 's') || regexp_extract({base}, '^.*?://[^?#]*(\\?[^#]*)', 1, 's') || {rest} END"""
+
     return f"""
-WITH RECURSIVE tags AS (
-  SELECT url, regexp_extract(coalesce(html, ''), '<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'is') AS link,
-    regexp_extract(coalesce(html, ''), '<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'is') AS refresh
-  FROM pages
-), links AS (
-  SELECT url AS a, regexp_extract(link, '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is') AS b FROM tags
-  UNION ALL SELECT url, regexp_extract(refresh, '\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is') FROM tags
-), edges AS (SELECT a, b FROM links WHERE contains(b, '://')
+WITH RECURSIVE pages_tags AS (
+  SELECT row_number() OVER () AS no, url, regexp_extract_all(regexp_replace(coalesce(html, ''), '{quoted(MASKED)}', '', 'g'),
+    '(?is)<(?:link|meta|base)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS tags FROM pages
+), tags AS (SELECT no, url, unnest(tags) AS tag, generate_subscripts(tags, 1) AS place FROM pages_tags
+), raw AS (
+  SELECT no, url, place, lower(regexp_extract(tag, '^<([a-zA-Z]+)', 1)) AS kind, {value("tag", "rel")} AS rel, {value("tag", "href")} AS href,
+    {value("tag", "http-equiv")} AS equiv, {value("tag", "content")} AS content FROM tags
+), bases AS (
+  SELECT no, arg_min(h, place) AS h FROM (SELECT no, place, {decode("href")} AS h FROM raw WHERE kind = 'base' AND href IS NOT NULL) b GROUP BY no
+), pages_base AS (SELECT raw.no, coalesce({resolve("h", "url")}, url) AS base FROM raw LEFT JOIN bases USING (no) GROUP BY raw.no, h, url
+), targets AS (
+  SELECT no, url, trim({decode("href")}) AS t FROM raw WHERE kind = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\\s+'), 'canonical')
+  UNION ALL SELECT no, url, regexp_extract({decode("content")}, '{quoted(REFRESH)}', 1) FROM raw WHERE kind = 'meta' AND lower(trim(equiv)) = 'refresh'
+), links AS (SELECT url AS a, {resolve("t", "base")} AS b FROM targets JOIN pages_base USING (no) WHERE t <> ''
+), edges AS (SELECT a, b FROM links WHERE b IS NOT NULL
 ), known AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT a FROM edges UNION ALL SELECT b FROM edges)
 ), parts AS (
   SELECT url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
-    regexp_extract(url, '^.*?://[^?#]*\\?([^#]*)', 1, 's') AS query
+    regexp_extract(url, '^.*?://[^?#]*(\\?[^#]*)', 1, 's') AS query
   FROM known
-), kept AS (
-  SELECT *, list_sort(list_filter(string_split(query, '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref)='))) AS args
-  FROM parts
 ), judged AS (
   SELECT url, host, path, {cases(lambda h, p, v: h + p)} AS rule, {cases(lambda h, p, v: v)} AS own,
-    CASE WHEN regexp_replace(host, '^(www|m)\\.', '') <> '' THEN 'http://' || regexp_replace(host, '^(www|m)\\.', '')
-      || regexp_replace(regexp_replace(path, '\\.html?$', ''), '/+$', '')
-      || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS node
-  FROM kept
+    CASE WHEN host <> '' THEN host || coalesce(nullif(path, ''), '/') || query END AS node
+  FROM parts
 ), pairs AS (
   SELECT x.node AS a, y.node AS b FROM edges JOIN judged x ON x.url = edges.a JOIN judged y ON y.url = edges.b
 ), both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs

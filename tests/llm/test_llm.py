@@ -7,7 +7,9 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -469,7 +471,7 @@ def test_url_rules_and_aliases(spark):
     rows = [
         (1, "https://M.Example.NET/en/1?utm_source=a", None), (2, "http://a.net/x", ""), (3, "http://example.com/de/1", ""),
         (4, "http://x.org/fr/1", ""), (5, None, None), (6, "no address", ""), (7, "http://free.com/p", canonical),
-        (8, "https://www.free.com/p/", ""), (9, "http://free.com/q", ""), (10, "ftp://notnet", ""), (11, "http://good.io/", '<link href="http://x.org/fr/9" rel=canonical>'),
+        (8, "https://FREE.com/p#x", ""), (9, "http://free.com/q", ""), (10, "ftp://notnet", ""), (11, "http://good.io/", '<link href="http://x.org/fr/9" rel=canonical>'),
         (12, "http://good.io", ""), (13, "http://UP.net?x=://y/z", ""),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("group", F.lit(1))
@@ -505,7 +507,7 @@ def test_relative_targets_make_aliases(spark):
     link = lambda t: f'<link rel="canonical" href="{t}"><p>'
     rows = [
         (1, "http://example.com/en/5", link("/de/5")), (2, "http://free.com/a", link("//x.net/a")),
-        (3, "http://free.com/b", link("?k=1&amp;l=2")), (4, "http://free.com/b?l=2&k=1", '<meta http-equiv="refresh" content="0;url=http:&#47;/x.net/b">'),
+        (3, "http://free.com/b", link("?k=1&amp;l=2")), (4, "http://free.com/b?k=1&l=2", '<meta http-equiv="refresh" content="0;url=http:&#47;/x.net/b">'),
         (5, "http://example.com/fr/6", '<meta http-equiv=refresh content="0; url=../de/6">'), (6, "http://example.com/fr/7", "<base href='/de/'>" + link("7")),
         (7, "http://free.com/c", link("/d")), (8, "http://free.com/e", link("mailto:a@x.net")), (9, None, link("/de/5")),
     ]
@@ -514,6 +516,33 @@ def test_relative_targets_make_aliases(spark):
     assert got == {**dict.fromkeys(range(1, 7), "block"), 7: "allow", 8: "allow", 9: "allow"}
 
 
+LINK = '<link rel="canonical" href="http://x.net/{}">'
+LINKED = [
+    (1, "http://a.com/1", f"<!-- {LINK.format(1)} --><p>"), (2, "http://a.com/2", f"<script>var t = '{LINK.format(2)}';</script>"),
+    (3, "http://a.com/3", '<link rel="x Canonical  y" href=http://x.net/3>'), (4, "http://a.com/4", '<link rel=canonical data-href="http://x.net/4">'),
+    (5, "http://a.com/5", '<link title=" rel=canonical " href="http://x.net/5">'), (6, "http://a.com/6", "<link rel=canonical href='http://y.com/'>" + LINK.format(6)),
+    (7, "http://m.io/a", ""), (8, "http://www.io/a", LINK.format(8)), (9, "http://www.m.io/a", ""), (10, "https://a.com/2.html?ref=1", ""),
+    (11, "http://a.com/11", '<META CONTENT="0; URL=\'http://x.net/11\'" http-equiv="Refresh">'), (12, "http://a.com/12", '<link href="http://x.net/12" rel="canonicals">'),
+    (13, "http://a.com", LINK.format(13)), (14, "http://A.com/#top", ""), (15, "http://a.com/15", '<base href="/de/"><base href="/x/"><link rel=canonical href="../en/./7?a=1&amp;b=2">'),
+    (16, "http://a.com/en/7?a=1&b=2", LINK.format(16)), (17, "http://a.com/17", "<textarea>" + LINK.format(17) + "</textarea>"),
+    (18, "http://a.com/18", "<link rel=canonical href='//x.net/&#47;18&eacute;'>"), (19, "http://a.com/19", "<link rel=canonical href='/fr/20'>"),
+    (20, "http://x.org/fr/20", ""), (21, "http://a.org/21", "<link rel=canonical href=http://x.org/fr/20>" + LINK.format(21)), (22, None, LINK.format(22)),
+    (23, "http://a.com/23", "<link rel='canonical' title='a > b' href='http://x.net/23'"), (24, "http://a.com/24", None), (24, "http://a.com/24", None),
+]
+
+
+def test_linked_pages_equal_the_sql(spark):
+    pages = spark.createDataFrame(LINKED, "page_id long, url string, html string")
+    got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(pages).collect()]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(LINKED, columns=["page_id", "url", "html"]))
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls.sql()})").fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    verdicts = {r[0]: r[4] for r in got}
+    blocked = {3, 6, 8, 11, 13, 14, 15, 16, 18}
+    assert {k for k, v in verdicts.items() if v == "block"} == blocked
+
+
 # HTML extraction
 
 

@@ -20,6 +20,10 @@ No link between different texts is lost. The frequent shingles come from a bound
 choose the order, which the result does not depend on. Null and empty texts have no shingles and no
 links. A text of fewer words than a shingle is one shingle. Repeated rows and copies share a class.
 Further columns are ignored. Rows with a null id keep it and have no component.
+
+The method departs from DivideSkip in two points, both without loss: short lists are not merged with a heap, they are
+paired out within a bound and counted, and long lists are not probed by binary search for each candidate; pairs
+of their members are excluded by distances or decided exactly.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lifeledger.llm.common import bounded, by_value, stored
 from lifeledger.llm.components import components
@@ -349,13 +354,36 @@ def _cross_pairs(members: DataFrame, checked: DataFrame, nodes: DataFrame, perce
     return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether any id names more than one row."""
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count()
+    return not ids.where("count > 1").isEmpty()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
             percent: int = PERCENT, short: int = SHORT, sample: int = ORDER_SAMPLE) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id``, the smallest id reachable by links, of every row.
 
-    Ids are whole numbers.
+    Where ids repeat or are no whole numbers, a 64-bit hash of id and text stands for the row, so rows that share
+    an id but not a text have links of their own.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+    plain = isinstance(docs.schema["own"].dataType, T.IntegralType) and not ids_repeat(docs, "own")
+    key = F.col("own").cast("long") if plain else F.when(F.col("own").isNotNull(), F.xxhash64("own", "text"))
+    keyed = docs.select(key.alias("id"), "text", "own")
+    found = _classes(keyed.select("id", "text"), words, percent, short, sample)
+    if plain:
+        return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    found, names = stored(found, "found"), keyed.select("id", "own").where("id IS NOT NULL").distinct()
+    named = found.join(names, "id", "left")
+    least = named.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("own").alias("least"))
+    return named.join(least, "component_id", "left").select(
+        F.col("own").alias(id_col), "n_shingles", F.col("least").alias("component_id")
+    )
+
+
+def _classes(docs: DataFrame, words: int, percent: int, short: int, sample: int) -> DataFrame:
+    """id, n_shingles and component_id of rows (id, text), whose ids differ or stand for the same text."""
     known = docs.where("id IS NOT NULL")
     frequent = frequent_shingles(known, words, sample, short)
     signed = stored(signatures(docs, frequent, words, percent), "signatures")
@@ -387,7 +415,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         "c1", "c2", "n", F.coalesce("component", "rep").alias("component")
     )
     return signed.select("id", "n", "c1", "c2").join(whole, ["c1", "c2", "n"], "left").select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
+        "id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
     )
 

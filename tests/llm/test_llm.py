@@ -463,6 +463,33 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in got} == {k: find(k) for k in parent}
 
 
+def test_rows_that_share_an_id_keep_their_links(spark):
+    rng = random.Random(6)
+    text = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(60)) for _ in range(4)]
+    near = text[1] + " end"
+    rows = [(5, text[0]), (5, text[1]), (9, text[2]), (8, near), (9, text[2]), (4, text[3]), (None, text[0]), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs).collect()), key=repr)
+    want = [(5, 56, 5), (5, 56, 5), (9, 56, 9), (8, 57, 5), (9, 56, 9), (4, 56, 4), (None, 56, None), (7, 0, 7), (7, 0, 7)]
+    assert got == sorted(want, key=repr)
+    named = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.classes(named).collect())
+    assert got == sorted((f"d{i}", f"d{c}") for i, _, c in want if i is not None)
+
+
+def test_near_duplicates_of_repeated_rows_leave_one(spark):
+    rng = random.Random(7)
+    text = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(60)) for _ in range(3)]
+    rows = [(5, text[0]), (5, text[0]), (5, text[1]), (6, text[1] + " end"), (8, text[2]), (None, text[2]), (None, text[2]), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("component_id", F.lit("x"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert all(r["component_id"] == "x" for r in kept)
+    texts = sorted((str(r["doc_id"]), (r["text"] or "")[:-4] if (r["text"] or "").endswith(" end") else r["text"] or "") for r in kept)
+    assert [t for _, t in texts].count(text[0]) == 1 and [t for _, t in texts].count(text[1]) == 1
+    assert ("8", text[2]) in texts and texts.count(("None", text[2])) == 2 and ("7", "") in texts and len(kept) == 6
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 # URL filter
 
 

@@ -29,9 +29,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id."""
-    found = stored(jaccard.classes(docs), "components")
-    return _without(docs, found.where("component_id != doc_id").select("doc_id"))
+    """Of each group of linked documents one: that with the smallest id, or any if ids repeat."""
+    if not jaccard.ids_repeat(docs):
+        found = stored(jaccard.classes(docs), "components")
+        return _without(docs, found.where("component_id != doc_id").select("doc_id"))
+    # Rows that share an id are told apart by their text; rows that share both are one document.
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), "text")
+    found = stored(jaccard.classes(keyed, "key"), "components")
+    gone = found.where("component_id != key").select("key").distinct()
+    kept = keyed.where("key IS NOT NULL").join(bounded(gone), "key", "left_anti").dropDuplicates(["key"])
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lifeledger.operators.cohort import DEFAULT_DATES
 from lifeledger.survival import curves, fit, km
-from lifeledger.survival.sample import TRANSITIONS, censored
+from lifeledger.survival.sample import CHOSEN, CURVES, TRANSITIONS, censored, censored_all
 
 D = date
 FUTURE = DEFAULT_DATES.far_future
@@ -157,3 +157,47 @@ def test_curve_lies_on_the_product_limit_estimate(spark):
     model = fit.fit_models(df, ["weibull"], {"sex": ["F"]})["weibull"]
     gap = curves.km_vs_model(km.kaplan_meier(df, ["sex"], "time"), model, ["sex"], "time").first()
     assert gap["max_gap"] < 0.05
+
+
+def test_every_transition_in_one_pass(spark):
+    cases = [
+        {}, dict(progression_date=D(2015, 1, 10), progressed=1), dict(adj_death_date=D(2016, 1, 1), death=1),
+        dict(progression_date=D(2015, 2, 1), progressed=1, post_onset_date=D(2015, 4, 1), post_onset=1),
+        dict(pre_onset=1, pre_onset_date=D(2015, 3, 1), adj_recovery_date=D(2015, 3, 31), recovered=1),
+    ]
+    rows = [tuple({**MASTER, **c, "entity_id": i}.values()) for i, c in enumerate(cases)]
+    kind = lambda k: "date" if k.endswith("date") else "string" if k in ("age_band", "sex") else "int"
+    df = spark.createDataFrame(rows, ", ".join(f"{k} {kind(k)}" for k in MASTER))
+    got = sorted((r["transition"], r["entity_id"], r["days"], r["event"]) for r in censored_all(df, DEFAULT_DATES).collect())
+    want = sorted((name, r["entity_id"], r["days"], r["event"]) for name, t in TRANSITIONS.items() for r in censored(df, t, DEFAULT_DATES).collect())
+    assert got == want and len({r[0] for r in got}) == len(TRANSITIONS)
+    assert set(CURVES) < set(CHOSEN) < set(TRANSITIONS) and len(CHOSEN) == 12
+
+
+def test_shared_rounds_equal_single_fits_and_thin_transitions_say_so(spark):
+    one, two = simulated(spark, "weibull", 2500, 1), simulated(spark, "lognormal", 2500, 2)
+    no_event = one.withColumn("event", F.lit(0))
+    no_level = one.withColumn("event", F.when(F.col("sex") == "M", 0).otherwise(F.col("event")))
+    refused = one.limit(40).withColumn("time", F.lit(-1.0)).unionByName(one.limit(30).withColumn("sex", F.lit("X")))
+    named = {"a": one.unionByName(refused), "b": two, "c": no_event, "d": no_level}
+    stacked = None
+    for name, df in named.items():
+        part = df.withColumn("transition", F.lit(name))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    dists = ("weibull", "lognormal", "gompertz")
+    fits = fit.fit_all(stacked, dists, expected=["a", "e"])
+    for name, df in (("a", one), ("b", two)):
+        for d, model in fit.fit_models(df, dists).items():
+            same = fits.models[name, d]
+            assert list(same.beta) == pytest.approx(list(model.beta), abs=1e-6) and same.loglik == pytest.approx(model.loglik, abs=1e-6)
+    assert fits.models["a", "weibull"].n_refused == 70 and fits.accounts["a"]["n_rows"] == 2570
+    assert fits.status["c", "weibull"] == "no events" and fits.status["d", "gompertz"] == "no events in sex=M" and fits.status["e", "weibull"] == "no rows"
+    table = {(r["transition"], r["dist"]): r for r in fit.compare_all(fits, spark).collect()}
+    assert len(table) == 15 and table["c", "weibull"]["aic"] is None and table["a", "weibull"]["n_refused"] == 70
+    # The equations hold at the fits and not beside them.
+    events = {r["transition"]: r["d"] for r in stacked.where("time > 0 AND sex <> 'X'").groupBy("transition").agg(F.sum("event").alias("d")).collect()}
+    found = {(r["transition"], r["dist"], r["term"]): r["fitted"] for r in fit.score_equations(stacked, fits).collect()}
+    for name in "ab":
+        assert found[name, "weibull", "intercept"] == pytest.approx(events[name], abs=1e-4)
+        assert found[name, "lognormal", "log_scale"] == pytest.approx(events[name], abs=1e-4)
+        assert found[name, "gompertz", "intercept"] == pytest.approx(events[name], abs=1e-4)

@@ -136,3 +136,31 @@ def trigamma(x: Column) -> Column:
     for i in range(GAMMA_SHIFT):
         series = series + F.lit(1.0) / F.pow(x + F.lit(float(i)), 2)
     return series
+
+
+#: Terms of the continued fraction of the incomplete beta function.
+BETA_TERMS = 2000
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| > |t|) for Student's T with ``df`` degrees of freedom; null if either is null.
+
+    The regularised incomplete beta function at x = df / (df + t^2), by its continued fraction from the
+    last term to the first, on the side of its symmetry where that converges fast.
+    """
+    df = df.cast("double")
+    x0 = df / (df + t * t)
+    flip = x0 > (df / 2 + 1) / (df / 2 + 2.5)
+    half = F.lit(0.5)
+    a, b = F.when(flip, half).otherwise(df / 2), F.when(flip, df / 2).otherwise(half)
+    x = F.when(flip, t * t / (df + t * t)).otherwise(x0)
+
+    def term(value: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        return F.lit(1.0) + odd / (F.lit(1.0) + even / value)
+
+    fraction = F.aggregate(F.sequence(F.lit(BETA_TERMS), F.lit(1), F.lit(-1)), F.lit(1.0), lambda v, m: term(v, m.cast("double")))
+    front = F.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * F.log(x) + b * F.log1p(-x)) / a
+    tail = F.when(x <= 0, F.lit(0.0)).otherwise(front / fraction)
+    return F.when(t.isNotNull() & df.isNotNull(), F.when(flip, F.lit(1.0) - tail).otherwise(tail))

@@ -6,13 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lifeledger.functions import normal_sf
+from lifeledger.functions.special import t_two_sided
 from lifeledger.operators.relational import stack
-from lifeledger.session import by_value
 
 
 def _sums(df: DataFrame, arm: str, continuous: Sequence[str], categorical: Mapping[str, Sequence]) -> DataFrame:
@@ -65,27 +64,6 @@ def _entry(variable, level, m0, m1, s0, s1, k0, k1, p0, p1, smd) -> Column:
     )
 
 
-def _t_two_sided(t: float, df: float) -> float:
-    """Two-sided tail of Student's t by the continued fraction of the incomplete beta function."""
-    from math import exp, lgamma, log
-
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    flip = x > (a + 1) / (a + b + 2)
-    if flip:
-        a, b, x = b, a, 1 - x
-    if x <= 0:
-        return 1.0 if flip else 0.0
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * np.log1p(-x)) / a
-    value = 1.0
-    for m in range(200, 0, -1):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
-        value = 1 + odd / (1 + even / value)
-    tail = front / value
-    return 1 - tail if flip else tail
-
-
 def _chi_sf(x: Column, df: int) -> Column:
     """Upper tail of chi-squared by its finite recurrence, which starts at 1 or 2 degrees of freedom."""
     half = x / 2
@@ -106,11 +84,6 @@ def baseline_tests(
 ) -> DataFrame:
     """(variable, statistic, df, p): equal-variance t test or chi-squared, corrected when 2 x 2."""
     sums = _sums(df, arm, continuous, categorical)
-
-    @F.pandas_udf("double")
-    def t_tail(t: pd.Series, freedom: pd.Series) -> pd.Series:
-        return pd.Series([_t_two_sided(a, b) for a, b in zip(t, freedom)])
-
     n0, n1 = F.col("n_0").cast("double"), F.col("n_1").cast("double")
     # All variables come out of the one row of sums, so the table is read once.
     out = []
@@ -142,8 +115,5 @@ def baseline_tests(
         out.append(test(c, "chi2", statistic, F.lit(float(freedom)), _chi_sf(statistic, freedom)))
     rows = sums.select(F.inline(F.array(*out)))
     is_t = F.col("kind") == "t"
-    t_p = t_tail(F.when(is_t, F.col("statistic")), F.when(is_t, F.col("df")))
+    t_p = t_two_sided(F.col("statistic"), F.col("df"))
     return rows.select("variable", "statistic", "df", F.when(is_t, t_p).otherwise(F.col("chi_p")).alias("p"))
-
-
-by_value(__name__)

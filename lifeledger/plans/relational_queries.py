@@ -347,9 +347,24 @@ def baseline_table_query(t: Tables) -> DataFrame:
     return table.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-@query(name="baseline_tests")
+# The t tail by Simpson's rule over the angle whose tangent is t / sqrt(df); the chi-squared tail for 4 degrees of freedom.
+@query(f"""WITH a AS ({_ARMS}),
+  m AS (SELECT (count(*) FILTER (arm = 0))::DOUBLE AS n0, (count(*) FILTER (arm = 1))::DOUBLE AS n1,
+      avg(c_acctbal) FILTER (arm = 0) AS m0, avg(c_acctbal) FILTER (arm = 1) AS m1,
+      stddev_samp(c_acctbal) FILTER (arm = 0) AS s0, stddev_samp(c_acctbal) FILTER (arm = 1) AS s1 FROM a),
+  t AS (SELECT n0 + n1 - 2 AS df, (m1 - m0) / sqrt(((n0 - 1) * s0 * s0 + (n1 - 1) * s1 * s1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1)) AS t FROM m),
+  s AS (SELECT df, t, atan(abs(t) / sqrt(df)) AS low, (pi() / 2 - atan(abs(t) / sqrt(df))) / 20000 AS step FROM t),
+  p AS (SELECT df, t, 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * step / 3 * sum(
+      CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(low + i * step), 0), df - 1)) AS p
+    FROM s, range(20001) r(i) GROUP BY df, t, step),
+  k AS (SELECT c_mktsegment, (count(*) FILTER (arm = 0))::DOUBLE AS k0, (count(*) FILTER (arm = 1))::DOUBLE AS k1 FROM a GROUP BY c_mktsegment),
+  x AS (SELECT sum(pow(k0 - (k0 + k1) * n0 / (n0 + n1), 2) / ((k0 + k1) * n0 / (n0 + n1))
+      + pow(k1 - (k0 + k1) * n1 / (n0 + n1), 2) / ((k0 + k1) * n1 / (n0 + n1))) AS x FROM k, m)
+  SELECT 'c_acctbal' AS variable, round(t, 6) AS statistic, df, round(p, 6) AS p FROM p
+  UNION ALL SELECT 'c_mktsegment', round(x, 6), 4.0, round(exp(-x / 2) * (1 + x / 2), 6) FROM x""", name="baseline_tests")
 def baseline_tests_query(t: Tables) -> DataFrame:
-    return baseline_tests(_arms(t), "arm", ["c_acctbal"], {"c_mktsegment": _SEGMENTS})
+    table = baseline_tests(_arms(t), "arm", ["c_acctbal"], {"c_mktsegment": _SEGMENTS})
+    return table.withColumns({c: F.round(c, 6) for c in ("statistic", "p")})
 
 
 # Sorts and set operations

@@ -99,3 +99,24 @@ def test_gamma_family(spark):
         up = spark.createDataFrame([(p + 1,)], "x double").select(fx.digamma(x), fx.trigamma(x)).first()
         assert up[0] - psi == pytest.approx(1 / p, rel=1e-6, abs=1e-9)
         assert tri - up[1] == pytest.approx(1 / p**2, rel=1e-6, abs=1e-9)
+
+
+def test_student_tail(spark):
+    from lifeledger.functions.special import t_two_sided
+
+    # Closed forms for 1 and 2 degrees of freedom, the normal tail for very many, and Simpson's rule between.
+    def simpson(t, df, n=20_000):
+        low = math.atan(abs(t) / math.sqrt(df))
+        step = (math.pi / 2 - low) / n
+        total = sum((1 if i in (0, n) else 4 if i % 2 else 2) * max(math.cos(low + i * step), 0.0) ** (df - 1) for i in range(n + 1))
+        return 2 * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi) * total * step / 3
+
+    cases = [(t, df) for t in (0.0, 0.3, -1.7, 4.0, 12.0) for df in (1.0, 2.0, 7.5, 30.0, 1498.0, 1e6)]
+    got = spark.createDataFrame(cases, "t double, df double").withColumn("p", t_two_sided(F.col("t"), F.col("df"))).collect()
+    for r in got:
+        t, df = r["t"], r["df"]
+        want = 1 - 2 * math.atan(abs(t)) / math.pi if df == 1 else 1 - abs(t) / math.sqrt(2 + t * t) if df == 2 else None
+        want = math.erfc(abs(t) / math.sqrt(2)) if df == 1e6 else simpson(t, df) if want is None else want
+        assert abs(r["p"] - want) < (2e-6 if df == 1e6 else 1e-9), (t, df)
+    null = spark.createDataFrame([(None, 3.0)], "t double, df double").select(t_two_sided(F.col("t"), F.col("df"))).first()[0]
+    assert null is None

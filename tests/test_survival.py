@@ -59,6 +59,25 @@ def test_kaplan_meier_by_hand(spark):
     }
 
 
+@pytest.mark.parametrize("span", [1.0, 7.0, 64.0, 1e9])
+def test_kaplan_meier_does_not_depend_on_the_spans(spark, span):
+    rng = np.random.default_rng(2)
+    rows = [(str(g), int(d), int(e)) for g, d, e in zip(rng.integers(0, 3, 500), rng.integers(1, 300, 500), rng.integers(0, 2, 500))]
+    rows += [("0", 400, 1), ("0", 400, 1), ("1", 400, 1), ("1", 500, 0), (None, 3, 1), (None, 9, 0)]
+    df = spark.createDataFrame(rows, "g string, days int, event int")
+    for by in ([], ["g"]):
+        want = {}
+        for g in {r[0] for r in rows} if by else [None]:
+            own = [r[1:] for r in rows if not by or r[0] == g]
+            s = 1.0
+            for t in sorted({d for d, _ in own}):
+                risk, died = sum(d >= t for d, _ in own), sum(e for d, e in own if d == t)
+                s *= 1 - died / risk
+                want[g, t] = (risk, died, sum(d == t for d, _ in own) - died, pytest.approx(s, abs=1e-12))
+        got = {(r["g"] if by else None, r["days"]): (r["n_risk"], r["n_event"], r["n_censor"], r["survival"]) for r in km.kaplan_meier(df, by, span=span).collect()}
+        assert got == want
+
+
 def test_horizons_are_whole_multiples_of_365(spark):
     df = spark.createDataFrame([(365, 1), (366, 1), (1460, 1), (1461, 1), (100, 0)], "days int, event int")
     got = {r["cycle"]: r["n_event"] for r in km.events_by(df, [1, 4, 5]).collect()}

@@ -697,5 +697,5 @@ def test_pipeline_equals_its_steps(spark):
 
 
 def test_registered():
-    assert sum(bool(re.match(r"op\d+_", n)) for n in entry.queries()) == 10
+    assert sum(bool(re.match(r"op\d+_", n)) for n in entry.queries()) == 13
     assert "pipeline" in entry.queries() and [len(s) for s in corpus_pipeline.STAGES] == [2] * 5

@@ -276,11 +276,49 @@ def brute_tiles(a, b, seed):
 
 def test_tiles_are_greedy():
     rng = random.Random(9)
-    for _ in range(200):
-        a = [rng.choice("abcd") for _ in range(rng.randint(0, 40))]
-        b = [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
-        places = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-        assert sorted(n for *_, n in decontaminate.tiles(places, 3)) == sorted(n for *_, n in brute_tiles(a, b, 3))
+    for letters in ("abcd", "ab", "a"):
+        for _ in range(100):
+            a = [rng.choice(letters) for _ in range(rng.randint(0, 40))]
+            b = [rng.choice(letters) for _ in range(rng.randint(0, 25))]
+            one, two = (np.array([hash(w) for w in x], dtype=np.int64) for x in (a, b))
+            assert decontaminate.tiles(one, two, 3) == [(i, j, n) for i, j, n in brute_tiles(a, b, 3)]
+
+
+def test_tiles_from_seed_places_equal_those_of_whole_texts(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("a", "b", "c", "dd")) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    tests = [" ".join(rng.choice(("a", "b", "c")) for _ in range(n)) for n in (3, 4, 9, 20, 40)]
+    items = spark.createDataFrame(list(enumerate(tests)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): [tuple(t) for t in r["tiles"]]
+           for r in decontaminate.overlaps(documents(spark, texts), items, words=4).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(tests):
+            found = brute_tiles(text.split(), item.split(), min(4, len(item.split())))
+            if found:
+                want[d, i] = sorted(found)
+    assert got == want
+
+
+def test_hash_collisions_are_not_marked():
+    # Two Thue-Morse sequences that are complements have equal polynomial hashes modulo 2 ** 64 under any base.
+    one = np.array([bin(i).count("1") % 2 for i in range(2048)], dtype=np.int64)
+    found = decontaminate.tiles(one, 1 - one, 200)
+    assert all((one[d : d + n] == 1 - one[i : i + n]).all() for d, i, n in found)
+    assert found[0][2] == 1024
+
+
+def test_long_repeats_and_shared_ids(spark):
+    rows = [(1, "la " * 200_000), (2, "one two three four five six"), (2, "seven eight nine ten eleven twelve"),
+            (2, "seven eight nine ten eleven twelve"), (None, "la " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(
+        [(1, "la " * 30), (2, "seven eight nine ten eleven twelve"), (2, "one two three four five seven"), (3, "la la")],
+        "item_id long, text string",
+    )
+    got = {(r["doc_id"], r["item_id"]): (r["n_tiles"], r["covered_words"], r["item_words"])
+           for r in decontaminate.overlaps(docs, items).collect()}
+    assert got == {(1, 1): (1, 30, 30), (1, 3): (1, 2, 2), (2, 2): (1, 6, 6)}
 
 
 def test_reordered_passages_are_caught(spark):

@@ -8,8 +8,14 @@ the last two are candidates, which can overlap. Runs and parts of nothing but th
 Three tests ask whether a candidate could be uniform noise over its alphabet: chi-squared of the
 symbol counts, Wald-Wolfowitz runs around the middle of the alphabet, and lag-1 serial correlation.
 Simes' rule combines the three p-values. Short strings give weak tests, so candidates are ranked
-among those of the same encoding and length band only: within each the Benjamini-Hochberg rule, on a fixed grid of p-values, decides which are surely not random at false
-discovery rate ``rate``. The rest is reported as ``random``.
+among those of the same encoding and length band only, on a fixed grid of p-values. A candidate is
+reported as ``random`` if it passes two rules, both at ``rate``:
+
+* Benjamini-Hochberg: it is not among those that are surely not random.
+* False discoveries among the reported: random strings have uniform p-values, so those beyond one half
+  tell how many random ones a stratum holds at most (at ``CONFIDENCE``, so a stratum of few candidates is
+  not judged on chance). What is reported beyond their expected number is ordinary text, and its share
+  may not exceed ``rate``. Invented words, whose p-values crowd near zero, are thus left alone.
 
 Only counts per (encoding, band, grid step) are shuffled, and the cut-offs, at most one per stratum,
 come back as one small map. All expressions; positions are code points, ends exclusive. Null text
@@ -53,6 +59,8 @@ ENCODINGS = {
 MIN_CANDIDATE = 20
 RATE = 0.05
 GRID = 40
+#: Normal quantile of the upper limit, 99 %, of the number of random candidates of a stratum.
+CONFIDENCE = 2.326
 CANDIDATE = "[A-Za-z0-9+/_-]{%d,}" % MIN_CANDIDATE
 #: What a run that no alphabet holds is cut into.
 PARTS = ["[A-Za-z0-9%s]{%d,}" % (marks, MIN_CANDIDATE) for marks in ("", "+/", "_-")]
@@ -183,27 +191,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 
 def cutoffs(scanned: DataFrame, rate: float = RATE) -> DataFrame:
-    """One row: ``cuts``, a map from stratum to the first grid step at which a candidate is not random.
+    """One row: ``cuts``, a map from stratum to the first grid step at which a candidate is not reported.
 
-    At grid step s, p <= 2 ** -s. With m candidates of a stratum and r of them at s or beyond, the
-    rule rejects randomness from the smallest s with m * 2 ** -s <= rate * r.
+    At grid step s, p <= 2 ** -s. With m candidates of a stratum and r of them at s or beyond, the first
+    rule rejects randomness from the smallest s with m * 2 ** -s <= rate * r. With c candidates at step 0
+    at most 2 (c + CONFIDENCE sqrt(c + 1)) are random, and (1 - 2 ** -s) of these lie before s; the second
+    rule reports up to the largest s before which no more than ``rate`` of all lie beyond that number.
     """
     counts = scanned.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.step").count()
     strata = counts.groupBy("stratum").agg(
-        F.sum("count").alias("m"), F.collect_list(F.struct("step", "count")).alias("at")
+        F.sum("count").alias("m"), F.collect_list(F.struct("step", "count")).alias("at"),
+        F.sum(F.when(F.col("step") == 0, F.col("count")).otherwise(0)).alias("first"),
     )
-    beyond = lambda s: F.aggregate(
-        "at", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["step"] >= s, x["count"]).otherwise(0)
+    some = lambda chosen: F.aggregate(
+        "at", F.lit(0).cast("long"), lambda acc, x: acc + F.when(chosen(x["step"]), x["count"]).otherwise(0)
     )
-    good = F.filter(
-        F.sequence(F.lit(0), F.lit(GRID)), lambda s: F.col("m") * F.pow(F.lit(2.0), -s) <= F.lit(rate) * beyond(s)
+    steps = F.sequence(F.lit(0), F.lit(GRID + 1))
+    surely_not = F.filter(steps, lambda s: (s <= GRID) & (
+        F.col("m") * F.pow(F.lit(2.0), -s) <= F.lit(rate) * some(lambda step: step >= s)
+    ))
+    most = F.least(F.col("m").cast("double"), 2 * (F.col("first") + CONFIDENCE * F.sqrt(F.col("first") + 1)))
+    # The last step of the grid has no end: all random candidates lie before what follows it.
+    expected = lambda s: most * F.when(s > GRID, 1.0).otherwise(1 - F.pow(F.lit(2.0), -s))
+    enough = F.filter(steps, lambda s: some(lambda step: step < s) * (1 - rate) <= expected(s))
+    cut = F.least(F.coalesce(F.array_min(surely_not), F.lit(GRID + 1)), F.array_max(enough))
+    return strata.select("stratum", cut.alias("cut")).agg(
+        F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts")
     )
-    strata = strata.select("stratum", F.coalesce(F.array_min(good), F.lit(GRID + 1)).alias("cut"))
-    return strata.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "cut"))).alias("cuts"))
 
 
 def found(scanned: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``scanned`` with ``spans``: base spans and candidates that pass for random, in order."""
+    """``scanned`` with ``spans``: base spans and candidates that are reported as random, in order."""
     short = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind"))
     rows = scanned.withColumn("cuts", cuts.scalar())
     random = F.filter("candidates", lambda c: c["step"] < F.coalesce(F.col("cuts")[c["stratum"]], F.lit(GRID + 1)))

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import os
 import random
 import re
@@ -192,6 +193,69 @@ def test_every_run_of_key_characters_is_tested(spark):
     assert sum(set(range(len(k))) <= marked(3 + i) for i, k in enumerate(keys)) >= 0.85 * len(keys)
 
 
+def brute_step(found, alphabet):
+    """Grid step of Simes' p-value of the three tests, from their definitions."""
+    n, k, codes = len(found), len(alphabet), [alphabet.index(c) for c in found]
+    upper = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum((codes.count(c) - n / k) ** 2 / (n / k) for c in range(k))
+    spread = 2 / 9 * (n - 1) / n / (k - 1)
+    high = [2 * c >= k for c in codes]
+    n1, n2 = sum(high), n - sum(high)
+    mean = 2 * n1 * n2 / n + 1
+    variance = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    lagged = sum((x - (k - 1) / 2) * (y - (k - 1) / 2) for x, y in zip(codes, codes[1:]))
+    p = sorted([
+        upper((((chi / (k - 1)) ** (1 / 3)) - (1 - spread)) / math.sqrt(spread)),
+        min(1, 2 * upper(abs(runs - mean) / math.sqrt(variance))) if n1 and n2 and variance > 0 else 0.0,
+        min(1, 2 * upper(abs(lagged) / (math.sqrt(n - 1) * (k * k - 1) / 12))),
+    ])
+    simes = min(3 * p[0], 1.5 * p[1], p[2])
+    return max(0, min(secrets.GRID, math.floor(-math.log2(max(simes, 2.0**-secrets.GRID)))))
+
+
+def brute_cut(steps, rate):
+    m, first = len(steps), steps.count(0)
+    bh = [s for s in range(secrets.GRID + 1) if m * 2.0**-s <= rate * sum(x >= s for x in steps)]
+    most = min(m, 2 * (first + secrets.CONFIDENCE * math.sqrt(first + 1)))
+    part = lambda s: 1 if s > secrets.GRID else 1 - 2.0**-s
+    enough = [s for s in range(secrets.GRID + 2) if sum(x < s for x in steps) * (1 - rate) <= most * part(s)]
+    return min([*bh, secrets.GRID + 1, max(enough)])
+
+
+def test_randomness_statistics_equal_brute_force(spark):
+    rng = random.Random(21)
+    noise = ["".join(rng.choice(secrets.LOWER) for _ in range(n)) for n in (20, 25, 39, 40, 90, 400) for _ in range(8)]
+    ordinary = ["".join(rng.choice(("tion", "ver", "ein", "heit", "qu")) for _ in range(9)) for _ in range(60)]
+    texts = [x if any(x.count(c) for c in secrets.LOWER[6:]) else x + "z" for x in noise + ordinary]
+    scanned = secrets.scan(documents(spark, texts))
+    got = {texts[r["id"]]: r["candidates"] for r in scanned.select("id", "candidates").collect()}
+    want: dict[str, list[int]] = {}
+    for text in texts:
+        (one,) = got[text]
+        assert one["step"] == brute_step(text, secrets.LOWER), text
+        assert one["stratum"] == f"lower:{math.floor(math.log2(len(text) / 20))}"
+        want.setdefault(one["stratum"], []).append(one["step"])
+    cuts = secrets.cutoffs(scanned).first()["cuts"]
+    assert cuts == {k: brute_cut(v, secrets.RATE) for k, v in want.items()}
+
+
+def test_ordinary_strings_are_left_alone_and_keys_found(spark):
+    rng = random.Random(5)
+    pieces = ["ein", "schlich", "ver", "heit", "tion", "keit", "ung", "zu", "pfau", "men", "quet", "er"]
+    ordinary = ["".join(rng.choice(pieces) for _ in range(7))[:26] for _ in range(300)]
+    ordinary = [x for x in ordinary if len(x) >= 20]
+    keys = ["".join(rng.choice(secrets.DIGITS + secrets.LOWER + secrets.UPPER) for _ in range(30)) for _ in range(60)]
+    scanned = secrets.scan(documents(spark, ordinary + keys))
+    found = {r["id"] for r in secrets.found(scanned, secrets.cutoffs(scanned)).where("size(spans) > 0").select("id").collect()}
+    assert len([i for i in found if i >= len(ordinary)]) >= 0.95 * len(keys)
+    # Those that Benjamini-Hochberg alone would let through, as no test is sure of them.
+    steps = [c["step"] for r in scanned.where(F.col("id") < len(ordinary)).select("candidates").collect() for c in r["candidates"]]
+    m = len(steps)
+    first = min(s for s in range(secrets.GRID + 1) if m * 2.0**-s <= secrets.RATE * sum(x >= s for x in steps))
+    assert 3 * len([i for i in found if i < len(ordinary)]) <= sum(x < first for x in steps)
+
+
 # Toxicity
 
 

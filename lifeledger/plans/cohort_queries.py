@@ -13,6 +13,7 @@ from lifeledger.plans.roles import (
     CUTOFF,
     DATES,
     ED_COLUMNS,
+    EVERY_PROGRESSION,
     EXCLUDED_DRUG,
     RELEVANT_CODES,
     STAY_COLUMNS,
@@ -187,6 +188,8 @@ _RULES = {
 
 
 @query(" UNION ALL ".join(
-    f"SELECT '{name}' AS rule, count(*) FILTER ({test}) AS violations FROM m_master" for name, test in _RULES.items()))
+    f"SELECT '{name}' AS rule, count(*) FILTER ({test}) AS violations FROM m_master" for name, test in _RULES.items()),
+    ctes={"r_progression": EVERY_PROGRESSION})
 def timeline_checks(t: Tables) -> DataFrame:
-    return cohort.check_timeline(t.master)
+    """Violations over every progression: dates that break a rule are counted here, not taken out before."""
+    return cohort.check_timeline(t.unchecked_master)

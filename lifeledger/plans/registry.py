@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,27 +13,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def with_ctes(sql: str) -> str:
-    """Put the definitions a statement uses, directly or not, in front of it."""
+def with_ctes(sql: str, own: Mapping[str, str] | None = None) -> str:
+    """Put the definitions a statement uses, directly or not, in front of it; ``own`` ones replace shared ones."""
+    ctes = {**CTES, **(own or {})}
     needed: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b[rmck]_\w+", text):
-            if name in CTES and name not in needed:
+            if name in ctes and name not in needed:
                 needed.add(name)
-                visit(CTES[name])
+                visit(ctes[name])
 
     visit(sql)
     if not needed:
         return sql
     # Definitions stand in CTES in order of dependency.
-    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in needed)
-    own = re.match(r"\s*WITH\s+", sql)
-    return f"WITH RECURSIVE {parts},\n{sql[own.end():]}" if own else f"WITH RECURSIVE {parts}\n{sql}"
+    parts = ",\n".join(f"{n} AS ({ctes[n]})" for n in ctes if n in needed)
+    begun = re.match(r"\s*WITH\s+", sql)
+    return f"WITH RECURSIVE {parts},\n{sql[begun.end():]}" if begun else f"WITH RECURSIVE {parts}\n{sql}"
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Register ``f(tables)`` under its own name, with its oracle statement if there is one."""
+def query(sql: str | None = None, name: str | None = None, ctes: Mapping[str, str] | None = None):
+    """Register ``f(tables)`` under its own name, with its oracle statement if there is one.
+
+    ``ctes`` holds definitions that this statement has otherwise than the shared ``CTES``.
+    """
 
     def register(f: Callable[[Tables], DataFrame]):
         key = name or f.__name__
@@ -41,7 +45,7 @@ def query(sql: str | None = None, name: str | None = None):
             raise ValueError(f"{key} is registered twice")
         QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLES[key] = with_ctes(sql)
+            ORACLES[key] = with_ctes(sql, ctes)
         return f
 
     return register

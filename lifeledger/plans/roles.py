@@ -7,6 +7,7 @@ composite queries can be checked from raw tables to result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import date
 from functools import cached_property
 
@@ -131,6 +132,13 @@ class Tables:
         first = self.index_records.groupBy("entity_id").agg(F.min("event_date").alias("first_date"))
         return first.where(F.col("first_date") >= DATES.accrual_start).select("entity_id")
 
+    @cached_property
+    def third_records(self) -> DataFrame:
+        """Third qualifying record, whenever it falls."""
+        return nth_per_key(self.index_records, ["entity_id"], ["event_date", "record_id"], 3).select(
+            "entity_id", F.col("event_date").alias("progression_date")
+        )
+
     @cached_property
     def progression_dates(self) -> DataFrame:
         """Third qualifying record, if it falls before death and before the entity may count as recovered.
@@ -138,14 +146,13 @@ class Tables:
         Recovery lies after the last relevant record and after the grace period from the first one.
         """
         key = ["entity_id"]
-        third = nth_per_key(self.index_records, key, ["event_date", "record_id"], 3).select("entity_id", "event_date")
         first = self.index_records.groupBy(*key).agg(F.min("event_date").alias("first_date"))
         last = self.activity["op"].groupBy(*key).agg(F.max("date").alias("last_date"))
-        known = third.join(first, key).join(last, key, "left").join(self.death_updates, key, "left")
-        date = F.col("event_date")
+        known = self.third_records.join(first, key).join(last, key, "left").join(self.death_updates, key, "left")
+        date = F.col("progression_date")
         ill = (date < F.col("last_date")) | (date < add_days(F.col("first_date"), cohort.GRACE_DAYS))
         alive = F.col("death_date").isNull() | (date < F.col("death_date"))
-        return known.where(ill & alive).select("entity_id", date.alias("progression_date"))
+        return known.where(ill & alive).select("entity_id", "progression_date")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -256,6 +263,11 @@ class Tables:
     def master(self) -> DataFrame:
         return master_table(self.inputs, DATES)
 
+    @cached_property
+    def unchecked_master(self) -> DataFrame:
+        """The master with every progression, also those that the checks of the timeline are there to find."""
+        return master_table(replace(self.inputs, progression_dates=self.third_records), DATES)
+
     @cached_property
     def stored_master(self) -> DataFrame:
         """The master for stages that read it more than once."""
@@ -438,6 +450,10 @@ CTES["r_progression"] = f"""
   ) i LEFT JOIN r_death USING (entity_id)
     LEFT JOIN (SELECT entity_id, max(date) AS last_date FROM r_activity WHERE source = 'op' GROUP BY entity_id) a USING (entity_id)
   WHERE (event_date < last_date OR event_date < first_date + {cohort.GRACE_DAYS}) AND (death_date IS NULL OR event_date < death_date)"""
+# What ``r_progression`` is for a statement over every third record (``Tables.third_records``).
+EVERY_PROGRESSION = """
+  SELECT entity_id, event_date AS progression_date FROM r_index
+  QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_date, record_id) = 3"""
 CTES["m_index"] = f"""
   SELECT i.entity_id, i.entry_date, e.sex, e.birth_date, e.district FROM (
     SELECT entity_id, event_date AS entry_date FROM r_index WHERE event_date BETWEEN {START} AND {END}

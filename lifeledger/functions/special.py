@@ -112,6 +112,22 @@ def lgamma(x: Column) -> Column:
     return series - F.log(lifted)
 
 
+def lgamma_rise(x: Column, by: Column) -> Column:
+    """ln Gamma(x + by) - ln Gamma(x) for x > 0 and x + by > 0, exact in proportion to itself.
+
+    Two large logarithms that nearly cancel would lose that; here only their difference is ever formed.
+    """
+    y = x + F.lit(float(GAMMA_SHIFT))
+    z = y + by
+    series = (y + by - F.lit(0.5)) * F.log1p(by / y) + by * (F.log(y) - F.lit(1.0))
+    for k, c in ((1, 1 / 12), (3, -1 / 360), (5, 1 / 1260), (7, -1 / 1680)):
+        series = series + F.lit(c) / F.pow(z, k) - F.lit(c) / F.pow(y, k)
+    lifted = F.lit(1.0) + by / x
+    for i in range(1, GAMMA_SHIFT):
+        lifted = lifted * (F.lit(1.0) + by / (x + F.lit(float(i))))
+    return series - F.log(lifted)
+
+
 def digamma(x: Column) -> Column:
     """Derivative of ln Gamma(x) for x > 0."""
     y = x + F.lit(float(GAMMA_SHIFT))

@@ -25,6 +25,7 @@ from lifeledger.functions import (
 )
 from lifeledger.operators.aggregates import count_violations, first_per_key, key_set, last_per_key
 from lifeledger.operators.relational import code_map, in_keys, left_fill, overwrite, stack
+from lifeledger.session import store
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,8 @@ DEFAULT_DATES = StudyDates(
 EXTERNAL_CAUSE = "S|T|V|W|X|Y"
 GRACE_DAYS = 180
 MINIMUM_AGE = 10
+#: Rows of (code, condition) that are sent to every task.
+SENT_CODES = 100_000
 
 SOURCES = ("op", "ae", "ip", "rx")
 
@@ -121,10 +124,14 @@ def first_conditions(events: DataFrame, code_table: DataFrame) -> DataFrame:
     """First record of each (entity, condition).
 
     Records are cut to one per (entity, code) before they are mapped, so neither an entity nor a
-    code with very many records makes a large group.
+    code with very many records makes a large group. Records whose code stands for no condition go
+    before that, unless the codes that do are too many to be sent to every task.
     """
+    mapping = store(code_map(events, "code", code_table, "pattern").drop("pattern"))
+    if mapping.count() <= SENT_CODES:
+        mapping = F.broadcast(mapping)
+        events = events.join(F.broadcast(mapping.select("code").distinct()), on="code", how="left_semi")
     first_code = events.groupBy("entity_id", "code").agg(F.min("event_date").alias("event_date"))
-    mapping = code_map(first_code, "code", code_table, "pattern").drop("pattern")
     return first_of_each_condition(first_code.join(mapping, on="code", how="inner"))
 
 

@@ -13,7 +13,7 @@ from lifeledger.plans import study
 from lifeledger.plans.registry import query
 from lifeledger.plans.roles import CONDITION_CODES, SERVICE_SQL, Tables
 from lifeledger.regression import negbin
-from lifeledger.session import cut_lineage
+from lifeledger.session import cut_lineage, store
 from lifeledger.survival.curves import level_grid
 
 
@@ -126,8 +126,8 @@ def matched_index_dates(t: Tables) -> DataFrame:
 @query(name="matched_cohort_cost")
 def matched_cohort_cost(t: Tables) -> DataFrame:
     """The study's own matching, priced: cohort, scores, caliper matching, shared date, costs, arms."""
-    indexed = cut_lineage(study.matched_cohort(t.stored_master))
-    costed = study.costed_cohort(indexed, t.ed_visits, t.ward_stays, t.services)
+    indexed, records = store(study.matched_cohort(t.stored_master)), t.prepared
+    costed = study.costed_cohort(indexed, records.ed_visits, records.ward_stays, records.services)
     return _rounded(cost.arm_summary(costed), ["mean_cost_py", "mean_cost"])
 
 

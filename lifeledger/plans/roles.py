@@ -20,7 +20,8 @@ from lifeledger.operators.aggregates import nth_per_key
 from lifeledger.operators.cohort import StudyDates
 from lifeledger.operators.relational import inner
 from lifeledger.plans.study import Inputs, costed_cohort, master_table
-from lifeledger.session import cut_lineage
+from lifeledger.session import store
+from lifeledger.sources.extracts import load_table, save_table
 
 # The calendar of the stand-in study and its code lists.
 DATES = StudyDates(
@@ -57,6 +58,11 @@ EIS_SPECIALTIES = ["PSY", "MED", None]
 ED_COLUMNS = [f"dx_{i}" for i in range(1, 8)]
 STAY_COLUMNS = ["dx_1", "dx_2", "dx_3"]
 STRATA = ["cohort_year", "sex", "age_band"]
+#: What the roles read of a line item, its order and its part.
+LINE_COLUMNS = [
+    "o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+    "l_returnflag", "l_linestatus", "l_shipdate", "p_name", "p_brand", "p_type", "p_size",
+]
 
 
 def _pick(values: Sequence, index: Column) -> Column:
@@ -154,15 +160,27 @@ class Tables:
         alive = F.col("death_date").isNull() | (date < F.col("death_date"))
         return known.where(ill & alive).select("entity_id", "progression_date")
 
+    @cached_property
+    def joined_lines(self) -> DataFrame:
+        """Line items with their order and their part."""
+        return self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+            self.part, F.col("l_partkey") == F.col("p_partkey"))
+
     @cached_property
     def lines(self) -> DataFrame:
         """Line items with the customer and date of their order and the code of their part."""
-        return (
-            self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.part, F.col("l_partkey") == F.col("p_partkey"))
-            .withColumn("entity_id", F.col("o_custkey"))
-            .withColumn("code", F.concat_ws(".", "p_brand", "p_type"))
-        )
+        return self.joined_lines.withColumn("entity_id", F.col("o_custkey")).withColumn("code", F.concat_ws(".", "p_brand", "p_type"))
+
+    @cached_property
+    def prepared(self) -> Tables:
+        """The same tables with the line items joined once and saved, for queries that read them in many roles.
+
+        Every role has its own join otherwise, and the shuffles of nine joins of the largest table lie on disk together.
+        """
+        out = Tables(self.spark, self.dir)
+        saved = load_table(self.spark, save_table(self.joined_lines.select(*LINE_COLUMNS), "lines"))
+        out.joined_lines = saved.withColumn("l_orderkey", F.col("o_orderkey"))
+        return out
 
     @cached_property
     def code_table(self) -> DataFrame:
@@ -271,7 +289,7 @@ class Tables:
     @cached_property
     def stored_master(self) -> DataFrame:
         """The master for stages that read it more than once."""
-        return cut_lineage(self.master)
+        return store(self.prepared.master)
 
     @cached_property
     def matched(self) -> DataFrame:
@@ -284,7 +302,8 @@ class Tables:
 
     @cached_property
     def costed(self) -> DataFrame:
-        return costed_cohort(cut_lineage(self.indexed), self.ed_visits, self.ward_stays, self.services)
+        records = self.prepared
+        return costed_cohort(store(self.indexed), records.ed_visits, records.ward_stays, records.services)
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -293,7 +312,7 @@ class Tables:
     @cached_property
     def stored_rates(self) -> DataFrame:
         """The rates for models, which read them more than once."""
-        return cut_lineage(self.rates)
+        return store(self.rates)
 
     # Markov parameters, counted from the tables
 

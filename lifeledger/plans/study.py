@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lifeledger.operators import cohort, cost, markov, matching
 from lifeledger.operators.cohort import GRACE_DAYS, StudyDates
 from lifeledger.operators.relational import inner
-from lifeledger.session import cut_lineage
+from lifeledger.session import cut_lineage, store
 
 RECOVERY_LAGS = {"op": GRACE_DAYS, "ae": GRACE_DAYS, "ip": GRACE_DAYS, "rx": 0}
 
@@ -68,12 +68,12 @@ def matched_cohort(master: DataFrame) -> DataFrame:
 def costed_cohort(indexed: DataFrame, visits: DataFrame, stays: DataFrame, services: DataFrame) -> DataFrame:
     """Condition flags and every cost column after the index date.
 
-    ``indexed`` is read once per kind of record, so hand in a checkpointed or stored table.
+    ``indexed`` is read once per kind of record, so hand in a checkpointed or stored table. The parts have a row per
+    entity and are stored one after the other, so that the shuffles of one kind of record at a time are on disk.
     """
     df = cost.new_condition_after_index(cost.conditions_before_index(indexed))
-    df = cost.attach_costs(
-        df, cost.ed_cost(visits, indexed), cost.stay_cost(stays, indexed), cost.classify_visits(services, indexed)
-    )
+    parts = cost.ed_cost(visits, indexed), cost.stay_cost(stays, indexed), cost.classify_visits(services, indexed)
+    df = cost.attach_costs(df, *[store(part) for part in parts])
     return cost.psych_cost(cost.total_cost(df))
 
 

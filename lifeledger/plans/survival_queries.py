@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lifeledger.plans.registry import query
 from lifeledger.plans.roles import DATES, FUTURE, STUDY_END, Tables
 from lifeledger.regression.design import Design
-from lifeledger.session import cut_lineage
+from lifeledger.session import cut_lineage, store
 from lifeledger.survival import curves, fit, km
 from lifeledger.survival.sample import CHOSEN, CURVES, TRANSITIONS, Transition, censored, censored_all
 
@@ -112,6 +112,11 @@ def events_by_stratum(t: Tables) -> DataFrame:
 # Fits
 
 
+def _stored_sample(t: Tables, name: str) -> DataFrame:
+    """One transition for a fit, which reads it more than once."""
+    return store(sample(t.prepared, name))
+
+
 def _samples(t: Tables) -> DataFrame:
     """The twelve transitions of the study in years, one pass over the cohort."""
     return cut_lineage(censored_all(t.master, DATES, {k: TRANSITIONS[k] for k in CHOSEN}))
@@ -191,7 +196,7 @@ def aft_fit(t: Tables) -> DataFrame:
            FROM g m JOIN g f ON m.sex = 'M' AND f.sex = 'F'""")
 def aft_fit_saturated(t: Tables) -> DataFrame:
     """An exponential fit with one covariate has a closed form: time at risk per event in each group."""
-    model = fit.fit_models(sample(t, "base_recovery"), ["exponential"], {"sex": ["F", "M"]})["exponential"]
+    model = fit.fit_models(_stored_sample(t, "base_recovery"), ["exponential"], {"sex": ["F", "M"]})["exponential"]
     return model.table(t.spark).select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"))
 
 
@@ -248,7 +253,7 @@ def survival_grid_wide(t: Tables) -> DataFrame:
              WHERE days > 0 GROUP BY sex)
            SELECT sex, CAST(y AS INTEGER) AS year, round(exp(-y / m), 6) AS survival FROM g, range(1, 11) r(y)""")
 def survival_grid_saturated(t: Tables) -> DataFrame:
-    model = fit.fit_models(sample(t, "base_recovery"), ["exponential"], {"sex": ["F", "M"]})["exponential"]
+    model = fit.fit_models(_stored_sample(t, "base_recovery"), ["exponential"], {"sex": ["F", "M"]})["exponential"]
     return curves.survival_grid(t.spark, model).withColumn("survival", F.round("survival", 6))
 
 

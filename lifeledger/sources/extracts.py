@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lifeledger.functions import normalize_name
-from lifeledger.session import new_path
+from lifeledger.session import freeing_shuffles, new_path
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> st
     if partition_by:
         # Few files per partition value, while a hot value is still split over several tasks.
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    with freeing_shuffles(df.sparkSession):
+        df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     return path
 
 

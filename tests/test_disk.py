@@ -14,7 +14,7 @@ from lifeledger.session import store
 SMALL = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="benchmark tables are not there")
 
-QUERIES = ["total_cost"]
+QUERIES = ["total_cost", "aft_fit_saturated", "survival_grid_saturated"]
 
 
 def shuffle_files(spark):
